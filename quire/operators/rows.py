@@ -15,6 +15,8 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import durable
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -30,9 +32,14 @@ def with_row_index(df: DataFrame, order_cols, name: str = "row_id",
     spark = df.sparkSession
     if num_partitions is None:
         num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(num_partitions, *order_cols)
-              .sortWithinPartitions(*order_cols)
-              .withColumn("_rix", F.monotonically_increasing_id()))
+    # Range bounds come from a sample whose order depends on shuffle fetch
+    # order, so two jobs over the same plan may cut differently. The sorted,
+    # tagged rows are therefore written once (reliable checkpoint in the
+    # shared checkpoint folder) and both the counts and the numbering read
+    # that table; it also cuts the lineage for lost executors.
+    ranged = durable(df.repartitionByRange(num_partitions, *order_cols)
+                     .sortWithinPartitions(*order_cols)
+                     .withColumn("_rix", F.monotonically_increasing_id()))
     # partition id in the high bits, position in the low 33 bits
     counts = (ranged.select(F.shiftright(F.col("_rix"), 33).alias("_p"))
               .groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
