@@ -189,3 +189,64 @@ def _column_tfidf_sql() -> str:
 
 
 SQL["column_tfidf"] = _column_tfidf_sql()
+
+
+# ---------------------------------------------------------------------------
+# one-feature least squares, scores, cross-validation, selection
+# ---------------------------------------------------------------------------
+
+_X = f"CAST(len({O.analyze_terms('lower(text)')}) AS DOUBLE)"
+ONE_FEATURE = [TOK, f"f AS (SELECT paper_id, rn, split, label, {_X} AS x FROM txt)",
+               "tr AS (SELECT * FROM f WHERE split = 'train')",
+               "c AS (SELECT regr_slope(label, x) AS b1, regr_intercept(label, x) AS a1, "
+               "sum(x * label) / sum(x * x) AS b0 FROM tr)"]
+
+
+def _scores(p: str, extra: str = "") -> str:
+    res = f"(label - {p})"
+    return (f"{extra}count(*) AS n, round(avg({res} * {res}), 4) AS mse, "
+            f"round(avg(abs({res})), 4) AS mae, "
+            f"round(CASE WHEN var_pop(label) * count(*) > 0 THEN 1.0e0 - sum({res} * {res}) / "
+            f"(var_pop(label) * count(*)) WHEN sum({res} * {res}) = 0 THEN 1.0e0 ELSE 0.0e0 END, 4)"
+            f" AS r2")
+
+
+def _r2(p: str) -> str:
+    res = f"(label - {p})"
+    return (f"CASE WHEN var_pop(label) * count(*) > 0 THEN 1.0e0 - sum({res} * {res}) / "
+            f"(var_pop(label) * count(*)) WHEN sum({res} * {res}) = 0 THEN 1.0e0 ELSE 0.0e0 END")
+
+
+SQL["lr_simple"] = W(*ONE_FEATURE) + (
+    "SELECT true AS fit_intercept, round(b1, 4) AS slope, round(a1, 4) AS intercept FROM c "
+    "UNION ALL SELECT false, round(b0, 4), 0.0e0 FROM c")
+SQL["regression_metrics"] = W(*ONE_FEATURE) + (
+    f"SELECT {_scores('(a1 + b1 * x)')} FROM f, c WHERE split = 'test'")
+
+CV = ONE_FEATURE + [
+    "k AS (SELECT count(*) // 4 AS q, count(*) % 4 AS m FROM tr)",
+    "fo AS (SELECT tr.*, CAST(CASE WHEN rn < m * (q + 1) THEN rn // (q + 1) "
+    "ELSE m + (rn - m * (q + 1)) // q END AS INTEGER) AS fold FROM tr, k)",
+    "fl AS (SELECT DISTINCT fold FROM fo)",
+    "cf AS (SELECT fl.fold, regr_slope(fo.label, fo.x) AS b1, regr_intercept(fo.label, fo.x) AS a1, "
+    "sum(fo.x * fo.label) / sum(fo.x * fo.x) AS b0 FROM fl JOIN fo ON fo.fold <> fl.fold "
+    "GROUP BY fl.fold)",
+    "pr AS (SELECT fo.fold, fo.label, cf.a1 + cf.b1 * fo.x AS p0, cf.b0 * fo.x AS p1 "
+    "FROM fo JOIN cf USING (fold))",
+    f"sc AS (SELECT 0 AS candidate, fold, {_r2('p0')} AS r2 FROM pr GROUP BY fold "
+    f"UNION ALL SELECT 1, fold, {_r2('p1')} FROM pr GROUP BY fold)",
+    "mn AS (SELECT candidate, avg(r2) AS mean_r2 FROM sc GROUP BY candidate)",
+    "best AS (SELECT candidate, mean_r2 FROM mn ORDER BY mean_r2 DESC, candidate LIMIT 1)",
+    "bc AS (SELECT CASE WHEN (SELECT candidate FROM best) = 0 THEN a1 ELSE 0.0e0 END AS a, "
+    "CASE WHEN (SELECT candidate FROM best) = 0 THEN b1 ELSE b0 END AS b FROM c)",
+]
+SQL["cv_scores"] = W(*CV) + "SELECT CAST(candidate AS INTEGER) AS candidate, fold, round(r2, 4) AS r2 FROM sc"
+SQL["best_candidate"] = W(*CV) + \
+    "SELECT CAST(candidate AS INTEGER) AS candidate, round(mean_r2, 4) AS mean_r2 FROM best"
+SQL["best_predict"] = W(*CV) + \
+    "SELECT paper_id, round(a + b * x, 4) AS prediction FROM f, bc WHERE split = 'test'"
+SQL["compare_models"] = W(*CV) + (
+    f"SELECT {_scores('(a1 + b1 * x)', 'model, ')} FROM (SELECT 'default' AS model, * FROM f) f2, c "
+    f"WHERE split = 'test' GROUP BY model "
+    f"UNION ALL SELECT {_scores('(a + b * x)', 'model, ')} FROM (SELECT 'best' AS model, * FROM f) f3, bc "
+    f"WHERE split = 'test' GROUP BY model")

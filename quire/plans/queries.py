@@ -266,3 +266,11 @@ QUERIES = {
     "feature_union": q_feature_union,
     "column_tfidf": q_column_tfidf,
 }
+
+
+def _register_more():
+    from quire.plans import model_queries
+    QUERIES.update(model_queries.QUERIES)
+
+
+_register_more()
