@@ -250,3 +250,104 @@ SQL["compare_models"] = W(*CV) + (
     f"WHERE split = 'test' GROUP BY model "
     f"UNION ALL SELECT {_scores('(a + b * x)', 'model, ')} FROM (SELECT 'best' AS model, * FROM f) f3, bc "
     f"WHERE split = 'test' GROUP BY model")
+
+
+# ---------------------------------------------------------------------------
+# sequences, word vectors, convolution
+# ---------------------------------------------------------------------------
+
+def _seq_words(expr: str) -> str:
+    from quire.functions.analyzers import SEQUENCE_FILTERS
+    cls = "[" + "".join("\\" + ch if ch in "\\[]^-" else ch for ch in SEQUENCE_FILTERS) + "]"
+    spaced = O.rx(f"lower({expr})", cls, " ")
+    return f"list_filter(string_split({spaced}, ' '), lambda t: length(t) > 0)"
+
+
+SEQ = [TOK,
+       f"ws AS (SELECT paper_id, rn, {_seq_words('text')} AS w FROM txt)",
+       "wp AS (SELECT paper_id, rn, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM ws)",
+       "wi0 AS (SELECT term, count(*) AS cnt, min(struct_pack(o := rn, p := pos)) AS fo "
+       "FROM wp GROUP BY term)",
+       "wi AS (SELECT term, row_number() OVER (ORDER BY cnt DESC, fo.o, fo.p) AS idx, cnt FROM wi0)",
+       "sq AS (SELECT wp.paper_id, list(wi.idx ORDER BY wp.pos) AS seq FROM wp JOIN wi USING (term) "
+       "GROUP BY wp.paper_id)",
+       "seqs AS (SELECT t.paper_id, coalesce(sq.seq, CAST([] AS BIGINT[])) AS seq FROM txt t "
+       "LEFT JOIN sq USING (paper_id))",
+       "kept AS (SELECT paper_id, CASE WHEN len(seq) > 400 THEN seq[len(seq) - 399:] "
+       "ELSE seq END AS seq FROM seqs)",
+       "padded AS (SELECT paper_id, list_concat(seq, list_transform(range(0, 400 - len(seq)), "
+       "lambda i: CAST(0 AS BIGINT))) AS seq FROM kept)",
+       "vw AS (SELECT wi.term, wi.idx, CAST(e.embedding AS DOUBLE[]) AS vec FROM wi "
+       "JOIN embeddings e ON e.vec_id = wi.idx)"]
+
+SQL["sequence_vocabulary"] = W(*SEQ) + "SELECT term, idx, cnt FROM wi"
+SQL["texts_to_sequences"] = W(*SEQ) + \
+    "SELECT paper_id, len(seq) AS n, md5(array_to_string(seq, ' ')) AS digest FROM seqs"
+SQL["pad_sequences"] = W(*SEQ) + (
+    "SELECT paper_id, len(seq) AS n, len(list_filter(seq, lambda x: x <> 0)) AS n_words, "
+    "md5(array_to_string(seq, ' ')) AS digest FROM padded")
+_ZEROS64 = "list_transform(range(0, 64), lambda i: 0.0e0)"
+SQL["embedding_lookup"] = W(*SEQ) + (
+    f"SELECT wi.idx, wi.term, vw.vec IS NOT NULL AS known, "
+    f"round(list_reduce(list_prepend(0.0e0, coalesce(vw.vec, {_ZEROS64})), lambda a, b: a + b), 4) AS vsum, "
+    f"round(sqrt(list_reduce(list_prepend(0.0e0, list_transform(coalesce(vw.vec, {_ZEROS64}), "
+    f"lambda x: x * x)), lambda a, b: a + b)), 4) AS vnorm "
+    f"FROM wi LEFT JOIN vw USING (idx, term)")
+SQL["embedding_coverage"] = W(*SEQ) + (
+    "SELECT (SELECT count(*) FROM vw) AS n_vectors, count(*) AS vocab_size, "
+    "count(vw.idx) AS covered, round(count(vw.idx) / count(*), 4) AS coverage "
+    "FROM wi LEFT JOIN vw USING (idx, term)")
+_PARSE = ("SELECT term AS word, len(vec) AS dim, "
+          "round(list_reduce(list_prepend(0.0e0, vec), lambda a, b: a + b), 4) AS vsum FROM vw")
+SQL["embedding_parse"] = W(*SEQ) + _PARSE
+SQL["embedding_parse_w2v"] = W(*SEQ) + _PARSE
+SQL["embed_flatten"] = W(*SEQ, (
+    "ep AS (SELECT p.paper_id, unnest(p.seq) AS idx, unnest(range(0, len(p.seq))) AS pos "
+    "FROM padded p)"), (
+    "ev AS (SELECT ep.paper_id, ep.pos, unnest(vw.vec) AS val, unnest(range(0, 64)) AS d "
+    "FROM ep JOIN vw USING (idx))")) + (
+    "SELECT p.paper_id, 400 * 64 AS n_values, round(coalesce(sum(ev.val), 0), 4) AS fsum, "
+    "round(coalesce(sum(ev.val * ((ev.pos * 64 + ev.d) % 5 + 1)), 0), 4) AS wsum "
+    "FROM padded p LEFT JOIN ev USING (paper_id) GROUP BY p.paper_id")
+
+
+def _conv_sql() -> str:
+    slot_k = "CASE WHEN c < 20 THEN 1 WHEN c < 60 THEN 2 ELSE 3 END"
+    slot_b = "CASE WHEN c < 20 THEN 0 WHEN c < 60 THEN 20 ELSE 60 END"
+    ctes = list(SEQ) + [
+        f"sl AS (SELECT c, {slot_k} AS k, (c - {slot_b}) // 20 AS j, (c - {slot_b}) % 20 AS f "
+        f"FROM range(0, 120) t(c))",
+        "wt AS (SELECT sl.c, t.d, CAST(((7 * sl.f + 5 * sl.j + 3 * t.d + sl.k) % 11) - 5 AS DOUBLE)"
+        " / 10.0e0 AS w FROM sl, range(0, 64) t(d))",
+        "vl AS (SELECT idx, unnest(vec) AS val, unnest(range(0, 64)) AS d FROM vw)",
+        "pl AS (SELECT vl.idx, wt.c, sum(vl.val * wt.w) AS p FROM vl JOIN wt USING (d) "
+        "GROUP BY vl.idx, wt.c)",
+        "pj AS (SELECT idx, list(p ORDER BY c) AS proj FROM pl GROUP BY idx)",
+        "tk AS (SELECT paper_id, unnest(seq) AS idx, unnest(range(0, len(seq))) AS pos FROM kept)",
+        "tp AS (SELECT tk.paper_id, tk.pos, coalesce(pj.proj, list_transform(range(0, 120), "
+        "lambda i: 0.0e0)) AS proj FROM tk LEFT JOIN pj USING (idx))",
+        "tl AS (SELECT paper_id, pos, proj, "
+        "lead(proj, 1) OVER w AS l1, lead(proj, 2) OVER w AS l2 FROM tp "
+        "WINDOW w AS (PARTITION BY paper_id ORDER BY pos))",
+    ]
+    aggs, outs = [], []
+    for k, base in ((1, 0), (2, 20), (3, 60)):
+        for f in range(20):
+            terms = [f"proj[{base + f + 1}]"]
+            if k >= 2:
+                terms.append(f"coalesce(l1[{base + 20 + f + 1}], 0.0e0)")
+            if k >= 3:
+                terms.append(f"coalesce(l2[{base + 40 + f + 1}], 0.0e0)")
+            aggs.append(f"max(CASE WHEN pos <= {400 - k} THEN {' + '.join(terms)} END) AS m_{k}_{f}")
+            b = ((f + k) % 5 - 2) / 10.0
+            outs.append(
+                f"SELECT paper_id, {k} AS width, {f} AS filter, round(greatest("
+                f"greatest(m_{k}_{f}, CASE WHEN n <= {400 - k} THEN 0.0e0 END) + ({b!r}), 0.0e0), 4)"
+                f" AS value FROM mj")
+    ctes.append(f"mx AS (SELECT paper_id, {', '.join(aggs)} FROM tl GROUP BY paper_id)")
+    ctes.append("mj AS (SELECT k.paper_id, len(k.seq) AS n, mx.* EXCLUDE (paper_id) FROM kept k "
+                "LEFT JOIN mx USING (paper_id))")
+    return W(*ctes) + " UNION ALL ".join(outs)
+
+
+SQL["ngram_conv_pool"] = _conv_sql()

@@ -269,7 +269,8 @@ QUERIES = {
 
 
 def _register_more():
-    from quire.plans import model_queries
+    from quire.plans import model_queries, sequence_queries
+    QUERIES.update(sequence_queries.QUERIES)
     QUERIES.update(model_queries.QUERIES)
 
 
