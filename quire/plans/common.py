@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import concat_text, core_tokenize, keyword_string
+from quire.session import durable
 from quire.sources.papers import papers_from_tables
 
 
@@ -17,10 +18,12 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and abstract through the core tokenizer, keywords summarised."""
     p = papers(spark, sf_dir)
-    return p.select("paper_id", "rn", "split", "label", "venue", "year", "n_citation",
-                    keyword_string("keywords").alias("kw"),
-                    core_tokenize("title").alias("title_t"),
-                    core_tokenize("abstract").alias("abstract_t"))
+    # The regex chain is the costliest step; write its output once (shared
+    # checkpoint folder) so every later pass reads tokens, not raw text.
+    return durable(p.select("paper_id", "rn", "split", "label", "venue", "year", "n_citation",
+                            keyword_string("keywords").alias("kw"),
+                            core_tokenize("title").alias("title_t"),
+                            core_tokenize("abstract").alias("abstract_t")))
 
 
 def one_text(spark: SparkSession, sf_dir: str) -> DataFrame:

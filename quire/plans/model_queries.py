@@ -18,6 +18,7 @@ from quire.operators import search as S
 from quire.operators.models import linear_regression
 from quire.operators.splits import fold_of
 from quire.plans.common import one_text, round4
+from quire.session import durable
 
 LR_SETTINGS = [{"fit_intercept": True}, {"fit_intercept": False}]
 
@@ -26,7 +27,8 @@ def one_feature(spark: SparkSession, sf: str) -> DataFrame:
     d = one_text(spark, sf)
     x = F.size(AZ.analyze("text")).cast("double")
     rows = d.select("paper_id", "rn", "split", "label", x.alias("x"))
-    return VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    # small (one number a paper) and re-read by every fold and candidate
+    return durable(VectorAssembler(inputCols=["x"], outputCol="features").transform(rows))
 
 
 def _fit(train: DataFrame, fit_intercept: bool):
