@@ -1,0 +1,407 @@
+"""M9: data-parallel mini-batch training, and the models built on it
+(M2 support-vector regression, M3 perceptron, M7 dense net, M8 n-gram
+convolution net, M10 per-epoch validation history).
+
+One Spark job per epoch. The training rows are range-partitioned on their
+row number and sorted inside partitions, so each task walks a contiguous,
+ordered slice (no shuffling of the training order, as in the workload).
+Every task starts from the broadcast weights and optimizer moments, runs
+its ordered mini-batches with Adam (numpy inside ``mapInPandas``, Arrow
+batches in and out), and emits its weights, moments and row count; the
+epoch's model is the row-weighted mean (parameter averaging, Zinkevich et
+al. 2010). With one partition this is exactly the sequential algorithm.
+Predictions are a ``mapInPandas`` over the rows with the weights broadcast.
+
+Inputs are arrays, never ML vectors (Arrow carries no UDTs): sparse rows
+``(fi array<int>, fv array<double>)`` for the perceptron and SVR, padded
+index sequences ``seq array<int>`` plus a broadcast word-vector matrix for
+the two networks. The matrix broadcast is size-checked.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MAX_BROADCAST_BYTES = 512 * 1024 * 1024
+
+
+# ---------------------------------------------------------------------------
+# model specs: parameters as one flat vector, loss/gradient on a batch
+# ---------------------------------------------------------------------------
+
+class Spec:
+    shapes: list
+
+    def sizes(self):
+        return [int(np.prod(s)) for s in self.shapes]
+
+    def unpack(self, flat):
+        out, pos = [], 0
+        for s, n in zip(self.shapes, self.sizes()):
+            out.append(flat[pos:pos + n].reshape(s))
+            pos += n
+        return out
+
+    def n_params(self):
+        return sum(self.sizes())
+
+
+def _dense_rows(pdf: pd.DataFrame, dim: int) -> np.ndarray:
+    x = np.zeros((len(pdf), dim))
+    for r, (fi, fv) in enumerate(zip(pdf["fi"], pdf["fv"])):
+        if fi is not None and len(fi):
+            x[r, np.asarray(fi, dtype=np.int64)] = np.asarray(fv, dtype=np.float64)
+    return x
+
+
+@dataclass
+class MLPSpec(Spec):
+    """One hidden relu layer, linear output, squared loss + alpha * L2."""
+    input_dim: int
+    hidden: int = 100
+    alpha: float = 0.0001
+
+    def __post_init__(self):
+        self.shapes = [(self.input_dim, self.hidden), (self.hidden,), (self.hidden, 1), (1,)]
+
+    def init(self, rng):
+        d, h = self.input_dim, self.hidden
+        b1 = np.sqrt(6.0 / (d + h))
+        b2 = np.sqrt(6.0 / (h + 1))
+        return np.concatenate([rng.uniform(-b1, b1, d * h), rng.uniform(-b1, b1, h),
+                               rng.uniform(-b2, b2, h), rng.uniform(-b2, b2, 1)])
+
+    def inputs(self, pdf, ctx):
+        return _dense_rows(pdf, self.input_dim)
+
+    def loss_grad(self, flat, x, y, n_total):
+        w1, b1, w2, b2 = self.unpack(flat)
+        z = x @ w1 + b1
+        h = np.maximum(z, 0.0)
+        p = (h @ w2 + b2).ravel()
+        r = p - y
+        loss = float(np.mean(r * r))
+        dp = (2.0 / len(y)) * r[:, None]
+        g_w2 = h.T @ dp + self.alpha * w2 / n_total
+        g_b2 = dp.sum(0)
+        dh = (dp @ w2.T) * (z > 0)
+        g_w1 = x.T @ dh + self.alpha * w1 / n_total
+        g_b1 = dh.sum(0)
+        return loss, np.concatenate([g_w1.ravel(), g_b1, g_w2.ravel(), g_b2])
+
+    def predict(self, flat, x):
+        w1, b1, w2, b2 = self.unpack(flat)
+        return (np.maximum(x @ w1 + b1, 0.0) @ w2 + b2).ravel()
+
+
+@dataclass
+class SVRSpec(Spec):
+    """Epsilon-insensitive loss with L2; kernel 'linear' or 'rbf' (random
+    Fourier features of width ``n_components``, Rahimi & Recht 2007)."""
+    input_dim: int
+    C: float = 1.0
+    epsilon: float = 0.1
+    kernel: str = "rbf"
+    gamma: float = 1.0
+    n_components: int = 256
+    seed: int = 7
+
+    def __post_init__(self):
+        if self.kernel not in ("linear", "rbf"):
+            raise ValueError(f"kernel {self.kernel!r} is not offered (linear, rbf)")
+        width = self.input_dim if self.kernel == "linear" else self.n_components
+        self.shapes = [(width,), (1,)]
+        self._omega = None
+
+    def init(self, rng):
+        return np.zeros(self.n_params())
+
+    def _features(self, x):
+        if self.kernel == "linear":
+            return x
+        if self._omega is None:
+            rng = np.random.default_rng(self.seed)
+            self._omega = rng.normal(0.0, np.sqrt(2.0 * self.gamma),
+                                     (self.input_dim, self.n_components))
+            self._beta = rng.uniform(0, 2 * np.pi, self.n_components)
+        return np.sqrt(2.0 / self.n_components) * np.cos(x @ self._omega + self._beta)
+
+    def inputs(self, pdf, ctx):
+        return self._features(_dense_rows(pdf, self.input_dim))
+
+    def loss_grad(self, flat, x, y, n_total):
+        w, b = self.unpack(flat)
+        r = x @ w + b[0] - y
+        over = np.abs(r) > self.epsilon
+        loss = float(self.C * np.mean(np.maximum(np.abs(r) - self.epsilon, 0.0)))
+        g = self.C * np.sign(r) * over / len(y)
+        return loss, np.concatenate([x.T @ g + w / n_total, [g.sum()]])
+
+    def predict(self, flat, x):
+        w, b = self.unpack(flat)
+        return x @ w + b[0]
+
+
+@dataclass
+class DenseNetSpec(Spec):
+    """M7: frozen word vectors of a padded row, flattened -> relu -> linear."""
+    maxlen: int
+    dim: int
+    hidden: int = 100
+
+    def __post_init__(self):
+        n_in = self.maxlen * self.dim
+        self.shapes = [(n_in, self.hidden), (self.hidden,), (self.hidden, 1), (1,)]
+        self._mlp = MLPSpec(n_in, self.hidden, 0.0)
+
+    def init(self, rng):
+        return self._mlp.init(rng)
+
+    def inputs(self, pdf, ctx):
+        seq = np.stack(pdf["seq"].to_numpy()).astype(np.int64)
+        return ctx["matrix"][seq].reshape(len(pdf), -1)
+
+    def loss_grad(self, flat, x, y, n_total):
+        return self._mlp.loss_grad(flat, x, y, n_total)
+
+    def predict(self, flat, x):
+        return self._mlp.predict(flat, x)
+
+
+@dataclass
+class ConvNetSpec(Spec):
+    """M8: conv branches of width 1, 2, 3 (relu, global max) -> 100 relu -> 1."""
+    maxlen: int
+    dim: int
+    n_filters: int = 20
+    branches: tuple = (1, 2, 3)
+    hidden: int = 100
+
+    def __post_init__(self):
+        nf, nb = self.n_filters, len(self.branches)
+        self.shapes = ([(k, self.dim, nf) for k in self.branches] + [(nf,)] * nb +
+                       [(nb * nf, self.hidden), (self.hidden,), (self.hidden, 1), (1,)])
+
+    def init(self, rng):
+        parts = []
+        for k in self.branches:
+            lim = np.sqrt(6.0 / (k * self.dim + self.n_filters))
+            parts.append(rng.uniform(-lim, lim, k * self.dim * self.n_filters))
+        parts += [np.zeros(self.n_filters) for _ in self.branches]
+        n_in = len(self.branches) * self.n_filters
+        l1 = np.sqrt(6.0 / (n_in + self.hidden))
+        l2 = np.sqrt(6.0 / (self.hidden + 1))
+        parts += [rng.uniform(-l1, l1, n_in * self.hidden), np.zeros(self.hidden),
+                  rng.uniform(-l2, l2, self.hidden), np.zeros(1)]
+        return np.concatenate(parts)
+
+    def inputs(self, pdf, ctx):
+        seq = np.stack(pdf["seq"].to_numpy()).astype(np.int64)
+        return ctx["matrix"][seq]                        # (B, L, d)
+
+    def _forward(self, flat, e):
+        p = self.unpack(flat)
+        nb = len(self.branches)
+        ws, bs = p[:nb], p[nb:2 * nb]
+        w3, b3, w4, b4 = p[2 * nb:]
+        pooled, arg = [], []
+        for k, w, b in zip(self.branches, ws, bs):
+            t = e.shape[1] - k + 1
+            pre = sum(np.einsum("btd,df->btf", e[:, j:j + t, :], w[j]) for j in range(k)) + b
+            act = np.maximum(pre, 0.0)
+            a = act.argmax(axis=1)                      # (B, F)
+            pooled.append(np.take_along_axis(act, a[:, None, :], 1)[:, 0, :])
+            arg.append(a)
+        h_in = np.concatenate(pooled, axis=1)
+        z = h_in @ w3 + b3
+        h = np.maximum(z, 0.0)
+        out = (h @ w4 + b4).ravel()
+        return out, (p, h_in, z, h, pooled, arg)
+
+    def loss_grad(self, flat, e, y, n_total):
+        out, (p, h_in, z, h, pooled, arg) = self._forward(flat, e)
+        nb, nf = len(self.branches), self.n_filters
+        w3, w4 = p[2 * nb], p[2 * nb + 2]
+        r = out - y
+        loss = float(np.mean(r * r))
+        dp = (2.0 / len(y)) * r[:, None]
+        g_w4, g_b4 = h.T @ dp, dp.sum(0)
+        dz = (dp @ w4.T) * (z > 0)
+        g_w3, g_b3 = h_in.T @ dz, dz.sum(0)
+        dh_in = dz @ w3.T
+        g_ws, g_bs = [], []
+        bidx = np.arange(e.shape[0])[:, None]
+        for i, k in enumerate(self.branches):
+            g = dh_in[:, i * nf:(i + 1) * nf] * (pooled[i] > 0)     # (B, F)
+            a = arg[i]
+            gw = np.zeros((k, self.dim, nf))
+            for j in range(k):
+                ev = e[bidx, a + j, :]                                # (B, F, d)
+                gw[j] = np.einsum("bfd,bf->df", ev, g)
+            g_ws.append(gw.ravel())
+            g_bs.append(g.sum(0))
+        grad = np.concatenate(g_ws + g_bs + [g_w3.ravel(), g_b3, g_w4.ravel(), g_b4])
+        return loss, grad
+
+    def predict(self, flat, e):
+        return self._forward(flat, e)[0]
+
+
+# ---------------------------------------------------------------------------
+# the trainer
+# ---------------------------------------------------------------------------
+
+@dataclass
+class TrainConfig:
+    epochs: int = 5
+    batch_size: int = 32
+    lr: float = 0.001
+    beta1: float = 0.9
+    beta2: float = 0.999
+    eps: float = 1e-7
+    seed: int = 7
+    num_partitions: int | None = None
+
+
+@dataclass
+class SGDModel:
+    spec: Spec
+    params: np.ndarray
+    history: list = field(default_factory=list)
+    ctx_bc: object = None
+
+    def transform(self, df: DataFrame, label: str = "label") -> DataFrame:
+        return predict(df, self.spec, self.params, self.ctx_bc)
+
+
+_EPOCH_SCHEMA = T.StructType([
+    T.StructField("n", T.LongType()), T.StructField("loss", T.DoubleType()),
+    T.StructField("t", T.LongType()),
+    T.StructField("w", T.ArrayType(T.DoubleType())),
+    T.StructField("m", T.ArrayType(T.DoubleType())),
+    T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+
+def _epoch_fn(spec, state_bc, ctx_bc, cfg: TrainConfig, n_total: int, label: str):
+    def run(batches):
+        w, m, v, t = (x.copy() if isinstance(x, np.ndarray) else x for x in state_bc.value)
+        ctx = ctx_bc.value if ctx_bc is not None else {}
+        n, loss_sum = 0, 0.0
+
+        def step(rows):
+            nonlocal w, m, v, t, n, loss_sum
+            pdf = pd.concat(rows) if len(rows) > 1 else rows[0]
+            x = spec.inputs(pdf, ctx)
+            y = pdf[label].to_numpy(dtype=np.float64)
+            loss, g = spec.loss_grad(w, x, y, n_total)
+            t += 1
+            m = cfg.beta1 * m + (1 - cfg.beta1) * g
+            v = cfg.beta2 * v + (1 - cfg.beta2) * g * g
+            mh = m / (1 - cfg.beta1 ** t)
+            vh = v / (1 - cfg.beta2 ** t)
+            w = w - cfg.lr * mh / (np.sqrt(vh) + cfg.eps)
+            n += len(y)
+            loss_sum += loss * len(y)
+
+        pending = None
+        for pdf in batches:
+            pending = pdf if pending is None else pd.concat([pending, pdf])
+            while len(pending) >= cfg.batch_size:
+                step([pending.iloc[:cfg.batch_size]])
+                pending = pending.iloc[cfg.batch_size:]
+        if pending is not None and len(pending):
+            step([pending])
+        if n:
+            yield pd.DataFrame({"n": [n], "loss": [loss_sum], "t": [t], "w": [w], "m": [m],
+                                "v": [v]})
+    return run
+
+
+def ordered_partitions(df: DataFrame, order_col: str, num_partitions: int | None) -> DataFrame:
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+
+
+def broadcast_matrix(spark, matrix_df: DataFrame, dim: int):
+    """Size-checked broadcast of the word-vector matrix (row i = word i)."""
+    n_rows = matrix_df.agg(F.max("idx")).first()[0] or 0
+    nbytes = (n_rows + 1) * dim * 4
+    if nbytes > MAX_BROADCAST_BYTES:
+        raise ValueError(f"word-vector matrix of {nbytes} bytes exceeds the broadcast bound")
+    mat = np.zeros((n_rows + 1, dim), dtype=np.float32)
+    for part in matrix_df.where("known").select("idx", "vec").toLocalIterator():
+        mat[part["idx"]] = np.asarray(part["vec"], dtype=np.float32)
+    return spark.sparkContext.broadcast({"matrix": mat})
+
+
+def fit(df: DataFrame, spec: Spec, cfg: TrainConfig = TrainConfig(), order_col: str = "rn",
+        label: str = "label", ctx_bc=None, val: DataFrame | None = None) -> SGDModel:
+    """Train ``spec`` on ``df``; ``history`` holds (epoch, loss, val_mse) per epoch."""
+    spark = df.sparkSession
+    rows = ordered_partitions(df, order_col, cfg.num_partitions).persist()
+    n_total = rows.count()
+    rng = np.random.default_rng(cfg.seed)
+    w = spec.init(rng)
+    m = np.zeros_like(w)
+    v = np.zeros_like(w)
+    t = 0
+    history = []
+    for epoch in range(cfg.epochs):
+        state = spark.sparkContext.broadcast((w, m, v, t))
+        # one row per task: weights, moments, count (Arrow to numpy, no row objects)
+        parts = rows.mapInPandas(_epoch_fn(spec, state, ctx_bc, cfg, n_total, label),
+                                 _EPOCH_SCHEMA).toPandas().to_dict("records")
+        state.unpersist()
+        total = sum(p["n"] for p in parts)
+        w = sum(np.asarray(p["w"]) * p["n"] for p in parts) / total
+        m = sum(np.asarray(p["m"]) * p["n"] for p in parts) / total
+        v = sum(np.asarray(p["v"]) * p["n"] for p in parts) / total
+        t = max(p["t"] for p in parts)
+        rec = {"epoch": epoch + 1, "loss": sum(p["loss"] for p in parts) / total}
+        if val is not None:
+            pv = predict(val, spec, w, ctx_bc)
+            rec["val_mse"] = pv.agg(F.avg((F.col(label) - F.col("prediction")) ** 2)).first()[0]
+        history.append(rec)
+    rows.unpersist()
+    return SGDModel(spec, w, history, ctx_bc)
+
+
+def predict(df: DataFrame, spec: Spec, params: np.ndarray, ctx_bc=None) -> DataFrame:
+    spark = df.sparkSession
+    wb = spark.sparkContext.broadcast(params)
+    out_schema = T.StructType(df.schema.fields + [T.StructField("prediction", T.DoubleType())])
+
+    def run(batches):
+        ctx = ctx_bc.value if ctx_bc is not None else {}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            pdf = pdf.copy()
+            pdf["prediction"] = spec.predict(wb.value, spec.inputs(pdf, ctx))
+            yield pdf
+    return df.mapInPandas(run, out_schema)
+
+
+def history_frame(spark, model: SGDModel) -> DataFrame:
+    """(epoch, loss, val_mse) as a DataFrame."""
+    rows = [(h["epoch"], float(h["loss"]), float(h["val_mse"]) if "val_mse" in h else None)
+            for h in model.history]
+    return spark.createDataFrame(rows, "epoch int, loss double, val_mse double")
+
+
+def make_sgd_estimator(name: str, input_dim: int, **params):
+    """Spec for the short names 'mlp' and 'svr' (default parameters of the workload)."""
+    if name == "mlp":
+        hidden = params.get("hidden_layer_sizes", (100,))[0]
+        return MLPSpec(input_dim, hidden, params.get("alpha", 0.0001))
+    if name == "svr":
+        return SVRSpec(input_dim, C=params.get("C", 1.0), kernel=params.get("kernel", "rbf"),
+                       gamma=params.get("gamma_value", 1.0))
+    raise ValueError(name)

@@ -41,3 +41,17 @@ def hash_project(features: DataFrame, width: int, id_col: str, salt: int = 0) ->
     return (features.select(id_col, F.pmod(F.xxhash64(F.col("idx"), F.lit(salt)), F.lit(width))
                             .alias("idx"), "value")
             .groupBy(id_col, "idx").agg(F.sum("value").alias("value")))
+
+
+def sparse_arrays(rows: DataFrame, features: DataFrame, id_col: str) -> DataFrame:
+    """Add ``fi`` (array<int>) and ``fv`` (array<double>): a row's features as
+    sorted index/value arrays (the array form the numpy learners read)."""
+    cells = (features.where(F.col("idx").isNotNull())
+             .groupBy(id_col)
+             .agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("i"),
+                                                       F.col("value").alias("v"))))
+                  .alias("_c")))
+    return (rows.join(cells, id_col, "left")
+            .withColumn("fi", F.coalesce(F.col("_c.i"), F.array().cast("array<int>")))
+            .withColumn("fv", F.coalesce(F.col("_c.v"), F.array().cast("array<double>")))
+            .drop("_c"))

@@ -269,9 +269,10 @@ QUERIES = {
 
 
 def _register_more():
-    from quire.plans import model_queries, sequence_queries
+    from quire.plans import fit_queries, model_queries, sequence_queries
     QUERIES.update(sequence_queries.QUERIES)
     QUERIES.update(model_queries.QUERIES)
+    QUERIES.update(fit_queries.QUERIES)
 
 
 _register_more()

@@ -59,6 +59,18 @@ def fit_predict(estimator, train_rows: DataFrame, test_rows: DataFrame) -> DataF
     return model.transform(test_rows)
 
 
+def fit_predict_sgd(regressor: str, docs: DataFrame, feats: DataFrame, width: int,
+                    cfg=None) -> DataFrame:
+    """mlp / svr on sparse index/value arrays with the data-parallel trainer."""
+    from quire.operators import sgd
+    from quire.operators.vectors import sparse_arrays
+    rows = durable(sparse_arrays(docs.select("paper_id", "rn", "split", "label"), feats,
+                                 "paper_id"))
+    spec = sgd.make_sgd_estimator(regressor, input_dim=width)
+    model = sgd.fit(rows.where("split = 'train'"), spec, cfg or sgd.TrainConfig())
+    return model.transform(rows.where("split = 'test'"))
+
+
 def run_default(spark: SparkSession, sf_dir: str, vectorizer: str = "tfidf",
                 regressor: str = "lr", docs: DataFrame | None = None) -> DataFrame:
     """Set 1: one row (vectorizer, regressor, n_train, n_val, n_test, mse, mae, r2)."""
@@ -70,8 +82,10 @@ def run_default(spark: SparkSession, sf_dir: str, vectorizer: str = "tfidf",
     feats, width = text_features(docs, train, vectorizer)
     train_rows = assemble(train.select("paper_id", "rn", "label"), feats, width, "paper_id")
     test_rows = assemble(test.select("paper_id", "rn", "label"), feats, width, "paper_id")
-    est = make_estimator(regressor, **({"input_dim": width} if regressor != "lr" else {}))
-    pred = fit_predict(est, train_rows, test_rows)
+    if regressor == "lr":
+        pred = fit_predict(make_estimator("lr"), train_rows, test_rows)
+    else:
+        pred = fit_predict_sgd(regressor, docs, feats, width)
     counts = docs.groupBy().agg(
         F.count(F.when(F.col("split") == "train", 1)).alias("n_train"),
         F.count(F.when(F.col("split") == "val", 1)).alias("n_val"))
