@@ -1,0 +1,39 @@
+import numpy as np
+
+import __spark_entry__ as E
+from quire.operators import sgd
+
+
+def test_one_partition_equals_numpy_loop(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(40, 3))
+    y = x @ np.array([1.0, -2.0, 0.5]) + 0.3
+    rows = [(i, [0, 1, 2], list(map(float, x[i])), float(y[i])) for i in range(40)]
+    df = spark.createDataFrame(rows, "rn long, fi array<int>, fv array<double>, label double")
+    spec = sgd.MLPSpec(3, hidden=4, alpha=0.0)
+    cfg = sgd.TrainConfig(epochs=2, batch_size=8, lr=0.01, num_partitions=1)
+    model = sgd.fit(df, spec, cfg)
+    # the same algorithm as a plain loop
+    w = spec.init(np.random.default_rng(cfg.seed))
+    m = np.zeros_like(w)
+    v = np.zeros_like(w)
+    t = 0
+    for _ in range(2):
+        for s in range(0, 40, 8):
+            _, g = spec.loss_grad(w, x[s:s + 8], y[s:s + 8], 40)
+            t += 1
+            m = 0.9 * m + 0.1 * g
+            v = 0.999 * v + 0.001 * g * g
+            w = w - 0.01 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-7)
+    assert np.allclose(model.params, w)
+
+
+def test_registry_and_oracle_keys():
+    qs, sql = E.queries(), E.oracle_sql()
+    assert set(sql) <= set(qs)
+    assert len(sql) >= 40
+
+
+def test_entry_runs(spark):
+    rows = E.entry(spark).collect()
+    assert len(rows) == 1 and rows[0].n_test > 0
