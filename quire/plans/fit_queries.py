@@ -123,7 +123,19 @@ def q_fit_history(spark, sf):
     return sgd.history_frame(spark, model)
 
 
+def q_cv_pipeline(spark, sf):
+    """G2 around the whole set-3 pipeline (per-column TF-IDF + least squares):
+    scores per candidate and fold, train/test as in the papers view."""
+    from quire.plans.runs import run_grid
+    n = load_table(spark, sf, "documents").count()
+    n_train = int(n * 0.8)
+    _, _, scores, _ = run_grid(spark, sf, "lr", n_train=n_train, n_test=n - n_train,
+                               vect_grid={"ngram_range": [(1, 1), (1, 2)]})
+    return scores.select("candidate", "fold", round4("r2").alias("r2"))
+
+
 QUERIES = {
+    "cv_pipeline": q_cv_pipeline,
     "lr_tfidf": q_lr_tfidf,
     "pipeline_predict": q_pipeline_predict,
     "rf_fit": q_rf_fit,

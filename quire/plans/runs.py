@@ -95,3 +95,153 @@ def run_default(spark: SparkSession, sf_dir: str, vectorizer: str = "tfidf",
                          F.lit(n["n_train"]).cast("bigint").alias("n_train"),
                          F.lit(n["n_val"]).cast("bigint").alias("n_val"),
                          F.col("n").alias("n_test"), "mse", "mae", "r2")
+
+
+# ---------------------------------------------------------------------------
+# set 2: word vectors + dense net / n-gram convolution net
+# ---------------------------------------------------------------------------
+
+def _sequence_rows(spark: SparkSession, sf_dir: str, vectors: DataFrame | None, dim: int,
+                   maxlen: int):
+    from quire.operators import embeddings as EM
+    from quire.operators import sequences as SQ
+    from quire.operators import sgd
+    from quire.sources.papers import load_table
+    docs = one_text(spark, sf_dir)
+    wi = SQ.fit_word_index(docs, "paper_id", "text", order_col="rn")
+    seqs = SQ.texts_to_sequences(docs, wi, "paper_id", "text")
+    rows = durable(docs.select("paper_id", "rn", "split", "label")
+                   .join(seqs.select("paper_id", SQ.pad_sequences("seq", maxlen).alias("seq")),
+                         "paper_id"))
+    if vectors is None:
+        vectors = EM.vectors_from_table(load_table(spark, sf_dir, "embeddings"), wi)
+    matrix = EM.embedding_matrix(wi, vectors, dim)
+    return rows, sgd.broadcast_matrix(spark, matrix, dim)
+
+
+def _run_net(spark, sf_dir, spec, vectors, dim, maxlen, cfg):
+    from quire.operators import sgd
+    rows, ctx = _sequence_rows(spark, sf_dir, vectors, dim, maxlen)
+    val = rows.where("split = 'val'")
+    if val.isEmpty():
+        val = rows.where("split = 'test'")  # monitor only, never used for choices
+    model = sgd.fit(rows.where("split = 'train'"), spec, cfg or sgd.TrainConfig(), ctx_bc=ctx,
+                    val=val)
+    pred = model.transform(rows.where("split = 'test'"))
+    return regression_metrics(pred), sgd.history_frame(spark, model)
+
+
+def run_dense(spark: SparkSession, sf_dir: str, vectors: DataFrame | None = None, dim: int = 64,
+              maxlen: int = 400, cfg=None):
+    """Set 2 dense: (metrics, per-epoch history)."""
+    from quire.operators import sgd
+    return _run_net(spark, sf_dir, sgd.DenseNetSpec(maxlen, dim), vectors, dim, maxlen, cfg)
+
+
+def run_ncnn(spark: SparkSession, sf_dir: str, vectors: DataFrame | None = None, dim: int = 64,
+             maxlen: int = 400, cfg=None):
+    """Set 2 n-gram convolution net: (metrics, per-epoch history)."""
+    from quire.operators import sgd
+    return _run_net(spark, sf_dir, sgd.ConvNetSpec(maxlen, dim), vectors, dim, maxlen, cfg)
+
+
+# ---------------------------------------------------------------------------
+# set 3: per-column TF-IDF + numeric columns, default model and grid search
+# ---------------------------------------------------------------------------
+
+TREES = ("rf", "gb", "xgb")
+
+
+def _vect_params(setting: dict) -> "TF.VectorizerParams":
+    p = TF.VectorizerParams(ngram_range=tuple(setting.get("ngram_range", (1, 1))),
+                            norm=setting.get("norm", "l2"),
+                            smooth_idf=setting.get("smooth_idf", True),
+                            sublinear_tf=setting.get("sublinear_tf", False), lowercase=False)
+    return p.with_stop_words(setting.get("stop_words") is not None)
+
+
+def _grid_inputs(tok_train: DataFrame, tok_eval: DataFrame, setting: dict, regressor: str,
+                 tree_width: int):
+    """Fit the per-column vectorizers on ``tok_train``; model rows for both."""
+    from quire.operators.vectors import hash_project, sparse_arrays
+    from quire.plans.queries import column_features
+    abstract = _vect_params(setting) if setting else TF.VectorizerParams(lowercase=False)
+    both = tok_train.unionByName(tok_eval)
+    feats, width = column_features(both, tok_train, {"abstract_t": abstract})
+    if regressor in TREES:
+        feats, width = hash_project(feats, tree_width, "paper_id"), tree_width
+    base = both.select("paper_id", "rn", "label", "_part")
+    if regressor in ("mlp", "svr"):
+        rows = durable(sparse_arrays(base, feats, "paper_id"))
+    else:
+        rows = durable(assemble(base, feats, width, "paper_id"))
+    return rows.where("_part = 'fit'"), rows.where("_part = 'eval'"), width
+
+
+def _fit_score(regressor: str, params: dict, train_rows, eval_rows, width):
+    from quire.operators import sgd
+    if regressor in ("mlp", "svr"):
+        model = sgd.fit(train_rows, sgd.make_sgd_estimator(regressor, input_dim=width, **params))
+        return model.transform(eval_rows)
+    return make_estimator(regressor, **params).fit(train_rows).transform(eval_rows)
+
+
+def run_grid(spark: SparkSession, sf_dir: str, regressor: str, n_train: int = 4000,
+             n_test: int = 1000, k: int = 4, vect_grid: dict | None = None,
+             model_grid: dict | None = None, tree_width: int = 1024):
+    """Set 3: (default metrics, best metrics, scores table, best parameters).
+
+    Two-level search (R6): features are fitted once per (vectorizer setting,
+    fold) and shared by every model setting; model axes without effect are
+    collapsed first (R7) and their scores copied back.
+    """
+    from quire.operators import search as S
+    from quire.operators.splits import contiguous_folds, positional_split
+    from quire.plans.common import tokenized
+    if regressor not in S.MODEL_GRIDS:
+        raise ValueError(f"unknown regressor {regressor!r}; choose one of {sorted(S.MODEL_GRIDS)}")
+    vect_grid = S.VECT_GRID if vect_grid is None else vect_grid
+    model_grid = S.MODEL_GRIDS[regressor] if model_grid is None else model_grid
+    tok = positional_split(tokenized(spark, sf_dir), "rn", n_train, n_test)
+    train = tok.where("part = 'train'").withColumn("_part", F.lit("fit"))
+    test = tok.where("part = 'test'").withColumn("_part", F.lit("eval"))
+    n = train.count()
+
+    # default model
+    tr, te, width = _grid_inputs(train, test, {}, regressor, tree_width)
+    default_metrics = regression_metrics(_fit_score(regressor, {}, tr, te, width))
+
+    # search
+    vect_settings = S.param_grid(vect_grid)
+    model_settings, mapping = S.collapse(S.param_grid(model_grid), regressor)
+    folded = contiguous_folds(train, "rn", n, k)
+    score_parts = []
+    for vi, vs in enumerate(vect_settings):
+        for fold in range(k):
+            fit_part = folded.where(F.col("fold") != fold).drop("fold")
+            eval_part = folded.where(F.col("fold") == fold).drop("fold") \
+                .withColumn("_part", F.lit("eval"))
+            tr, te, width = _grid_inputs(fit_part, eval_part, vs, regressor, tree_width)
+            preds = None
+            for mi, ms in enumerate(model_settings):
+                p = _fit_score(regressor, ms, tr, te, width).select(
+                    F.lit(vi * len(model_settings) + mi).alias("candidate"),
+                    F.lit(fold).alias("fold"), "label", "prediction")
+                preds = p if preds is None else preds.unionByName(p)
+            scored = S.fold_scores(preds).cache()
+            scored.count()
+            score_parts.append(scored)
+    scores = score_parts[0]
+    for s in score_parts[1:]:
+        scores = scores.unionByName(s)
+    best = S.best_candidate(S.mean_scores(scores)).first()
+    vi, mi = divmod(int(best["candidate"]), len(model_settings))
+    tr, te, width = _grid_inputs(train, test, vect_settings[vi], regressor, tree_width)
+    best_metrics = regression_metrics(_fit_score(regressor, model_settings[mi], tr, te, width))
+    # candidate numbers of the full product: vectorizer-major, model-minor
+    full = []
+    for v in range(len(vect_settings)):
+        full += [v * len(model_settings) + m for m in mapping]
+    expanded = S.expand(scores, full)
+    params = {**vect_settings[vi], **model_settings[mi]}
+    return default_metrics, best_metrics, expanded, params
