@@ -3,16 +3,16 @@
 A feature matrix is a DataFrame ``(id, idx, term, value)`` with one row per
 non-zero cell. Every step is a join or an aggregation that Spark partitions:
 
-* term counts: ``groupBy(id, term)``. When the input is partitioned by the
-  id (the ``papers`` view is range-partitioned on ``paper_id``), this needs
-  no shuffle at all; otherwise partial aggregation runs map-side first.
+* documents are hash-partitioned by id once; the term counts per
+  ``(id, term)`` then aggregate inside that partitioning (no second
+  shuffle), each group bounded by one document's terms;
 * vocabulary + document frequency: ``groupBy(term)`` with map-side partial
-  counts, so a term in every document costs one partial row per task.
-* idf lookup: an equi-join on ``term``; AQE broadcasts the vocabulary when
-  its measured size is under the broadcast threshold, otherwise it is a
-  sort-merge join whose hot terms the skew-join rule splits.
-* row norms: a window partitioned by the document id (bounded by the
-  document's distinct terms).
+  counts, so a term in every document costs one partial row per task;
+* idf lookup: an equi-join on ``term``. The fitted vocabulary is counted, and
+  broadcast only when under ``BROADCAST_MAX_TERMS``; beyond that it is a
+  sort-merge join whose hot terms AQE's skew-join rule splits;
+* row norms: a window partitioned by the document id, which reuses the
+  documents' partitioning after a broadcast join.
 
 The vocabulary is indexed alphabetically (binary string order), the idf is
 ``ln((1+n)/(1+df)) + 1`` (smooth) or ``ln(n/df) + 1``, the tf is a count or
@@ -63,11 +63,22 @@ class FittedVocabulary:
     params: VectorizerParams = field(default_factory=VectorizerParams)
 
 
+# A fitted vocabulary is broadcast only up to this many terms (counted at fit
+# time); beyond it the idf lookup is a shuffle join on the term.
+BROADCAST_MAX_TERMS = 2_000_000
+
+
 def doc_terms(df: DataFrame, id_col: str, text_col: str,
               params: VectorizerParams = TFIDF) -> DataFrame:
-    """(id, term) one row per term occurrence."""
+    """(id, term) one row per term occurrence.
+
+    Documents are hash-partitioned by id once, before exploding: the term
+    counts per (id, term), the broadcast idf lookup and the per-document
+    norm window then all reuse that partitioning with no further shuffle.
+    """
     terms = analyzer(text_col, params.ngram_range, params.stop_words, params.lowercase)
-    return df.select(F.col(id_col), F.explode(terms).alias("term"))
+    return (df.select(id_col, text_col).repartition(id_col)
+            .select(F.col(id_col), F.explode(terms).alias("term")))
 
 
 def term_frequencies(df: DataFrame, id_col: str, text_col: str,
@@ -115,7 +126,10 @@ def normalize(df: DataFrame, id_col: str, value_col: str, norm: str | None) -> D
 def transform(tf: DataFrame, vocab: FittedVocabulary, id_col: str) -> DataFrame:
     """weights of the known terms, normalised per document."""
     p = vocab.params
-    joined = tf.join(vocab.table, "term")  # unknown terms drop out (inner)
+    table = vocab.table
+    if vocab.size <= BROADCAST_MAX_TERMS:
+        table = F.broadcast(table)  # bounded: counted at fit time
+    joined = tf.join(table, "term")  # unknown terms drop out (inner)
     value = tf_weight(p) * (F.col("idf") if p.use_idf else F.lit(1.0))
     out = joined.select(F.col(id_col), "idx", "term", value.alias("value"))
     return normalize(out, id_col, "value", p.norm)
