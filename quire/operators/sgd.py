@@ -405,3 +405,20 @@ def make_sgd_estimator(name: str, input_dim: int, **params):
         return SVRSpec(input_dim, C=params.get("C", 1.0), kernel=params.get("kernel", "rbf"),
                        gamma=params.get("gamma_value", 1.0))
     raise ValueError(name)
+
+
+def rule_conv_params(spec: ConvNetSpec) -> np.ndarray:
+    """Deterministic weights for scoring checks: conv filters of
+    ``conv.rule_filters``; head V[i,u] = ((3i + 7u) mod 13 - 6) / 50,
+    c[u] = (u mod 7 - 3) / 10, z[u] = (5u mod 11 - 5) / 20, z0 = 0.5."""
+    from quire.operators.conv import rule_filters
+    f = rule_filters(spec.dim, spec.n_filters, spec.branches)
+    n_in = len(spec.branches) * spec.n_filters
+    i = np.arange(n_in)[:, None]
+    u = np.arange(spec.hidden)[None, :]
+    head_v = (((3 * i + 7 * u) % 13) - 6) / 50.0
+    head_c = ((np.arange(spec.hidden) % 7) - 3) / 10.0
+    head_z = (((5 * np.arange(spec.hidden)) % 11) - 5) / 20.0
+    parts = [f.w[k].ravel() for k in spec.branches] + [f.b[k] for k in spec.branches]
+    parts += [head_v.ravel(), head_c, head_z, np.array([0.5])]
+    return np.concatenate(parts)

@@ -134,7 +134,16 @@ def q_cv_pipeline(spark, sf):
     return scores.select("candidate", "fold", round4("r2").alias("r2"))
 
 
+def q_ncnn_score(spark, sf):
+    """M8 + M12 with given weights: the network's prediction path."""
+    rows, ctx = _seq_rows(spark, sf)
+    spec = sgd.ConvNetSpec(MAXLEN, DIM)
+    pred = sgd.predict(rows, spec, sgd.rule_conv_params(spec), ctx)
+    return pred.select("paper_id", round4("prediction").alias("prediction"))
+
+
 QUERIES = {
+    "ncnn_score": q_ncnn_score,
     "cv_pipeline": q_cv_pipeline,
     "lr_tfidf": q_lr_tfidf,
     "pipeline_predict": q_pipeline_predict,

@@ -311,7 +311,7 @@ SQL["embed_flatten"] = W(*SEQ, (
     "FROM padded p LEFT JOIN ev USING (paper_id) GROUP BY p.paper_id")
 
 
-def _conv_sql() -> str:
+def _conv_sql(digits: int | None = 4) -> str:
     slot_k = "CASE WHEN c < 20 THEN 1 WHEN c < 60 THEN 2 ELSE 3 END"
     slot_b = "CASE WHEN c < 20 THEN 0 WHEN c < 60 THEN 20 ELSE 60 END"
     ctes = list(SEQ) + [
@@ -331,6 +331,7 @@ def _conv_sql() -> str:
         "WINDOW w AS (PARTITION BY paper_id ORDER BY pos))",
     ]
     aggs, outs = [], []
+    rnd, tail = ("round", f", {digits}") if digits is not None else ("", "")
     for k, base in ((1, 0), (2, 20), (3, 60)):
         for f in range(20):
             terms = [f"proj[{base + f + 1}]"]
@@ -341,9 +342,9 @@ def _conv_sql() -> str:
             aggs.append(f"max(CASE WHEN pos <= {400 - k} THEN {' + '.join(terms)} END) AS m_{k}_{f}")
             b = ((f + k) % 5 - 2) / 10.0
             outs.append(
-                f"SELECT paper_id, {k} AS width, {f} AS filter, round(greatest("
-                f"greatest(m_{k}_{f}, CASE WHEN n <= {400 - k} THEN 0.0e0 END) + ({b!r}), 0.0e0), 4)"
-                f" AS value FROM mj")
+                f"SELECT paper_id, {k} AS width, {f} AS filter, {rnd}(greatest("
+                f"greatest(m_{k}_{f}, CASE WHEN n <= {400 - k} THEN 0.0e0 END) + ({b!r}), 0.0e0)"
+                f"{tail}) AS value FROM mj")
     ctes.append(f"mx AS (SELECT paper_id, {', '.join(aggs)} FROM tl GROUP BY paper_id)")
     ctes.append("mj AS (SELECT k.paper_id, len(k.seq) AS n, mx.* EXCLUDE (paper_id) FROM kept k "
                 "LEFT JOIN mx USING (paper_id))")
@@ -351,3 +352,20 @@ def _conv_sql() -> str:
 
 
 SQL["ngram_conv_pool"] = _conv_sql()
+
+
+def _ncnn_score_sql() -> str:
+    pooled = _conv_sql(digits=None)
+    head = (
+        "pooled AS ({pooled}), "
+        "pi AS (SELECT paper_id, (width - 1) * 20 + filter AS i, value FROM pooled), "
+        "hu AS (SELECT pi.paper_id, u.u, greatest(sum(pi.value * "
+        "(CAST(((3 * pi.i + 7 * u.u) % 13) - 6 AS DOUBLE) / 50.0e0)) + "
+        "CAST((u.u % 7) - 3 AS DOUBLE) / 10.0e0, 0.0e0) AS h "
+        "FROM pi, range(0, 100) u(u) GROUP BY pi.paper_id, u.u) "
+        "SELECT paper_id, round(sum(h * CAST(((5 * u) % 11) - 5 AS DOUBLE) / 20.0e0) + 0.5e0, 4)"
+        " AS prediction FROM hu GROUP BY paper_id")
+    return "WITH " + head.format(pooled=pooled)
+
+
+SQL["ncnn_score"] = _ncnn_score_sql()

@@ -64,3 +64,15 @@ def test_w2v_header_and_first_wins(spark):
     vecs, _ = read_word_vectors(spark, p, "w2v", dim=3)
     got = {r.word: list(r.vec) for r in vecs.collect()}
     assert got == {"alpha": [1.5, 2.5, 0.0], "beta": [1.0, 1.0, 0.0]}
+
+
+def test_write_appends_and_reads_back(spark):
+    from quire.sources.papers import write_papers
+    d = tempfile.mkdtemp(prefix="quire-test-")
+    src = os.path.join(d, "in.txt")
+    write(src, [rec(title="a"), rec(title="b")])
+    out = os.path.join(d, "out")
+    df = read_papers(spark, src)
+    write_papers(df, out)
+    write_papers(df, out)
+    assert sorted(r.title for r in read_papers(spark, out).collect()) == ["a", "a", "b", "b"]
