@@ -19,8 +19,18 @@ from quire.functions.analyzers import sequence_words
 from quire.operators.rows import with_row_index
 
 
-def word_positions(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None):
+# The word index is broadcast only up to this many words (counted first);
+# beyond it the lookup is a shuffle join on the word.
+BROADCAST_MAX_WORDS = 2_000_000
+
+
+def word_positions(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None,
+                   by_id: bool = False):
     cols = [F.col(id_col)] + ([F.col(order_col)] if order_col and order_col != id_col else [])
+    if by_id:
+        # documents hash-partitioned by id once: the per-document regrouping
+        # after a broadcast lookup then needs no second shuffle
+        df = df.select(*cols, F.col(text_col)).repartition(id_col)
     return df.select(*cols, F.posexplode(sequence_words(text_col)).alias("pos", "term"))
 
 
@@ -43,8 +53,11 @@ def fit_word_index(df: DataFrame, id_col: str, text_col: str,
 def texts_to_sequences(df: DataFrame, word_index: DataFrame, id_col: str,
                        text_col: str) -> DataFrame:
     """(id, seq array<int>) -- every document kept, unknown words dropped."""
-    words = word_positions(df, id_col, text_col)
-    known = words.join(word_index.select("term", "idx"), "term")
+    words = word_positions(df, id_col, text_col, by_id=True)
+    index = word_index.select("term", "idx")
+    if index.count() <= BROADCAST_MAX_WORDS:
+        index = F.broadcast(index)  # bounded: counted just above
+    known = words.join(index, "term")
     seqs = (known.groupBy(id_col)
             .agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("_s"))
             .select(id_col, F.transform("_s", lambda x: x["idx"].cast("int")).alias("seq")))
