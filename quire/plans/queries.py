@@ -66,7 +66,7 @@ def q_symbol_split(spark, sf):
 
 def q_treebank_tokens(spark, sf):
     toks = TX.treebank_tokens("abstract")
-    return papers(spark, sf).select("paper_id", F.size(toks).alias("n_tokens"),
+    return papers(spark, sf).select("paper_id", F.size(toks).cast("bigint").alias("n_tokens"),
                                     F.array_join(toks, " ").alias("value"))
 
 
@@ -103,19 +103,19 @@ def q_typed_features(spark, sf):
 
 def q_analyze_terms(spark, sf):
     terms = AZ.analyze("text")
-    return one_text(spark, sf).select("paper_id", F.size(terms).alias("n_terms"),
+    return one_text(spark, sf).select("paper_id", F.size(terms).cast("bigint").alias("n_terms"),
                                       F.md5(F.array_join(terms, "|")).alias("digest"))
 
 
 def q_ngram_terms(spark, sf):
     grams = AZ.analyzer("text", (1, 3))
-    return one_text(spark, sf).select("paper_id", F.size(grams).alias("n_terms"),
+    return one_text(spark, sf).select("paper_id", F.size(grams).cast("bigint").alias("n_terms"),
                                       F.md5(F.array_join(grams, "|")).alias("digest"))
 
 
 def q_stopword_filter(spark, sf):
     kept = AZ.remove_stop_words(AZ.analyze("text"), AZ.ENGLISH_STOP_WORDS)
-    return one_text(spark, sf).select("paper_id", F.size(kept).alias("n_terms"),
+    return one_text(spark, sf).select("paper_id", F.size(kept).cast("bigint").alias("n_terms"),
                                       F.md5(F.array_join(kept, "|")).alias("digest"))
 
 

@@ -42,15 +42,15 @@ def q_sequence_vocabulary(spark, sf):
 def q_texts_to_sequences(spark, sf):
     docs, wi = _base(spark, sf)
     seqs = SQ.texts_to_sequences(docs, wi, "paper_id", "text")
-    return seqs.select("paper_id", F.size("seq").alias("n"), _digest(F.col("seq")).alias("digest"))
+    return seqs.select("paper_id", F.size("seq").cast("bigint").alias("n"), _digest(F.col("seq")).alias("digest"))
 
 
 def q_pad_sequences(spark, sf):
     docs, wi = _base(spark, sf)
     seqs = SQ.texts_to_sequences(docs, wi, "paper_id", "text")
     padded = SQ.pad_sequences("seq", MAXLEN)
-    return seqs.select("paper_id", F.size(padded).alias("n"),
-                       F.size(F.filter(padded, lambda x: x != 0)).alias("n_words"),
+    return seqs.select("paper_id", F.size(padded).cast("bigint").alias("n"),
+                       F.size(F.filter(padded, lambda x: x != 0)).cast("bigint").alias("n_words"),
                        _digest(padded).alias("digest"))
 
 
@@ -74,7 +74,7 @@ def _parse(spark, sf, fmt):
     _, wi = _base(spark, sf)
     lines = vector_lines_from_table(load_table(spark, sf, "embeddings"), wi)
     vecs, _ = parse_vector_lines(lines, fmt=fmt, dim=64)
-    return vecs.select("word", F.size("vec").alias("dim"), round4(_vsum(F.col("vec"))).alias("vsum"))
+    return vecs.select("word", F.size("vec").cast("bigint").alias("dim"), round4(_vsum(F.col("vec"))).alias("vsum"))
 
 
 def q_embedding_parse(spark, sf):
