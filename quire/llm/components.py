@@ -36,9 +36,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = stored(edges.where(F.col(a) != F.col(b))
                .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     while True:
-        # A star forest: no node has two parents, no parent is a child.
-        parents = e.groupBy("u").count().where("count > 1").limit(1).isEmpty()
-        if parents and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+        # Done when a star forest is left: no node has two parents, no parent
+        # is a child.
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")) \
+            .unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        open_ = (ends.groupBy("node").agg(F.sum("child").alias("c"), F.max("parent").alias("p"))
+                 .where("c > 1 or (c = 1 and p = 1)"))
+        if open_.isEmpty():
             break
         e = stored(_hand_over(_hand_over(e, True), False), "edges")
     return (e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -30,9 +30,12 @@ from quire.sources.papers import load_table
 
 #: Bytes of text that one map-side block gathers before it ships its n-grams.
 BLOCK_BYTES = 32 << 20
-#: Cross-component pairs, as a multiple of the prefix rows, that end the hub rounds.
-LAST_PAIRS = 4
+#: Hub rounds go on while the comparisons that are left exceed this multiple of
+#: the rows of their buckets, and at most so often; then all that are left follow.
+LAST_PAIRS = 400
 HUB_ROUNDS = 6
+#: Fragments of the global order in which overlaps are counted.
+FRAGMENTS = 6
 
 
 def _sets(ids: pa.Array, texts: pa.Array, k: int):
@@ -218,58 +221,48 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
         .select("a", "b", (F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("jaccard"))
 
 
-def _link_classes(ordered: DataFrame, percent: int) -> DataFrame:
-    """Verified links that connect every two classes that links connect."""
-    ordered = stored(ordered.where(F.size("shared") >= _least_shared(F.col("n"), percent)), "ngram-order")
-    # A fragment is a range of the global order: a power of two of frequencies.
-    # (All lists are sorted by it, so one pass cuts them.)
-    segments = stored(
-        ordered.select("cls", "n", F.explode("shared").alias("x"))
-        .select("cls", "n", "x.g", F.least(F.floor(F.log2("x.df")), F.lit(12)).cast("int").alias("frag"))
-        .groupBy("cls", "n", "frag").agg(F.collect_list("g").alias("seg")), "ngram-segments")
+def _prefix_members(ordered: DataFrame, percent: int) -> DataFrame:
+    """(g, cls, n, pos) of the prefix n-grams; ``pos`` counts from 0 in the
+    set's global order. Of n-grams that the same classes hold in their
+    prefixes only the first in the order stays: the others show no new pair."""
     prefix = F.size("shared") - _least_shared(F.col("n"), percent) + 1
-    members = stored(ordered.select("cls", "n", F.explode(F.slice("shared", F.lit(1), prefix.cast("int"))).alias("x"))
-                     .select(F.col("x.g").alias("g"), "cls", "n"), "ngram-members")
-    rows = members.count()
-    spark = ordered.sparkSession
-    links = spark.createDataFrame([], "a long, b long, jaccard double")
-    for turn in range(HUB_ROUNDS):
-        state = _with_component(members, links)
-        # Buckets in which all members are connected need no more pairs.
-        per = state.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"))
-        open_ = stored(per.groupBy("g").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"),
-                                            F.max_by("comp", F.struct("c", "comp")).alias("main"))
-                       .where("size * size > same"), "ngram-open")
-        left = open_.agg(F.sum((F.col("size") * F.col("size") - F.col("same")) / 2)).first()[0] or 0
-        if left == 0:
-            return links
-        state = stored(state.join(open_, "g"), "ngram-state")
-        if left <= LAST_PAIRS * rows or turn == HUB_ROUNDS - 1:
-            pairs = _cross_pairs(state, percent)
-            return links.unionByName(stored(_verified(pairs, segments, percent), "ngram-links"))
-        pairs = _hub_pairs(state, turn, percent)
-        links = stored(links.unionByName(_verified(pairs, segments, percent)), "ngram-links")
-    return links
-
-
-def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
-    comp = components(links).withColumnRenamed("node", "cls")
-    return members.join(comp, "cls", "left").select(
-        "g", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-
-
-def _may_link(na, nb, percent: int):
-    return F.least(na, nb) * F.lit(100) >= F.greatest(na, nb) * F.lit(percent)
+    rows = stored(
+        ordered.select("cls", "n", F.size("shared").alias("m"),
+                       F.posexplode(F.slice("shared", F.lit(1), prefix.cast("int"))).alias("i", "x"))
+        .select("x.g", "x.df", "cls", "n", (F.col("n") - F.col("m") + F.col("i")).alias("pos")), "ngram-prefixes")
+    buckets = rows.groupBy("g").agg(F.bit_xor(F.xxhash64("cls")).alias("s1"),
+                                    F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("s2"),
+                                    F.count(F.lit(1)).alias("size"), F.min("df").alias("df"))
+    first = (buckets.where("size > 1").groupBy("s1", "s2", "size")
+             .agg(F.min(F.struct("df", "g")).alias("x")).select("x.g"))
+    return stored(rows.join(first, "g").select("g", "cls", "n", "pos"), "ngram-members")
+
+
+def _may_link(x: str, y: str, percent: int):
+    """Whether members x and y of a bucket can link if the bucket's n-gram is
+    the first that they share: sizes alike, the n-gram within the short prefix
+    of the smaller set, and enough n-grams behind it in both."""
+    def c(side, name):
+        return F.col(f"{side}.{name}")
+    smaller = (c(x, "n") < c(y, "n")) | ((c(x, "n") == c(y, "n")) & (c(x, "cls") < c(y, "cls")))
+    n1, n2 = F.least(c(x, "n"), c(y, "n")), F.greatest(c(x, "n"), c(y, "n"))
+    p1 = F.when(smaller, c(x, "pos")).otherwise(c(y, "pos"))
+    p2 = F.when(smaller, c(y, "pos")).otherwise(c(x, "pos"))
+    whole = 100 + percent
+    short = n1 - F.ceil(n1 * F.lit(2 * percent) / F.lit(whole)) + 1
+    least = F.ceil((n1 + n2) * F.lit(percent) / F.lit(whole))
+    return ((n1 * 100 >= n2 * percent) & (p1 < short) & (F.least(n1 - p1, n2 - p2) >= least))
 
 
 def _hub_pairs(state: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each class with one hub of its buckets: the one it meets most often.
 
     A bucket's hub is a member of its main component, another one each turn."""
-    at = F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "n", "comp")
-    hubs = state.where("comp = main").groupBy("g").agg(F.min(at).alias("hub"))
-    meets = (state.join(hubs, "g").where("comp <> hub.comp").where(_may_link(F.col("n"), F.col("hub.n"), percent))
-             .groupBy("cls", F.col("hub.cls").alias("h")).agg(F.count(F.lit(1)).alias("times")))
+    at = F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "n", "pos", "comp")
+    hubs = state.where("comp = main").groupBy("g").agg(F.min(at).alias("h")).select("g", "h.*").alias("h")
+    meets = (state.alias("x").join(hubs, "g").where(F.col("x.comp") != F.col("h.comp"))
+             .where(_may_link("x", "h", percent))
+             .groupBy("x.cls", F.col("h.cls").alias("h")).agg(F.count(F.lit(1)).alias("times")))
     best = meets.groupBy("cls").agg(F.max(F.struct("times", "h")).alias("best"))
     return best.select(F.greatest("cls", "best.h").alias("a"), F.least("cls", "best.h").alias("b")).distinct()
 
@@ -277,12 +270,55 @@ def _hub_pairs(state: DataFrame, turn: int, percent: int) -> DataFrame:
 def _cross_pairs(state: DataFrame, percent: int) -> DataFrame:
     """All pairs of a bucket's members that lie in different components: those
     outside the bucket's main component against all others."""
-    left = state.where("comp <> main").select("g", F.col("cls").alias("x"), F.col("n").alias("nx"),
-                                              F.col("comp").alias("cx"))
-    right = state.select("g", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), "main")
-    both = left.join(right, "g").where("cx <> cy and (cy = main or x < y)") \
-        .where(_may_link(F.col("nx"), F.col("ny"), percent))
-    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    x = state.where("comp <> main").alias("x")
+    y = state.alias("y")
+    both = x.join(y, "g").where(F.col("x.comp") != F.col("y.comp")) \
+        .where((F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))) \
+        .where(_may_link("x", "y", percent))
+    return both.select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct()
+
+
+def _open_members(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Members of buckets that hold several components, each with its component
+    and the bucket's largest one."""
+    if links is None:
+        state = members.withColumn("comp", F.col("cls"))
+    else:
+        comp = components(links).withColumnRenamed("node", "cls")
+        state = members.join(comp, "cls", "left").withColumn("comp", F.coalesce("component", "cls")) \
+            .drop("component")
+    per = state.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = (per.groupBy("g").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k"))
+            .where("k > 1").select("g", F.col("m.comp").alias("main"), F.col("m.c").alias("most")))
+    return stored(state.join(main, "g"), "ngram-open")
+
+
+def _link_classes(ordered: DataFrame, percent: int) -> DataFrame:
+    """Verified links that connect every two classes that links connect."""
+    ordered = stored(ordered.where(F.size("shared") >= _least_shared(F.col("n"), percent)), "ngram-order")
+    # A fragment is a range of the global order, the frequencies between two
+    # powers of two; the last holds all that are more frequent.
+    segments = (ordered.select("cls", "n", "shared", F.explode(F.sequence(F.lit(1), F.lit(FRAGMENTS))).alias("frag"))
+                .select("cls", "n", "frag", F.expr(
+                    f"filter(shared, x -> least({FRAGMENTS}, int(floor(log2(x.df)))) = frag)").getField("g").alias("seg"))
+                .where(F.size("seg") > 0))
+    members = _prefix_members(ordered, percent)
+    links, keep = None, ["g", "cls", "n", "pos"]
+    for turn in range(HUB_ROUNDS):
+        state = _open_members(members, links)
+        rows, cross = state.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("main"), F.col("most")))).first()
+        if not rows:
+            break
+        last = turn and (cross <= LAST_PAIRS * rows or turn == HUB_ROUNDS - 1)
+        pairs = _cross_pairs(state, percent) if last else _hub_pairs(state, turn, percent)
+        found = _verified(pairs, segments, percent)
+        links = stored(found if links is None else links.unionByName(found), "ngram-links")
+        if last:
+            break
+        members = state.select(*keep)
+    if links is None:
+        links = ordered.sparkSession.createDataFrame([], "a long, b long, jaccard double")
+    return links
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
