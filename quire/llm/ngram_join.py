@@ -32,7 +32,7 @@ from quire.sources.papers import load_table
 BLOCK_BYTES = 32 << 20
 #: Hub rounds go on while the comparisons that are left exceed this multiple of
 #: the rows of their buckets, and at most so often; then all that are left follow.
-LAST_PAIRS = 400
+LAST_PAIRS = 16
 HUB_ROUNDS = 6
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 6
@@ -200,21 +200,37 @@ def _ordered(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(cls, n, shared): the n-grams that other classes hold too, as (df, hash)
     in the global order; n-grams of one class alone come before all others and
     are only counted (n - size(shared))."""
-    texts = (docs.join(classes, F.col("_id") == F.col("first_id"))
+    texts = (docs.join(_small(classes, "ngram-texts"), F.col("_id") == F.col("first_id"))
              .select("_id", "_text", "cls"))
     sets = stored(texts.mapInArrow(lambda it: _grams(it, k), "cls long, n int, grams array<long>")
                   .dropDuplicates(["cls"]), "ngram-grams")
-    rows = sets.select("cls", "n", F.explode("grams").alias("g"))
+    # A class holds an n-gram once, so one n-gram is a small part of the rows;
+    # one exchange by n-gram serves the count and the join.
+    rows = sets.select("cls", "n", F.explode("grams").alias("g")).repartition(partitions(docs), "g")
     df = rows.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
     return (rows.join(df, "g").groupBy("cls", "n")
             .agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("shared")))
 
 
+#: Rows of two or three numbers that may be broadcast (16 to 24 MB); beyond it
+#: Spark joins them by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once, and broadcast if its rows, counted, are few."""
+    df = stored(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose partial overlaps add up to the threshold."""
+    """The pairs (a, b) whose partial overlaps add up to the threshold. Only
+    the segments of classes that occur in pairs move."""
+    pairs = _small(pairs, "ngram-pairs")
     left = segments.select(F.col("cls").alias("a"), F.col("n").alias("na"), "frag", F.col("seg").alias("sa"))
     right = segments.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "frag", F.col("seg").alias("sb"))
-    partial = (pairs.join(left, "a").join(right, ["b", "frag"])
+    right = right.join(_small(pairs.select("b").distinct(), "ngram-hubs"), "b", "left_semi")
+    partial = (left.join(pairs, "a").join(right, ["b", "frag"])
                .groupBy("a", "b", "na", "nb")
                .agg(F.sum(F.size(F.array_intersect("sa", "sb"))).alias("o")))
     return partial.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))) \
@@ -222,20 +238,21 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefix_members(ordered: DataFrame, percent: int) -> DataFrame:
-    """(g, cls, n, pos) of the prefix n-grams; ``pos`` counts from 0 in the
-    set's global order. Of n-grams that the same classes hold in their
+    """(g, cls, n, own, pos) of the prefix n-grams; ``pos`` counts from 0 in the
+    set's global order, ``own`` is the number of n-grams that it alone holds. Of n-grams that the same classes hold in their
     prefixes only the first in the order stays: the others show no new pair."""
     prefix = F.size("shared") - _least_shared(F.col("n"), percent) + 1
     rows = stored(
         ordered.select("cls", "n", F.size("shared").alias("m"),
                        F.posexplode(F.slice("shared", F.lit(1), prefix.cast("int"))).alias("i", "x"))
-        .select("x.g", "x.df", "cls", "n", (F.col("n") - F.col("m") + F.col("i")).alias("pos")), "ngram-prefixes")
+        .select("x.g", "x.df", "cls", "n", (F.col("n") - F.col("m")).alias("own"),
+                (F.col("n") - F.col("m") + F.col("i")).alias("pos")), "ngram-prefixes")
     buckets = rows.groupBy("g").agg(F.bit_xor(F.xxhash64("cls")).alias("s1"),
                                     F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("s2"),
                                     F.count(F.lit(1)).alias("size"), F.min("df").alias("df"))
     first = (buckets.where("size > 1").groupBy("s1", "s2", "size")
              .agg(F.min(F.struct("df", "g")).alias("x")).select("x.g"))
-    return stored(rows.join(first, "g").select("g", "cls", "n", "pos"), "ngram-members")
+    return stored(rows.join(first, "g").select("g", "cls", "n", "own", "pos"), "ngram-members")
 
 
 def _may_link(x: str, y: str, percent: int):
@@ -257,14 +274,17 @@ def _may_link(x: str, y: str, percent: int):
 def _hub_pairs(state: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each class with one hub of its buckets: the one it meets most often.
 
-    A bucket's hub is a member of its main component, another one each turn."""
-    at = F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "n", "pos", "comp")
+    A bucket's hub is a member of its main component: first the one with the
+    fewest n-grams of its own, which edited copies have and their source lacks,
+    later another one each turn."""
+    order = F.col("own").cast("long") if turn == 0 else F.xxhash64("cls", F.lit(turn))
+    at = F.struct(order.alias("o"), "cls", "n", "pos", "comp")
     hubs = state.where("comp = main").groupBy("g").agg(F.min(at).alias("h")).select("g", "h.*").alias("h")
     meets = (state.alias("x").join(hubs, "g").where(F.col("x.comp") != F.col("h.comp"))
              .where(_may_link("x", "h", percent))
              .groupBy("x.cls", F.col("h.cls").alias("h")).agg(F.count(F.lit(1)).alias("times")))
     best = meets.groupBy("cls").agg(F.max(F.struct("times", "h")).alias("best"))
-    return best.select(F.greatest("cls", "best.h").alias("a"), F.least("cls", "best.h").alias("b")).distinct()
+    return best.select(F.col("cls").alias("a"), F.col("best.h").alias("b"))
 
 
 def _cross_pairs(state: DataFrame, percent: int) -> DataFrame:
@@ -287,8 +307,8 @@ def _open_members(members: DataFrame, links: DataFrame | None) -> DataFrame:
         comp = components(links).withColumnRenamed("node", "cls")
         state = members.join(comp, "cls", "left").withColumn("comp", F.coalesce("component", "cls")) \
             .drop("component")
-    per = state.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = (per.groupBy("g").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("k"))
+    per = state.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"), F.max(-F.col("own")).alias("own"))
+    main = (per.groupBy("g").agg(F.max(F.struct("c", "own", "comp")).alias("m"), F.count(F.lit(1)).alias("k"))
             .where("k > 1").select("g", F.col("m.comp").alias("main"), F.col("m.c").alias("most")))
     return stored(state.join(main, "g"), "ngram-open")
 
@@ -303,7 +323,7 @@ def _link_classes(ordered: DataFrame, percent: int) -> DataFrame:
                     f"filter(shared, x -> least({FRAGMENTS}, int(floor(log2(x.df)))) = frag)").getField("g").alias("seg"))
                 .where(F.size("seg") > 0))
     members = _prefix_members(ordered, percent)
-    links, keep = None, ["g", "cls", "n", "pos"]
+    links, keep = None, ["g", "cls", "n", "own", "pos"]
     for turn in range(HUB_ROUNDS):
         state = _open_members(members, links)
         rows, cross = state.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("main"), F.col("most")))).first()

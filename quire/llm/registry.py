@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, ngram_join
+from quire.llm import exact_dedup, ngram_join, sentencepiece_spans, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_sentencepiece": sentencepiece_spans.op5_sentencepiece,
 }
 SQL = {**exact_dedup.SQL}
