@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, ngram_join, sentencepiece_spans, token_counts
+from quire.llm import (exact_dedup, mixing, ngram_join, quality, secrets, sentencepiece_spans,
+                       token_counts, warc)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_mix_sources": mixing.op4_mix_sources,
     "op5_sentencepiece": sentencepiece_spans.op5_sentencepiece,
+    "op7_quality_classifier": quality.op7_quality_classifier,
+    "op8_secret_scan": secrets.op8_secret_scan,
+    "op10_warc": warc.op10_warc,
 }
-SQL = {**exact_dedup.SQL}
+SQL = {**exact_dedup.SQL, **warc.SQL}
