@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import stored
+
 #: The ASCII white space that separates words in this subpackage.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,16 +30,27 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     """Equi-join in which one key of ``left`` may hold a third of its rows.
 
     ``left`` rows are dealt over ``salts`` sub-keys by a hash of all their
-    columns, ``right`` (one row a key) is repeated once for every sub-key. The
-    result is that of the plain join.
+    columns, ``right`` (one row a key) is repeated once for every sub-key and
+    never broadcast. The result is that of the plain join.
     """
     cols = [col(c) for c in left.columns]
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     on = reduce(lambda a, b: a & b, [spread[c].eqNullSafe(copies[c]) for c in [*keys, "_salt"]])
     drop = [copies[c] for c in [*keys, "_salt"]]
     return reduce(lambda d, c: d.drop(c), drop, spread.join(copies, on, how)).drop("_salt")
 
 
+#: Rows of a few numbers that may be broadcast (at most 16 to 64 MB); beyond it
+#: Spark joins them by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once, and broadcast if its rows, counted, are few."""
+    df = stored(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE, col, id_text, salted_join
+from quire.llm.common import SPACE, col, id_text, salted_join, small
 from quire.session import stored
 from quire.sources.papers import load_table
 
@@ -110,21 +110,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that :func:`exact_dedup` keeps, with their columns.
 
-    Rows move once, joined with their decision by id and text hash. Only where
-    an id repeats are rows with the same id and text reduced to one.
+    Rows are dropped by id and text hash. Only where an id repeats are rows
+    with the same id and text reduced to one.
     """
-    kept = (exact_dedup(df, id_col, text_col).where("kept")
-            .select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")))
-    rows = df.withColumn("_row_sha", F.sha2(normalised(F.coalesce(col(text_col), F.lit(""))), 256))
-    same = col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_row_sha") == F.col("_keep_sha"))
-    out = rows.join(kept, same, "left_semi")
+    out = exact_dedup(df, id_col, text_col)
+    gone = out.where(~F.col("kept") & ~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(
+        F.col(id_col).alias("_gone"), F.unhex("text_sha256").alias("_gone_sha")).distinct()
+    rows = df.withColumn("_row_sha", F.unhex(F.sha2(normalised(F.coalesce(col(text_col), F.lit(""))), 256)))
+    same = col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_row_sha") == F.col("_gone_sha"))
+    rows = rows.join(small(gone, "copies"), same, "left_anti")
     again = stored(df.groupBy(col(id_col).alias("_again")).count().where("count > 1")
                    .select("_again"), "repeated-ids")
     if not again.isEmpty():
         repeats = col(id_col).eqNullSafe(F.col("_again"))
-        out = out.join(again, repeats, "left_anti").unionByName(
-            out.join(again, repeats, "left_semi").dropDuplicates([id_col, "_row_sha"]))
-    return out.select(*[col(c) for c in df.columns])
+        rows = rows.join(again, repeats, "left_anti").unionByName(
+            rows.join(again, repeats, "left_semi").dropDuplicates([id_col, "_row_sha"]))
+    return rows.select(*[col(c) for c in df.columns])
 
 
 SQL = {"op3_exact_dedup": r"""

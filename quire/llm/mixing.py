@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quire.llm.common import WORD, col
+from quire.llm.common import WORD, col, salted_join, small
 from quire.operators.rows import with_row_index
 from quire.session import ship_package, stored
 from quire.sources.papers import load_table
@@ -150,11 +150,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         _fit(most, knapsack), f"source {kind}, size long, n long, source_size long, target double, "
         "passes int, extra long")
     plan = stored(plan.withColumn("parts", F.ceil(F.col("n") / F.lit(RANKED_TOGETHER)).cast("long")), "mix-plan")
-    light = docs.withColumn("_salt", (F.col("_row") % 16).cast("int"))
-    copies = (plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-              .withColumnsRenamed({"source": "_s", "size": "_z"}))
-    rows = light.join(copies, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) &
-                      (light["_salt"] == copies["_salt"])).drop("_s", "_z", "_salt")
+    rows = salted_join(docs, plan, ["source", "size"], "inner")
     # Seeded order, cut into ``parts`` ranges of its hash; a part's offset is
     # the number of documents in the parts before it.
     order = F.xxhash64("_id", F.lit(seed))
@@ -188,6 +184,6 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     Texts without words are dropped. Ids must not repeat."""
     taken = (mix(df, id_col, text_col, source_col).where("taken > 0")
              .select(F.col(id_col).alias("_taken_id"), F.expr("int(taken div size)").alias("_times")))
-    out = df.join(taken, col(id_col).eqNullSafe(F.col("_taken_id")))
+    out = df.join(small(taken, "taken"), col(id_col).eqNullSafe(F.col("_taken_id")))
     return (out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
             .select(*[col(c) for c in df.columns]))

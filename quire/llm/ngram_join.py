@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import shingles as S
-from quire.llm.common import col, id_text, partitions
+from quire.llm.common import col, id_text, partitions, small
 from quire.llm.components import components
 from quire.session import ship_package, stored
 from quire.sources.papers import load_table
@@ -200,7 +200,7 @@ def _ordered(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(cls, n, shared): the n-grams that other classes hold too, as (df, hash)
     in the global order; n-grams of one class alone come before all others and
     are only counted (n - size(shared))."""
-    texts = (docs.join(_small(classes, "ngram-texts"), F.col("_id") == F.col("first_id"))
+    texts = (docs.join(small(classes, "ngram-texts"), F.col("_id") == F.col("first_id"))
              .select("_id", "_text", "cls"))
     sets = stored(texts.mapInArrow(lambda it: _grams(it, k), "cls long, n int, grams array<long>")
                   .dropDuplicates(["cls"]), "ngram-grams")
@@ -212,24 +212,13 @@ def _ordered(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
             .agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("shared")))
 
 
-#: Rows of two or three numbers that may be broadcast (16 to 24 MB); beyond it
-#: Spark joins them by shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def _small(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once, and broadcast if its rows, counted, are few."""
-    df = stored(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose partial overlaps add up to the threshold. Only
     the segments of classes that occur in pairs move."""
-    pairs = _small(pairs, "ngram-pairs")
+    pairs = small(pairs, "ngram-pairs")
     left = segments.select(F.col("cls").alias("a"), F.col("n").alias("na"), "frag", F.col("seg").alias("sa"))
     right = segments.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "frag", F.col("seg").alias("sb"))
-    right = right.join(_small(pairs.select("b").distinct(), "ngram-hubs"), "b", "left_semi")
+    right = right.join(small(pairs.select("b").distinct(), "ngram-hubs"), "b", "left_semi")
     partial = (left.join(pairs, "a").join(right, ["b", "frag"])
                .groupBy("a", "b", "na", "nb")
                .agg(F.sum(F.size(F.array_intersect("sa", "sb"))).alias("o")))
@@ -382,7 +371,8 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component."""
+    """The rows of ``df`` without those that a smaller id of their component
+    stands for."""
     out = ngram_join(df, id_col, text_col)
-    keep = out.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    return df.join(keep, col(id_col) == F.col("_keep"), "left_semi")
+    gone = out.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    return df.join(small(gone, "near-copies"), col(id_col) == F.col("_gone"), "left_anti")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import shingles as S
-from quire.llm.common import col, id_text
+from quire.llm.common import col, id_text, small
 from quire.session import ship_package, stored
 from quire.sources.papers import load_table
 
@@ -204,4 +204,4 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """The rows of ``df`` that the classifier does not reject."""
     bad = (quality_scores(df, labels, id_col, text_col).where("predicted = 0")
            .select(F.col(id_col).alias("_bad")).distinct())
-    return df.join(bad, col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    return df.join(small(bad, "rejected"), col(id_col).eqNullSafe(F.col("_bad")), "left_anti")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.llm import (exact_dedup, mixing, ngram_join, quality, secrets, sentencepiece_spans,
-                       token_counts, warc)
+from quire.llm import (embedding_dedup, exact_dedup, mixing, ngram_join, passage_dedup, quality,
+                       secrets, sentencepiece_spans, token_counts, warc)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,8 +11,10 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_sentencepiece": sentencepiece_spans.op5_sentencepiece,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_passage_dedup": passage_dedup.op9_passage_dedup,
     "op10_warc": warc.op10_warc,
 }
 SQL = {**exact_dedup.SQL, **warc.SQL}
