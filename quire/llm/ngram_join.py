@@ -32,8 +32,8 @@ from quire.sources.papers import load_table
 BLOCK_BYTES = 32 << 20
 #: Hub rounds go on while the comparisons that are left exceed this multiple of
 #: the rows of their buckets, and at most so often; then all that are left follow.
-LAST_PAIRS = 16
-HUB_ROUNDS = 6
+LAST_PAIRS = 256
+HUB_ROUNDS = 3
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 6
 
@@ -212,16 +212,25 @@ def _ordered(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
             .agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("shared")))
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _segments(ordered: DataFrame) -> DataFrame:
+    """A row's n-grams cut into fragments. A fragment is a range of the global
+    order, the frequencies between two powers of two; the last holds all that
+    are more frequent."""
+    rows = ordered.withColumn("frag", F.explode(F.sequence(F.lit(1), F.lit(FRAGMENTS))))
+    inside = F.expr(f"filter(shared, x -> least({FRAGMENTS}, int(floor(log2(x.df)))) = frag)")
+    return rows.withColumn("seg", inside.getField("g")).drop("shared").where(F.size("seg") > 0)
+
+
+def _verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose partial overlaps add up to the threshold. Only
-    the segments of classes that occur in pairs move."""
+    n-grams of classes that occur in pairs are cut and moved."""
     pairs = small(pairs, "ngram-pairs")
-    left = segments.select(F.col("cls").alias("a"), F.col("n").alias("na"), "frag", F.col("seg").alias("sa"))
-    right = segments.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "frag", F.col("seg").alias("sb"))
-    right = right.join(small(pairs.select("b").distinct(), "ngram-hubs"), "b", "left_semi")
-    partial = (left.join(pairs, "a").join(right, ["b", "frag"])
-               .groupBy("a", "b", "na", "nb")
-               .agg(F.sum(F.size(F.array_intersect("sa", "sb"))).alias("o")))
+    left = _segments(ordered.select(F.col("cls").alias("a"), F.col("n").alias("na"), "shared").join(pairs, "a"))
+    hubs = small(pairs.select("b").distinct(), "ngram-hubs")
+    right = _segments(ordered.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "shared")
+                      .join(hubs, "b", "left_semi")).withColumnRenamed("seg", "sb")
+    partial = (left.join(right, ["b", "frag"]).groupBy("a", "b", "na", "nb")
+               .agg(F.sum(F.size(F.array_intersect("seg", "sb"))).alias("o")))
     return partial.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))) \
         .select("a", "b", (F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("jaccard"))
 
@@ -305,12 +314,6 @@ def _open_members(members: DataFrame, links: DataFrame | None) -> DataFrame:
 def _link_classes(ordered: DataFrame, percent: int) -> DataFrame:
     """Verified links that connect every two classes that links connect."""
     ordered = stored(ordered.where(F.size("shared") >= _least_shared(F.col("n"), percent)), "ngram-order")
-    # A fragment is a range of the global order, the frequencies between two
-    # powers of two; the last holds all that are more frequent.
-    segments = (ordered.select("cls", "n", "shared", F.explode(F.sequence(F.lit(1), F.lit(FRAGMENTS))).alias("frag"))
-                .select("cls", "n", "frag", F.expr(
-                    f"filter(shared, x -> least({FRAGMENTS}, int(floor(log2(x.df)))) = frag)").getField("g").alias("seg"))
-                .where(F.size("seg") > 0))
     members = _prefix_members(ordered, percent)
     links, keep = None, ["g", "cls", "n", "own", "pos"]
     for turn in range(HUB_ROUNDS):
@@ -320,7 +323,7 @@ def _link_classes(ordered: DataFrame, percent: int) -> DataFrame:
             break
         last = turn and (cross <= LAST_PAIRS * rows or turn == HUB_ROUNDS - 1)
         pairs = _cross_pairs(state, percent) if last else _hub_pairs(state, turn, percent)
-        found = _verified(pairs, segments, percent)
+        found = _verified(pairs, ordered, percent)
         links = stored(found if links is None else links.unionByName(found), "ngram-links")
         if last:
             break
