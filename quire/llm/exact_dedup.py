@@ -32,7 +32,7 @@ def chunk_hash(chunk: Column, hash_bits: int) -> Column:
     return h if hash_bits >= 64 else F.pmod(h, F.lit(1 << hash_bits))
 
 
-def recipes(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
+def recipes(docs: DataFrame) -> DataFrame:
     """``_id``, ``sha`` and ``chunks``: the document's chunks in order.
 
     ``docs`` has ``_id`` and ``_text``.
@@ -62,11 +62,12 @@ def verified(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     if clashes.isEmpty():  # every hash was verified to be one content
         return plain
     # The rank of each chunk whose hash is shared; -1 for all others.
-    rows = (recipes(docs).select("_id", "sha", F.posexplode("chunks").alias("pos", "chunk"))
-            .select("_id", "sha", "pos", chunk_hash(F.col("chunk"), hash_bits).alias("h"),
+    rows = (recipes(docs).withColumn("_row", F.monotonically_increasing_id())
+            .select("_row", "_id", "sha", F.posexplode("chunks").alias("pos", "chunk"))
+            .select("_row", "_id", "sha", "pos", chunk_hash(F.col("chunk"), hash_bits).alias("h"),
                     F.sha2("chunk", 256).alias("content")))
     ranked = salted_join(rows, clashes.select("h", "content", "rank"), ["h", "content"])
-    resolved = (ranked.groupBy("_id", "sha").agg(F.sort_array(F.collect_list(
+    resolved = (ranked.groupBy("_row", "_id", "sha").agg(F.sort_array(F.collect_list(
         F.struct("pos", "h", F.coalesce("rank", F.lit(-1)).alias("rank")))).alias("r"))
         .select("_id", "sha", F.col("r.h").alias("recipe"), F.col("r.rank").alias("ranks")))
     return resolved.unionByName(plain.where(F.size("recipe") == 0))
