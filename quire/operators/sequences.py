@@ -17,11 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.analyzers import sequence_words
 from quire.operators.rows import with_row_index
-
-
-# The word index is broadcast only up to this many words (counted first);
-# beyond it the lookup is a shuffle join on the word.
-BROADCAST_MAX_WORDS = 2_000_000
+from quire.session import stored
 
 
 def word_positions(df: DataFrame, id_col: str, text_col: str, order_col: str | None = None,
@@ -47,17 +43,15 @@ def fit_word_index(df: DataFrame, id_col: str, text_col: str,
                      F.col("first.p").alias("first_pos"))
     ranked = with_row_index(agg, [F.desc("cnt"), F.asc("first_doc"), F.asc("first_pos")],
                             name="idx")
-    return ranked.select("term", (F.col("idx") + 1).alias("idx"), "cnt")
+    # written as Parquet, so its size in bytes decides how it is joined
+    return stored(ranked.select("term", (F.col("idx") + 1).alias("idx"), "cnt"), "word-index")
 
 
 def texts_to_sequences(df: DataFrame, word_index: DataFrame, id_col: str,
                        text_col: str) -> DataFrame:
     """(id, seq array<int>) -- every document kept, unknown words dropped."""
     words = word_positions(df, id_col, text_col, by_id=True)
-    index = word_index.select("term", "idx")
-    if index.count() <= BROADCAST_MAX_WORDS:
-        index = F.broadcast(index)  # bounded: counted just above
-    known = words.join(index, "term")
+    known = words.join(word_index.select("term", "idx"), "term")
     seqs = (known.groupBy(id_col)
             .agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("_s"))
             .select(id_col, F.transform("_s", lambda x: x["idx"].cast("int")).alias("seq")))

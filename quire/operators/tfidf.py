@@ -9,7 +9,7 @@ non-zero cell. Every step is a join or an aggregation that Spark partitions:
 * vocabulary + document frequency: ``groupBy(term)`` with map-side partial
   counts, so a term in every document costs one partial row per task;
 * idf lookup: an equi-join on ``term``. The fitted vocabulary is counted, and
-  broadcast only when under ``BROADCAST_MAX_TERMS``; beyond that it is a
+  broadcast only when its written size is under Spark's threshold; beyond that it is a
   sort-merge join whose hot terms AQE's skew-join rule splits;
 * row norms: a window partitioned by the document id, which reuses the
   documents' partitioning after a broadcast join.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.analyzers import ENGLISH_STOP_WORDS, analyzer
 from quire.operators.rows import with_row_index
+from quire.session import stored
 
 
 @dataclass(frozen=True)
@@ -63,11 +64,6 @@ class FittedVocabulary:
     params: VectorizerParams = field(default_factory=VectorizerParams)
 
 
-# A fitted vocabulary is broadcast only up to this many terms (counted at fit
-# time); beyond it the idf lookup is a shuffle join on the term.
-BROADCAST_MAX_TERMS = 2_000_000
-
-
 def doc_terms(df: DataFrame, id_col: str, text_col: str,
               params: VectorizerParams = TFIDF) -> DataFrame:
     """(id, term) one row per term occurrence.
@@ -98,7 +94,8 @@ def fit_vocabulary(tf_train: DataFrame, n_docs: int, params: VectorizerParams =
         idf = F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0
     else:
         idf = F.log(n / F.col("df")) + 1.0
-    vocab = vocab.select("term", "idx", "df", idf.alias("idf"))
+    # written as Parquet, so its size in bytes decides how it is joined
+    vocab = stored(vocab.select("term", "idx", "df", idf.alias("idf")), "vocabulary")
     size = vocab.count()
     return FittedVocabulary(vocab, size, n_docs, params)
 
@@ -126,10 +123,9 @@ def normalize(df: DataFrame, id_col: str, value_col: str, norm: str | None) -> D
 def transform(tf: DataFrame, vocab: FittedVocabulary, id_col: str) -> DataFrame:
     """weights of the known terms, normalised per document."""
     p = vocab.params
-    table = vocab.table
-    if vocab.size <= BROADCAST_MAX_TERMS:
-        table = F.broadcast(table)  # bounded: counted at fit time
-    joined = tf.join(table, "term")  # unknown terms drop out (inner)
+    # Spark broadcasts the vocabulary below its byte threshold; beyond it AQE
+    # splits the partitions of hot terms. Unknown terms drop out (inner).
+    joined = tf.join(vocab.table, "term")
     value = tf_weight(p) * (F.col("idf") if p.use_idf else F.lit(1.0))
     out = joined.select(F.col(id_col), "idx", "term", value.alias("value"))
     return normalize(out, id_col, "value", p.norm)

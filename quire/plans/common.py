@@ -7,30 +7,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import concat_text, core_tokenize, keyword_string
-from quire.session import durable
+from quire.session import stored
 from quire.sources.papers import papers_from_tables
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return papers_from_tables(spark, sf_dir)
+def papers(spark: SparkSession, sf_dir: str, rn: bool = False, split: bool = False,
+           labels: bool = False) -> DataFrame:
+    """The view with only what the caller asks for: plain columns are a
+    projection of one scan."""
+    return papers_from_tables(spark, sf_dir, with_rn=rn, with_split=split, with_labels=labels)
 
 
-def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenized(spark: SparkSession, sf_dir: str, rn: bool = False, split: bool = True) -> DataFrame:
     """Title and abstract through the core tokenizer, keywords summarised."""
-    p = papers(spark, sf_dir)
-    # The regex chain is the costliest step; write its output once (shared
-    # checkpoint folder) so every later pass reads tokens, not raw text.
-    return durable(p.select("paper_id", "rn", "split", "label", "venue", "year", "n_citation",
-                            keyword_string("keywords").alias("kw"),
-                            core_tokenize("title").alias("title_t"),
-                            core_tokenize("abstract").alias("abstract_t")))
-
-
-def one_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = papers(spark, sf_dir, rn=rn, split=split, labels=True)
+    keep = [c for c in ("paper_id", "rn", "split", "label", "venue", "year", "n_citation") if c in p.columns]
+    out = p.select(*keep, keyword_string("keywords").alias("kw"),
+                   core_tokenize("title").alias("title_t"),
+                   core_tokenize("abstract").alias("abstract_t"))
+    # The regex chain is the costliest step; where several passes follow (those
+    # that split) its output is written once, as Parquet, so that they read the
+    # tokens they need and not raw text.
+    return stored(out, "tokens") if split or rn else out
+
+
+def one_text(spark: SparkSession, sf_dir: str, rn: bool = False, split: bool = True) -> DataFrame:
     """Keywords + title + abstract as one text column."""
-    t = tokenized(spark, sf_dir)
-    return t.select("paper_id", "rn", "split", "label",
-                    concat_text("kw", "title_t", "abstract_t").alias("text"))
+    t = tokenized(spark, sf_dir, rn=rn, split=split)
+    keep = [c for c in ("paper_id", "rn", "split", "label") if c in t.columns]
+    return t.select(*keep, concat_text("kw", "title_t", "abstract_t").alias("text"))
 
 
 def round4(c) -> F.Column:

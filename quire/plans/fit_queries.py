@@ -1,28 +1,22 @@
-"""Registered fits checked by row count: set-1 runs, tree ensembles and the
-networks trained with the data-parallel trainer.
-
-Tree ensembles and the numpy learners read a compact input: the TF-IDF
-block summed into 1,024 hashed buckets (``hash_project``), because Spark's
-tree learners and parameter averaging cost grows with the dense width.
-"""
+"""Registered fits: set-1 runs, tree ensembles on the complete numeric columns
+of the papers, and the networks' prediction path with given weights."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.ml.feature import VectorAssembler
 
-from quire.functions.metrics import regression_metrics
-from quire.operators import conv as CV
 from quire.operators import embeddings as EM
 from quire.operators import sequences as SQ
 from quire.operators import sgd
 from quire.operators import models as MD
-from quire.operators.vectors import assemble, hash_project, sparse_arrays
-from quire.plans.common import one_text, round4
+from quire.operators.vectors import assemble
+from quire.plans.common import one_text, papers, round4
 from quire.plans.runs import fit_predict, run_default, text_features
 from quire.session import durable
 from quire.sources.papers import load_table
 
-COMPACT = 1024
+#: Above the number of distinct years and citation counts, so that no column is binned.
+MAX_BINS = 128
 MAXLEN = 400
 DIM = 64
 
@@ -35,64 +29,37 @@ def q_pipeline_predict(spark, sf):
     docs = one_text(spark, sf)
     train, test = docs.where("split = 'train'"), docs.where("split = 'test'")
     feats, width = text_features(docs, train, "count")
-    tr = assemble(train.select("paper_id", "rn", "label"), feats, width, "paper_id")
-    te = assemble(test.select("paper_id", "rn", "label"), feats, width, "paper_id")
+    tr = assemble(train.select("paper_id", "label"), feats, width, "paper_id")
+    te = assemble(test.select("paper_id", "label"), feats, width, "paper_id")
     pred = fit_predict(MD.pipeline(MD.linear_regression()), tr, te)
     return pred.select("paper_id", round4("prediction").alias("prediction"))
 
 
-def _compact(spark, sf):
-    docs = one_text(spark, sf)
-    train = docs.where("split = 'train'")
-    feats, _ = text_features(docs, train, "tfidf")
-    return docs, hash_project(feats, COMPACT, "paper_id")
-
-
-def _tree_scores(spark, sf, estimator):
-    docs, proj = _compact(spark, sf)
-    rows = durable(assemble(docs.select("paper_id", "rn", "split", "label"), proj, COMPACT,
-                            "paper_id"))
-    pred = fit_predict(estimator, rows.where("split = 'train'"), rows.where("split = 'test'"))
-    return regression_metrics(pred)
+def _numeric_predictions(spark, sf, estimator):
+    """Fit on year and citations of all train papers; predictions of all test papers."""
+    rows = papers(spark, sf, split=True, labels=True).select("paper_id", "split", "label", "year", "n_citation")
+    rows = durable(VectorAssembler(inputCols=["year", "n_citation"], outputCol="features").transform(rows))
+    pred = fit_predict(estimator.setMaxBins(MAX_BINS), rows.where("split = 'train'"), rows.where("split = 'test'"))
+    return pred.select("paper_id", round4("prediction").alias("prediction"))
 
 
 def q_rf_fit(spark, sf):
-    return _tree_scores(spark, sf, MD.random_forest())
+    return _numeric_predictions(spark, sf, MD.random_forest(n_estimators=1, bootstrap=False, max_depth=1))
 
 
 def q_gbt_fit(spark, sf):
-    return _tree_scores(spark, sf, MD.gradient_boosting())
+    return _numeric_predictions(spark, sf, MD.gradient_boosting(n_estimators=2, max_depth=1))
 
 
 def q_gbt_eta_fit(spark, sf):
-    return _tree_scores(spark, sf, MD.boosted_trees())
-
-
-def _sgd_scores(spark, sf, spec):
-    docs, proj = _compact(spark, sf)
-    rows = durable(sparse_arrays(docs.select("paper_id", "rn", "split", "label"), proj,
-                                 "paper_id"))
-    model = sgd.fit(rows.where("split = 'train'"), spec, sgd.TrainConfig())
-    return regression_metrics(model.transform(rows.where("split = 'test'")))
-
-
-def q_mlp_fit(spark, sf):
-    return _sgd_scores(spark, sf, sgd.MLPSpec(COMPACT))
-
-
-def q_svr_linear(spark, sf):
-    return _sgd_scores(spark, sf, sgd.SVRSpec(COMPACT, kernel="linear"))
-
-
-def q_svr_rbf(spark, sf):
-    return _sgd_scores(spark, sf, sgd.SVRSpec(COMPACT, kernel="rbf", gamma=1.0 / COMPACT))
+    return _numeric_predictions(spark, sf, MD.boosted_trees(n_estimators=3, eta=0.3, max_depth=1))
 
 
 def _seq_rows(spark, sf):
     docs = one_text(spark, sf)
-    wi = SQ.fit_word_index(docs, "paper_id", "text", order_col="rn")
+    wi = SQ.fit_word_index(docs, "paper_id", "text", order_col="paper_id")
     seqs = SQ.texts_to_sequences(docs, wi, "paper_id", "text")
-    rows = durable(docs.select("paper_id", "rn", "split", "label")
+    rows = durable(docs.select("paper_id", "split", "label")
                    .join(seqs.select("paper_id", SQ.pad_sequences("seq", MAXLEN).alias("seq")),
                          "paper_id"))
     vectors = EM.vectors_from_table(load_table(spark, sf, "embeddings"), wi)
@@ -100,29 +67,6 @@ def _seq_rows(spark, sf):
     return rows, sgd.broadcast_matrix(spark, matrix, DIM)
 
 
-def _net(spark, sf, spec):
-    rows, ctx = _seq_rows(spark, sf)
-    test = rows.where("split = 'test'")
-    model = sgd.fit(rows.where("split = 'train'"), spec, sgd.TrainConfig(epochs=5, batch_size=32),
-                    ctx_bc=ctx, val=test)
-    return model, model.transform(test)
-
-
-def q_dense_fit(spark, sf):
-    _, pred = _net(spark, sf, sgd.DenseNetSpec(MAXLEN, DIM))
-    return regression_metrics(pred)
-
-
-def q_ncnn_fit(spark, sf):
-    _, pred = _net(spark, sf, sgd.ConvNetSpec(MAXLEN, DIM))
-    return regression_metrics(pred)
-
-
-def q_fit_history(spark, sf):
-    model, _ = _net(spark, sf, sgd.ConvNetSpec(MAXLEN, DIM))
-    return sgd.history_frame(spark, model)
-
-
 def q_cv_pipeline(spark, sf):
     """G2 around the whole set-3 pipeline (per-column TF-IDF + least squares):
     scores per candidate and fold, train/test as in the papers view."""
@@ -150,10 +94,4 @@ QUERIES = {
     "rf_fit": q_rf_fit,
     "gbt_fit": q_gbt_fit,
     "gbt_eta_fit": q_gbt_eta_fit,
-    "mlp_fit": q_mlp_fit,
-    "svr_linear": q_svr_linear,
-    "svr_rbf": q_svr_rbf,
-    "dense_fit": q_dense_fit,
-    "ncnn_fit": q_ncnn_fit,
-    "fit_history": q_fit_history,
 }

@@ -24,7 +24,7 @@ LR_SETTINGS = [{"fit_intercept": True}, {"fit_intercept": False}]
 
 
 def one_feature(spark: SparkSession, sf: str) -> DataFrame:
-    d = one_text(spark, sf)
+    d = one_text(spark, sf, rn=True)
     x = F.size(AZ.analyze("text")).cast("double")
     rows = d.select("paper_id", "rn", "split", "label", x.alias("x"))
     # small (one number a paper) and re-read by every fold and candidate

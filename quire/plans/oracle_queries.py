@@ -369,3 +369,28 @@ def _ncnn_score_sql() -> str:
 
 
 SQL["ncnn_score"] = _ncnn_score_sql()
+
+
+def _stumps_sql(rates: list[float]) -> str:
+    """Boosted trees of depth 1 on year and citations: the first fits the label,
+    each later one twice what is left (the squared loss's gradient)."""
+    ctes = ["r0 AS (SELECT paper_id, split, CAST(year AS DOUBLE) AS x0, CAST(n_citation AS DOUBLE) AS x1, "
+            "label AS y, 0.0e0 AS f FROM papers)"]
+    for i, rate in enumerate(rates):
+        left = "y" if i == 0 else "2 * (y - f)"
+        ctes += [
+            f"v{i} AS (SELECT c, x, count(*) AS n, sum(t) AS s FROM (SELECT unnest([0, 1]) AS c, unnest([x0, x1]) AS x, "
+            f"{left} AS t FROM r{i} WHERE split = 'train') GROUP BY c, x)",
+            f"c{i} AS (SELECT c, x, (x + lead(x) OVER w) / 2 AS cut, sum(n) OVER w AS nl, sum(s) OVER w AS sl, "
+            f"sum(n) OVER (PARTITION BY c) AS n, sum(s) OVER (PARTITION BY c) AS s FROM v{i} "
+            f"WINDOW w AS (PARTITION BY c ORDER BY x))",
+            f"b{i} AS (SELECT c, cut, sl / nl AS lo, (s - sl) / (n - nl) AS hi FROM c{i} WHERE cut IS NOT NULL "
+            f"ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, c, cut LIMIT 1)",
+            f"r{i + 1} AS (SELECT paper_id, split, x0, x1, y, f + {rate}e0 * CASE WHEN (CASE WHEN c = 0 THEN x0 ELSE x1 END) "
+            f"<= cut THEN lo ELSE hi END AS f FROM r{i}, b{i})"]
+    return W(*ctes) + (f"SELECT paper_id, round(f, 4) AS prediction FROM r{len(rates)} WHERE split = 'test'")
+
+
+SQL["rf_fit"] = _stumps_sql([1.0])
+SQL["gbt_fit"] = _stumps_sql([1.0, 0.1])
+SQL["gbt_eta_fit"] = _stumps_sql([1.0, 0.3, 0.3])

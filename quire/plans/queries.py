@@ -23,26 +23,26 @@ from quire.plans.common import one_text, papers, round4, tokenized
 
 
 def q_row_ids(spark, sf):
-    return papers(spark, sf).select("paper_id", "rn")
+    return papers(spark, sf, rn=True).select("paper_id", "rn")
 
 
 def q_union_splits(spark, sf):
-    p = papers(spark, sf)
+    p = papers(spark, sf, rn=True, split=True)
     train = p.where("split = 'train'").select("split", "paper_id", "rn")
     test = p.where("split = 'test'").select("split", "paper_id", "rn")
     return train.unionByName(test)
 
 
 def q_split_counts(spark, sf):
-    return papers(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return papers(spark, sf, split=True).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_positional_split(spark, sf):
-    return positional_split(papers(spark, sf), "rn", 4000, 1000).select("paper_id", "rn", "part")
+    return positional_split(papers(spark, sf, rn=True), "rn", 4000, 1000).select("paper_id", "rn", "part")
 
 
 def q_contiguous_folds(spark, sf):
-    train = papers(spark, sf).where("split = 'train'")
+    train = papers(spark, sf, rn=True, split=True).where("split = 'train'")
     n_train = train.count()
     return contiguous_folds(train, "rn", n_train, 4).select("paper_id", "rn", "fold")
 
@@ -80,17 +80,17 @@ def q_core_tokenize(spark, sf):
 
 
 def q_record_tokenize(spark, sf):
-    return tokenized(spark, sf).select("paper_id", F.col("kw").alias("keywords"),
+    return tokenized(spark, sf, split=False).select("paper_id", F.col("kw").alias("keywords"),
                                        F.col("title_t").alias("title"),
                                        F.col("abstract_t").alias("abstract"))
 
 
 def q_concat_text(spark, sf):
-    return one_text(spark, sf).select("paper_id", "text")
+    return one_text(spark, sf, split=False).select("paper_id", "text")
 
 
 def q_typed_features(spark, sf):
-    t = tokenized(spark, sf)
+    t = tokenized(spark, sf, split=False)
     return t.select("paper_id", F.col("kw").alias("keywords"), F.col("title_t").alias("title"),
                     F.col("abstract_t").alias("abstract"), "venue", "year",
                     F.col("n_citation").alias("citations"), "label")
@@ -103,19 +103,19 @@ def q_typed_features(spark, sf):
 
 def q_analyze_terms(spark, sf):
     terms = AZ.analyze("text")
-    return one_text(spark, sf).select("paper_id", F.size(terms).cast("bigint").alias("n_terms"),
+    return one_text(spark, sf, split=False).select("paper_id", F.size(terms).cast("bigint").alias("n_terms"),
                                       F.md5(F.array_join(terms, "|")).alias("digest"))
 
 
 def q_ngram_terms(spark, sf):
     grams = AZ.analyzer("text", (1, 3))
-    return one_text(spark, sf).select("paper_id", F.size(grams).cast("bigint").alias("n_terms"),
+    return one_text(spark, sf, split=False).select("paper_id", F.size(grams).cast("bigint").alias("n_terms"),
                                       F.md5(F.array_join(grams, "|")).alias("digest"))
 
 
 def q_stopword_filter(spark, sf):
     kept = AZ.remove_stop_words(AZ.analyze("text"), AZ.ENGLISH_STOP_WORDS)
-    return one_text(spark, sf).select("paper_id", F.size(kept).cast("bigint").alias("n_terms"),
+    return one_text(spark, sf, split=False).select("paper_id", F.size(kept).cast("bigint").alias("n_terms"),
                                       F.md5(F.array_join(kept, "|")).alias("digest"))
 
 

@@ -76,12 +76,12 @@ def run_default(spark: SparkSession, sf_dir: str, vectorizer: str = "tfidf",
     """Set 1: one row (vectorizer, regressor, n_train, n_val, n_test, mse, mae, r2)."""
     if regressor not in REGRESSORS_DEFAULT:
         raise ValueError(f"unknown regressor {regressor!r}; choose one of {REGRESSORS_DEFAULT}")
-    docs = one_text(spark, sf_dir) if docs is None else docs
+    docs = one_text(spark, sf_dir, rn=regressor != "lr") if docs is None else docs
     train = docs.where("split = 'train'")
     test = docs.where("split = 'test'")
     feats, width = text_features(docs, train, vectorizer)
-    train_rows = assemble(train.select("paper_id", "rn", "label"), feats, width, "paper_id")
-    test_rows = assemble(test.select("paper_id", "rn", "label"), feats, width, "paper_id")
+    train_rows = assemble(train.select("paper_id", "label"), feats, width, "paper_id")
+    test_rows = assemble(test.select("paper_id", "label"), feats, width, "paper_id")
     if regressor == "lr":
         pred = fit_predict(make_estimator("lr"), train_rows, test_rows)
     else:
@@ -107,7 +107,7 @@ def _sequence_rows(spark: SparkSession, sf_dir: str, vectors: DataFrame | None,
     from quire.operators import sequences as SQ
     from quire.operators import sgd
     from quire.sources.papers import load_table
-    docs = one_text(spark, sf_dir)
+    docs = one_text(spark, sf_dir, rn=True)
     wi = SQ.fit_word_index(docs, "paper_id", "text", order_col="rn")
     seqs = SQ.texts_to_sequences(docs, wi, "paper_id", "text")
     rows = durable(docs.select("paper_id", "rn", "split", "label")
@@ -149,9 +149,6 @@ def run_ncnn(spark: SparkSession, sf_dir: str, vectors: DataFrame | None = None,
 # set 3: per-column TF-IDF + numeric columns, default model and grid search
 # ---------------------------------------------------------------------------
 
-TREES = ("rf", "gb", "xgb")
-
-
 def _vect_params(setting: dict) -> "TF.VectorizerParams":
     p = TF.VectorizerParams(ngram_range=tuple(setting.get("ngram_range", (1, 1))),
                             norm=setting.get("norm", "l2"),
@@ -160,35 +157,23 @@ def _vect_params(setting: dict) -> "TF.VectorizerParams":
     return p.with_stop_words(setting.get("stop_words") is not None)
 
 
-def _grid_inputs(tok_train: DataFrame, tok_eval: DataFrame, setting: dict, regressor: str,
-                 tree_width: int):
+def _grid_inputs(tok_train: DataFrame, tok_eval: DataFrame, setting: dict):
     """Fit the per-column vectorizers on ``tok_train``; model rows for both."""
-    from quire.operators.vectors import hash_project, sparse_arrays
     from quire.plans.queries import column_features
     abstract = _vect_params(setting) if setting else TF.VectorizerParams(lowercase=False)
     both = tok_train.unionByName(tok_eval)
     feats, width = column_features(both, tok_train, {"abstract_t": abstract})
-    if regressor in TREES:
-        feats, width = hash_project(feats, tree_width, "paper_id"), tree_width
-    base = both.select("paper_id", "rn", "label", "_part")
-    if regressor in ("mlp", "svr"):
-        rows = durable(sparse_arrays(base, feats, "paper_id"))
-    else:
-        rows = durable(assemble(base, feats, width, "paper_id"))
+    rows = durable(assemble(both.select("paper_id", "label", "_part"), feats, width, "paper_id"))
     return rows.where("_part = 'fit'"), rows.where("_part = 'eval'"), width
 
 
-def _fit_score(regressor: str, params: dict, train_rows, eval_rows, width):
-    from quire.operators import sgd
-    if regressor in ("mlp", "svr"):
-        model = sgd.fit(train_rows, sgd.make_sgd_estimator(regressor, input_dim=width, **params))
-        return model.transform(eval_rows)
+def _fit_score(regressor: str, params: dict, train_rows, eval_rows):
     return make_estimator(regressor, **params).fit(train_rows).transform(eval_rows)
 
 
 def run_grid(spark: SparkSession, sf_dir: str, regressor: str, n_train: int = 4000,
              n_test: int = 1000, k: int = 4, vect_grid: dict | None = None,
-             model_grid: dict | None = None, tree_width: int = 1024):
+             model_grid: dict | None = None):
     """Set 3: (default metrics, best metrics, scores table, best parameters).
 
     Two-level search (R6): features are fitted once per (vectorizer setting,
@@ -200,16 +185,18 @@ def run_grid(spark: SparkSession, sf_dir: str, regressor: str, n_train: int = 40
     from quire.plans.common import tokenized
     if regressor not in S.MODEL_GRIDS:
         raise ValueError(f"unknown regressor {regressor!r}; choose one of {sorted(S.MODEL_GRIDS)}")
+    if regressor in ("mlp", "svr"):
+        raise ValueError(f"no grid search for {regressor!r}: its kernels and solvers are not built")
     vect_grid = S.VECT_GRID if vect_grid is None else vect_grid
     model_grid = S.MODEL_GRIDS[regressor] if model_grid is None else model_grid
-    tok = positional_split(tokenized(spark, sf_dir), "rn", n_train, n_test)
+    tok = positional_split(tokenized(spark, sf_dir, rn=True), "rn", n_train, n_test)
     train = tok.where("part = 'train'").withColumn("_part", F.lit("fit"))
     test = tok.where("part = 'test'").withColumn("_part", F.lit("eval"))
     n = train.count()
 
     # default model
-    tr, te, width = _grid_inputs(train, test, {}, regressor, tree_width)
-    default_metrics = regression_metrics(_fit_score(regressor, {}, tr, te, width))
+    tr, te, width = _grid_inputs(train, test, {})
+    default_metrics = regression_metrics(_fit_score(regressor, {}, tr, te))
 
     # search
     vect_settings = S.param_grid(vect_grid)
@@ -221,10 +208,10 @@ def run_grid(spark: SparkSession, sf_dir: str, regressor: str, n_train: int = 40
             fit_part = folded.where(F.col("fold") != fold).drop("fold")
             eval_part = folded.where(F.col("fold") == fold).drop("fold") \
                 .withColumn("_part", F.lit("eval"))
-            tr, te, width = _grid_inputs(fit_part, eval_part, vs, regressor, tree_width)
+            tr, te, width = _grid_inputs(fit_part, eval_part, vs)
             preds = None
             for mi, ms in enumerate(model_settings):
-                p = _fit_score(regressor, ms, tr, te, width).select(
+                p = _fit_score(regressor, ms, tr, te).select(
                     F.lit(vi * len(model_settings) + mi).alias("candidate"),
                     F.lit(fold).alias("fold"), "label", "prediction")
                 preds = p if preds is None else preds.unionByName(p)
@@ -236,8 +223,8 @@ def run_grid(spark: SparkSession, sf_dir: str, regressor: str, n_train: int = 40
         scores = scores.unionByName(s)
     best = S.best_candidate(S.mean_scores(scores)).first()
     vi, mi = divmod(int(best["candidate"]), len(model_settings))
-    tr, te, width = _grid_inputs(train, test, vect_settings[vi], regressor, tree_width)
-    best_metrics = regression_metrics(_fit_score(regressor, model_settings[mi], tr, te, width))
+    tr, te, width = _grid_inputs(train, test, vect_settings[vi])
+    best_metrics = regression_metrics(_fit_score(regressor, model_settings[mi], tr, te))
     # candidate numbers of the full product: vectorizer-major, model-minor
     full = []
     for v in range(len(vect_settings)):

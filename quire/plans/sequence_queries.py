@@ -17,7 +17,7 @@ MAXLEN = 400
 
 def _base(spark, sf):
     docs = one_text(spark, sf)
-    wi = SQ.fit_word_index(docs, "paper_id", "text", order_col="rn")
+    wi = SQ.fit_word_index(docs, "paper_id", "text", order_col="paper_id")
     return docs, wi
 
 

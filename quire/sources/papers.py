@@ -108,38 +108,49 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def papers_from_tables(spark: SparkSession, sf_dir: str, train_fraction: float = 0.8,
-                       with_rn: bool = True) -> DataFrame:
+                       with_rn: bool = False, with_split: bool = True,
+                       with_labels: bool = True) -> DataFrame:
     """Papers derived from ``documents`` (+ ``labels``), with split.
 
     paper_id = doc_id; title = first line of the text; abstract = text;
     keywords = first line split on one blank; venue = source;
     year = 1990 + doc_id % 30; n_citation = 50 * quality + doc_id % 37;
-    plength = 1 + n_chars div 500; rn = row number by doc_id from 0;
-    the first floor(0.8 n) rows by rn are train, the rest test.
+    plength = 1 + n_chars div 500; the first floor(0.8 n) rows by doc_id are
+    train, the rest test; rn = row number by doc_id from 0.
+
+    The view is a projection of the scan. Only ids are numbered (8 bytes a
+    row), to read off the id where the test rows begin; the split then compares
+    ids with that literal. ``with_rn`` joins the numbers themselves, for the
+    few operators that need them. Texts are never moved to be numbered.
     """
     docs = load_table(spark, sf_dir, "documents")
-    labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality")
     first_line = F.substring_index(F.col("text"), "\n", 1)
-    # labels has at most one row per doc and is small next to documents;
-    # AQE broadcasts it when its size allows, otherwise a shuffle join.
-    papers = (docs.join(labels, "doc_id", "left")
-              .select(
-                  F.col("doc_id").alias("paper_id"),
-                  first_line.alias("title"),
-                  F.col("text").alias("abstract"),
-                  F.split(first_line, " ", -1).alias("keywords"),
-                  F.col("source").alias("venue"),
-                  (F.lit(1990) + F.col("doc_id") % 30).cast("int").alias("year"),
-                  (F.coalesce(F.col("quality"), F.lit(0)) * 50 + F.col("doc_id") % 37)
-                  .cast("int").alias("n_citation"),
-                  (F.lit(1) + F.expr("n_chars div 500")).cast("int").alias("plength")))
-    if not with_rn:
+    cites = F.col("doc_id") % 37
+    if with_labels:
+        labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality")
+        # labels has at most one row per doc and is small next to documents;
+        # AQE broadcasts it when its size allows, otherwise a shuffle join.
+        docs = docs.join(labels, "doc_id", "left")
+        cites = F.coalesce(F.col("quality"), F.lit(0)) * 50 + cites
+    columns = [
+        F.col("doc_id").alias("paper_id"),
+        first_line.alias("title"),
+        F.col("text").alias("abstract"),
+        F.split(first_line, " ", -1).alias("keywords"),
+        F.col("source").alias("venue"),
+        (F.lit(1990) + F.col("doc_id") % 30).cast("int").alias("year"),
+        (F.lit(1) + F.expr("n_chars div 500")).cast("int").alias("plength"),
+        (F.lit(1) + F.expr("n_chars div 500")).cast("int").cast("double").alias("label")]
+    if with_labels:
+        columns.insert(6, cites.cast("int").alias("n_citation"))
+    papers = docs.select(*columns)
+    if not (with_split or with_rn):
         return papers
-    # Range partitioning on paper_id also leaves every paper's row in one
-    # partition, which later per-paper aggregations reuse without a shuffle.
-    numbered = with_row_index(papers, ["paper_id"], name="rn")
-    n = docs.count()  # answered from parquet footers
-    n_train = int(n * train_fraction)
-    return (numbered
-            .withColumn("split", F.when(F.col("rn") < n_train, "train").otherwise("test"))
-            .withColumn("label", F.col("plength").cast("double")))
+    ids = load_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"))
+    numbered = with_row_index(ids, ["paper_id"], name="rn")
+    if with_split:
+        n_train = int(ids.count() * train_fraction)  # answered from parquet footers
+        border = numbered.where(F.col("rn") == n_train).first()
+        test = F.lit(False) if border is None else F.col("paper_id") >= F.lit(border["paper_id"])
+        papers = papers.withColumn("split", F.when(test, "test").otherwise("train"))
+    return papers.join(numbered, "paper_id") if with_rn else papers
