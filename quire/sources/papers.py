@@ -107,6 +107,13 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer tasks than cores (a small file of one
+    row group) over all cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def papers_from_tables(spark: SparkSession, sf_dir: str, train_fraction: float = 0.8,
                        with_rn: bool = False, with_split: bool = True,
                        with_labels: bool = True) -> DataFrame:
@@ -123,7 +130,7 @@ def papers_from_tables(spark: SparkSession, sf_dir: str, train_fraction: float =
     ids with that literal. ``with_rn`` joins the numbers themselves, for the
     few operators that need them. Texts are never moved to be numbered.
     """
-    docs = load_table(spark, sf_dir, "documents")
+    docs = spread(load_table(spark, sf_dir, "documents"))
     first_line = F.substring_index(F.col("text"), "\n", 1)
     cites = F.col("doc_id") % 37
     if with_labels:
