@@ -5,9 +5,9 @@ that its own words delimit: a block ends at a word whose hash is the smallest
 of its neighbourhood, so a passage that is copied into the middle of another
 line still has the same inner blocks. Paragraphs with equal shingle sets form a
 class. Classes of long paragraphs are banded by MinHash (bands tuned to a
-probability of 0.99 or more at the threshold), colliding ones are joined with
-the bucket's hub, verified by exact Jaccard over their whole shingle sets, and
-connected. A component that occurs in several documents stays in the one with
+probability of 0.99 or more at the threshold), colliding ones are joined (with
+hubs of their bucket, then all that are still apart with each other), verified
+by exact Jaccard over their whole shingle sets, and connected. A component that occurs in several documents stays in the one with
 the smallest id; elsewhere its occurrences are removals, merged into spans.
 """
 
@@ -33,6 +33,10 @@ REACH = 6
 #: Words that a merged span needs to be reported.
 LEAST_WORDS = 25
 ROWS_PER_BAND, RECALL = 3, 0.99
+#: Turns in which the members of a bucket meet hubs; then all that are still apart meet.
+HUB_ROUNDS = 3
+#: So many pairs an open member are compared at once without a further hub turn.
+LAST_PAIRS = 4
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -137,28 +141,89 @@ def _sets(batches):
             yield rows.filter(pa.array(keys[:, 0] == np.array(classes[lo:hi], dtype=np.int64)))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose whole shingle sets reach the threshold; sets of too
+    different sizes are not moved."""
+    sizes = sets.select("cls", "n")
+    alike = (pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+             .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
+    o = F.size(F.array_intersect("ga", "gb"))
+    grams = sets.select("cls", "grams")
+    return (alike.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b")
+            .select("a", "b", (F.col("na") + F.col("nb")).alias("s"), o.alias("o"))
+            .where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("s") - F.col("o"))).select("a", "b"))
+
+
+def _open_members(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Members of buckets that hold several components, each with its component,
+    the bucket's largest one and the bucket's size."""
+    if links is None:
+        state = members.withColumn("comp", F.col("cls"))
+    else:
+        comp = components(links).withColumnRenamed("node", "cls")
+        state = members.join(comp, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    per = state.groupBy("b", "h", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = (per.groupBy("b", "h").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("size"),
+                                      F.count(F.lit(1)).alias("k"))
+            .where("k > 1").select("b", "h", F.col("m.comp").alias("main"), "size"))
+    return stored(state.join(main, ["b", "h"]), "passage-open")
+
+
+def _hub_pairs(state: DataFrame, turn: int) -> DataFrame:
+    """Each member with two hubs of its bucket, one of the main component and
+    one of the rest; other hubs each turn."""
+    hubs = (state.groupBy("b", "h", (F.col("comp") == F.col("main")).alias("inside"))
+            .agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "comp")).alias("hub"))
+            .select("b", "h", F.col("hub.cls").alias("hub"), F.col("hub.comp").alias("hub_comp")))
+    met = state.join(hubs, ["b", "h"]).where("comp <> hub_comp")
+    return met.select(F.greatest("cls", "hub").alias("a"), F.least("cls", "hub").alias("b"))
+
+
+def _cross_pairs(state: DataFrame) -> DataFrame:
+    """All pairs of a bucket's members that lie in different components."""
+    x = state.where("comp <> main").alias("x")
+    y = state.alias("y")
+    both = x.join(y, ["b", "h"]).where(F.col("x.comp") != F.col("y.comp")) \
+        .where((F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls")))
+    return both.select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b"))
+
+
 def _near(units: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Verified links between classes of long paragraphs that share a band."""
+    """Verified links that connect every two classes of long paragraphs that
+    links between members of a bucket connect: first over hubs, at last over
+    all pairs of a bucket that are still apart."""
     long = (units.where("kind = 1").groupBy("cls")
-            .agg(F.min(F.struct("_id", "start", "end")).alias("at"), F.min("words").alias("words"),
-                 F.any_value("bands").alias("bands")))
+            .agg(F.min(F.struct("_id", "start", "end")).alias("at"), F.any_value("bands").alias("bands")))
     long = stored(long, "passage-long")
     buckets = long.select("cls", F.posexplode("bands").alias("b", "h"))
-    hubs = buckets.groupBy("b", "h").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub <> top")
-    pairs = stored(buckets.join(hubs, ["b", "h"]).where("cls <> hub")
-                   .select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct(), "passage-pairs")
-    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    spans = (long.join(need, "cls", "left_semi").groupBy("at._id")
+    shared = buckets.groupBy("b", "h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
+    members = stored(buckets.join(shared.select("b", "h"), ["b", "h"]), "passage-members")
+    spans = (long.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("at._id")
              .agg(F.collect_list(F.struct("at.start", "at.end", "cls")).alias("spans")))
     spans = small(spans.select(F.col("_id").alias("_doc"), "spans"), "passage-spans")
     sets = stored(docs.join(spans, F.col("_id") == F.col("_doc")).select("_text", "spans")
-                  .mapInArrow(_sets, "cls long, grams array<long>").dropDuplicates(["cls"]), "passage-sets")
-    a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    return (pairs.join(a, "a").join(b, "b")
-            .select("a", "b", both.alias("o"), (F.size("ga") + F.size("gb")).alias("s"))
-            .where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("s") - F.col("o"))).select("a", "b"))
+                  .mapInArrow(_sets, "cls long, grams array<long>").dropDuplicates(["cls"])
+                  .select("cls", F.size("grams").alias("n"), "grams"), "passage-sets")
+    links = tried = None
+    for turn in range(HUB_ROUNDS + 1):
+        state = _open_members(members, links)
+        rows, cross = state.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("main"), F.col("size")))).first()
+        if not rows:
+            break
+        last = turn == HUB_ROUNDS or (turn and cross <= LAST_PAIRS * rows)
+        pairs = (_cross_pairs(state) if last else _hub_pairs(state, turn)).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "passage-pairs")
+        found = _verified(pairs, sets, percent)
+        links = stored(found if links is None else links.unionByName(found), "passage-links")
+        if last:
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        members = state.select("b", "h", "cls")
+    if links is None:
+        links = units.sparkSession.createDataFrame([], "a long, b long")
+    return links
 
 
 def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,

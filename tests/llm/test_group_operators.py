@@ -1,6 +1,7 @@
 """Operators 2, 4, 6, 9, 10, components and the pipeline against brute force."""
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 from itertools import combinations
@@ -8,6 +9,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from quire.llm import passage_dedup as passages
+from quire.llm.common import id_text
 from quire.llm.components import components
 from quire.llm.embedding_dedup import embedding_dedup
 from quire.llm.mixing import fit_lengths, mix, mixed_rows
@@ -178,6 +181,32 @@ def test_passages(frame, empty):
     assert 1 - (1 - 0.75 ** 3) ** bands_for(0.75) >= 0.99
 
 
+def test_passage_links_lose_no_colliding_pair(frame):
+    """Lines that drift word by word: bucket mates link although their hubs do not."""
+    rng = random.Random(5)
+    rows, texts = [], {}
+    for family in range(3):
+        line = [f"f{family}w{i}" for i in range(60)]
+        for step in range(40):
+            line = list(line)
+            for _ in range(rng.choice((1, 1, 2, 3))):
+                line[rng.randrange(60)] = f"n{family}s{step}r{rng.randrange(10**6)}"
+            texts[len(rows)] = " ".join(line)
+            rows.append((len(rows), " ".join(line), "s"))
+    docs = id_text(frame(rows), "doc_id", "text").repartition(7)
+    units = docs.mapInArrow(lambda it: passages._paragraphs(it, bands_for(0.75)),
+                            "_id long, kind int, start int, end int, words int, cls long, bands array<long>").where("kind = 1").cache()
+    held = {r["cls"]: (r["_id"], set(enumerate(r["bands"]))) for r in units.collect()}
+    assert len(held) == len(rows)
+    sets = {c: shingles(texts[i]) for c, (i, _) in held.items()}
+    edges = [(a, b) for a, b in combinations(held, 2) if held[a][1] & held[b][1]
+             and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    links = [tuple(r) for r in passages._near(units, docs, 75).collect()]
+    assert {frozenset(x) for x in links} <= {frozenset(x) for x in edges}
+    assert union_find(sets, links) == union_find(sets, edges)
+    assert 3 < len(set(union_find(sets, edges).values())) < len(rows)
+
+
 def test_warc_round_trip(spark):
     big, small = "<p>" + "é" * 700 + "</p>", "<p>tiny</p>"
     pages = [(1, "http://a/1", big, 0), (2, None, big, 0), (3, "http://a/3", small, 0), (4, "u 4", small, 0), (5, "u", None, 0),
