@@ -311,7 +311,7 @@ def _open_members(members: DataFrame, links: DataFrame | None) -> DataFrame:
     return stored(state.join(main, "g"), "ngram-open")
 
 
-def _link_classes(ordered: DataFrame, percent: int) -> DataFrame:
+def link_classes(ordered: DataFrame, percent: int) -> DataFrame:
     """Verified links that connect every two classes that links connect."""
     ordered = stored(ordered.where(F.size("shared") >= _least_shared(F.col("n"), percent)), "ngram-order")
     members = _prefix_members(ordered, percent)
@@ -350,7 +350,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     every = id_text(df, id_col, text_col).withColumn("_id", F.col("_id").cast("long"))
     docs = every.where("_id is not null")
     described, classes = _classes(docs, k, percent)
-    links = _link_classes(_ordered(docs, classes, k), percent)
+    links = link_classes(_ordered(docs, classes, k), percent)
     comp = stored(components(links).join(classes.withColumnRenamed("cls", "node"), "node")
                   .select("node", "component"), "ngram-components")
     sizes = described.where("n > 0").groupBy("cls").agg(F.min("_id").alias("least"))

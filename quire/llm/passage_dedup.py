@@ -6,8 +6,8 @@ of its neighbourhood, so a passage that is copied into the middle of another
 line still has the same inner blocks. Paragraphs with equal shingle sets form a
 class. Classes of long paragraphs are banded by MinHash (bands tuned to a
 probability of 0.99 or more at the threshold), colliding ones are joined (with
-hubs of their bucket, then all that are still apart with each other), verified
-by exact Jaccard over their whole shingle sets, and connected. A component that occurs in several documents stays in the one with
+hubs of their bucket; those still apart by the n-grams that they share),
+verified by exact Jaccard over their whole shingle sets, and connected. A component that occurs in several documents stays in the one with
 the smallest id; elsewhere its occurrences are removals, merged into spans.
 """
 
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quire.llm import shingles as S
-from quire.llm.common import id_text, small
+from quire.llm.common import id_text, partitions, small
 from quire.llm.components import components
+from quire.llm.ngram_join import link_classes
 from quire.session import ship_package, stored
 from quire.sources.papers import load_table
 
@@ -33,10 +34,6 @@ REACH = 6
 #: Words that a merged span needs to be reported.
 LEAST_WORDS = 25
 ROWS_PER_BAND, RECALL = 3, 0.99
-#: Turns in which the members of a bucket meet hubs; then all that are still apart meet.
-HUB_ROUNDS = 3
-#: So many pairs an open member are compared at once without a further hub turn.
-LAST_PAIRS = 4
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -155,75 +152,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_members(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Members of buckets that hold several components, each with its component,
-    the bucket's largest one and the bucket's size."""
+    """Members of buckets that hold several components, each with its component
+    and the bucket's main one."""
     if links is None:
         state = members.withColumn("comp", F.col("cls"))
+        # all alone: the member that collides most is the main component
+        most = F.max(F.struct("met", "comp"))
     else:
+        most = F.max(F.struct("c", "met", "comp"))
         comp = components(links).withColumnRenamed("node", "cls")
         state = members.join(comp, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    per = state.groupBy("b", "h", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = (per.groupBy("b", "h").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("size"),
-                                      F.count(F.lit(1)).alias("k"))
-            .where("k > 1").select("b", "h", F.col("m.comp").alias("main"), "size"))
+    per = state.groupBy("b", "h", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("met").alias("met"))
+    main = (per.groupBy("b", "h").agg(most.alias("m"), F.count(F.lit(1)).alias("k"))
+            .where("k > 1").select("b", "h", F.col("m.comp").alias("main")))
     return stored(state.join(main, ["b", "h"]), "passage-open")
 
 
-def _hub_pairs(state: DataFrame, turn: int) -> DataFrame:
+def _hub_pairs(state: DataFrame) -> DataFrame:
     """Each member with two hubs of its bucket, one of the main component and
-    one of the rest; other hubs each turn."""
+    one of the rest: the members that collide most, which are what edited
+    copies were made of."""
     hubs = (state.groupBy("b", "h", (F.col("comp") == F.col("main")).alias("inside"))
-            .agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "comp")).alias("hub"))
+            .agg(F.max(F.struct("met", "cls", "comp")).alias("hub"))
             .select("b", "h", F.col("hub.cls").alias("hub"), F.col("hub.comp").alias("hub_comp")))
     met = state.join(hubs, ["b", "h"]).where("comp <> hub_comp")
-    return met.select(F.greatest("cls", "hub").alias("a"), F.least("cls", "hub").alias("b"))
+    return met.select(F.greatest("cls", "hub").alias("a"), F.least("cls", "hub").alias("b")).distinct()
 
 
-def _cross_pairs(state: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members that lie in different components."""
-    x = state.where("comp <> main").alias("x")
-    y = state.alias("y")
-    both = x.join(y, ["b", "h"]).where(F.col("x.comp") != F.col("y.comp")) \
-        .where((F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls")))
-    return both.select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b"))
+def _rest(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among all classes that a bucket's hubs leave apart, without pairing
+    a bucket's members: by the n-grams that they share, exactly."""
+    apart = state.select("cls").distinct()
+    rows = (sets.join(apart, "cls", "left_semi").select("cls", "n", F.explode("grams").alias("g"))
+            .repartition(partitions(sets), "g"))
+    df = rows.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    ordered = rows.join(df, "g").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("shared"))
+    return link_classes(ordered, percent).select("a", "b")
 
 
 def _near(units: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Verified links that connect every two classes of long paragraphs that
-    links between members of a bucket connect: first over hubs, at last over
-    all pairs of a bucket that are still apart."""
+    links between members of a bucket connect: first over the buckets' hubs,
+    then, among classes still apart, by shared n-grams."""
     long = (units.where("kind = 1").groupBy("cls")
             .agg(F.min(F.struct("_id", "start", "end")).alias("at"), F.any_value("bands").alias("bands")))
     long = stored(long, "passage-long")
     buckets = long.select("cls", F.posexplode("bands").alias("b", "h"))
-    shared = buckets.groupBy("b", "h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-    members = stored(buckets.join(shared.select("b", "h"), ["b", "h"]), "passage-members")
+    shared = buckets.groupBy("b", "h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(buckets.join(shared, ["b", "h"]), "passage-colliding")
+    met = members.groupBy("cls").agg(F.sum("size").alias("met"))
+    members = stored(members.select("b", "h", "cls").join(met, "cls"), "passage-members")
     spans = (long.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("at._id")
              .agg(F.collect_list(F.struct("at.start", "at.end", "cls")).alias("spans")))
     spans = small(spans.select(F.col("_id").alias("_doc"), "spans"), "passage-spans")
     sets = stored(docs.join(spans, F.col("_id") == F.col("_doc")).select("_text", "spans")
                   .mapInArrow(_sets, "cls long, grams array<long>").dropDuplicates(["cls"])
                   .select("cls", F.size("grams").alias("n"), "grams"), "passage-sets")
-    links = tried = None
-    for turn in range(HUB_ROUNDS + 1):
-        state = _open_members(members, links)
-        rows, cross = state.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("main"), F.col("size")))).first()
-        if not rows:
-            break
-        last = turn == HUB_ROUNDS or (turn and cross <= LAST_PAIRS * rows)
-        pairs = (_cross_pairs(state) if last else _hub_pairs(state, turn)).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "passage-pairs")
-        found = _verified(pairs, sets, percent)
-        links = stored(found if links is None else links.unionByName(found), "passage-links")
-        if last:
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        members = state.select("b", "h", "cls")
-    if links is None:
-        links = units.sparkSession.createDataFrame([], "a long, b long")
-    return links
+    pairs = stored(_hub_pairs(_open_members(members, None)), "passage-pairs")
+    links = stored(_verified(pairs, sets, percent), "passage-links")
+    state = _open_members(members, links)
+    return links if state.isEmpty() else links.unionByName(_rest(state, sets, percent))
 
 
 def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
