@@ -311,17 +311,19 @@ def _open_members(members: DataFrame, links: DataFrame | None) -> DataFrame:
     return stored(state.join(main, "g"), "ngram-open")
 
 
-def link_classes(ordered: DataFrame, percent: int) -> DataFrame:
-    """Verified links that connect every two classes that links connect."""
+def link_classes(ordered: DataFrame, percent: int, last_pairs: int = LAST_PAIRS,
+                 known: DataFrame | None = None) -> DataFrame:
+    """Verified links that connect every two classes that links connect; with
+    ``known`` links (a, b, jaccard) they begin from those and hold them too."""
     ordered = stored(ordered.where(F.size("shared") >= _least_shared(F.col("n"), percent)), "ngram-order")
     members = _prefix_members(ordered, percent)
-    links, keep = None, ["g", "cls", "n", "own", "pos"]
+    links, keep = known, ["g", "cls", "n", "own", "pos"]
     for turn in range(HUB_ROUNDS):
         state = _open_members(members, links)
         rows, cross = state.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("main"), F.col("most")))).first()
         if not rows:
             break
-        last = turn and (cross <= LAST_PAIRS * rows or turn == HUB_ROUNDS - 1)
+        last = turn and (cross <= last_pairs * rows or turn == HUB_ROUNDS - 1)
         pairs = _cross_pairs(state, percent) if last else _hub_pairs(state, turn, percent)
         found = _verified(pairs, ordered, percent)
         links = stored(found if links is None else links.unionByName(found), "ngram-links")

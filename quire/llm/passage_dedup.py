@@ -34,6 +34,8 @@ REACH = 6
 #: Words that a merged span needs to be reported.
 LEAST_WORDS = 25
 ROWS_PER_BAND, RECALL = 3, 0.99
+#: Pairs a row below which classes that bucket hubs leave apart are compared at once.
+LAST_PAIRS = 2
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -179,15 +181,16 @@ def _hub_pairs(state: DataFrame) -> DataFrame:
     return met.select(F.greatest("cls", "hub").alias("a"), F.least("cls", "hub").alias("b")).distinct()
 
 
-def _rest(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among all classes that a bucket's hubs leave apart, without pairing
+def _rest(state: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``links`` and those among all classes that a bucket's hubs leave apart, without pairing
     a bucket's members: by the n-grams that they share, exactly."""
     apart = state.select("cls").distinct()
     rows = (sets.join(apart, "cls", "left_semi").select("cls", "n", F.explode("grams").alias("g"))
             .repartition(partitions(sets), "g"))
     df = rows.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
     ordered = rows.join(df, "g").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("shared"))
-    return link_classes(ordered, percent).select("a", "b")
+    known = links.withColumn("jaccard", F.lit(None).cast("double"))
+    return link_classes(ordered, percent, LAST_PAIRS, known).select("a", "b")
 
 
 def _near(units: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +214,7 @@ def _near(units: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     pairs = stored(_hub_pairs(_open_members(members, None)), "passage-pairs")
     links = stored(_verified(pairs, sets, percent), "passage-links")
     state = _open_members(members, links)
-    return links if state.isEmpty() else links.unionByName(_rest(state, sets, percent))
+    return links if state.isEmpty() else _rest(state, sets, links, percent)
 
 
 def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
