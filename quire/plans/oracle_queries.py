@@ -158,9 +158,9 @@ SQL["tfidf_transform_test"] = W(TOK, *terms_ctes(TFIDF), *vocab_ctes(TFIDF),
 SQL["hash_vectorize"] = W(TOK, *terms_ctes(TFIDF), *hash_ctes()) + \
     "SELECT paper_id, idx, round(value, 4) AS value FROM h3"
 SQL["feature_union"] = W(
-    TOK, *terms_ctes(TFIDF), *vocab_ctes(TFIDF), *weight_ctes(TFIDF),
-    *weight_ctes(COUNT, prefix="c_", inputs=""),
-    *hash_ctes(where="split = 'train'"),
+    TOK, *terms_ctes(TFIDF), *vocab_ctes(TFIDF), *weight_ctes(TFIDF, where="paper_id IS NOT NULL"),
+    *weight_ctes(COUNT, prefix="c_", inputs="", where="paper_id IS NOT NULL"),
+    *hash_ctes(),
     "nv AS (SELECT count(*) AS v FROM vocab)") + (
     "SELECT paper_id, idx, round(value, 4) AS value FROM w "
     "UNION ALL SELECT paper_id, idx + (SELECT v FROM nv), round(value, 4) FROM c_w "

@@ -191,11 +191,12 @@ def q_hash_vectorize(spark, sf):
 
 
 def q_feature_union(spark, sf):
-    docs, train, tf_train, vocab = _fit_train(spark, sf)
-    counts = TF.transform(tf_train, TF.FittedVocabulary(vocab.table, vocab.size, vocab.n_docs,
-                                                        TF.COUNT), "paper_id")
-    tfidf = TF.transform(tf_train, vocab, "paper_id")
-    hashed = hash_features(tf_train, "paper_id", DEFAULT_WIDTH, "l2")
+    docs, _, _, vocab = _fit_train(spark, sf)
+    tf_all = TF.term_frequencies(docs, "paper_id", "text", TF.TFIDF)
+    counts = TF.transform(tf_all, TF.FittedVocabulary(vocab.table, vocab.size, vocab.n_docs,
+                                                      TF.COUNT), "paper_id")
+    tfidf = TF.transform(tf_all, vocab, "paper_id")
+    hashed = hash_features(tf_all, "paper_id", DEFAULT_WIDTH, "l2")
     v = vocab.size
     blocks = (tfidf.select("paper_id", "idx", "value")
               .unionByName(TF.offset(counts.select("paper_id", "idx", "value"), v))
