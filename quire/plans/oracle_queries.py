@@ -168,22 +168,22 @@ SQL["feature_union"] = W(
 
 
 def _column_tfidf_sql() -> str:
-    ctes = [TOK, "trn AS (SELECT * FROM tok WHERE split = 'train')"]
+    ctes = [TOK]
     p = VectorizerParams(lowercase=False)
     cols = ["kw", "title_t", "abstract_t", "venue"]
     selects = []
     offset = "0"
     for i, c in enumerate(cols):
         pre = f"c{i}_"
-        ctes += terms_ctes(p, src="trn", text=c, prefix=pre)
-        ctes += vocab_ctes(p, src="trn", prefix=pre)
-        ctes += weight_ctes(p, prefix=pre)
+        ctes += terms_ctes(p, src="tok", text=c, prefix=pre)
+        ctes += vocab_ctes(p, src="tok", prefix=pre)
+        ctes += weight_ctes(p, prefix=pre, where="paper_id IS NOT NULL")
         selects.append(f"SELECT paper_id, idx + {offset} AS idx, value FROM {pre}w")
         offset = f"{offset} + (SELECT count(*) FROM {pre}vocab)"
     selects.append(f"SELECT paper_id, {offset} AS idx, CAST(year AS DOUBLE) AS value "
-                   f"FROM trn WHERE year <> 0")
+                   f"FROM tok WHERE year <> 0")
     selects.append(f"SELECT paper_id, {offset} + 1 AS idx, CAST(n_citation AS DOUBLE) AS value "
-                   f"FROM trn WHERE n_citation <> 0")
+                   f"FROM tok WHERE n_citation <> 0")
     body = " UNION ALL ".join(selects)
     return W(*ctes) + f"SELECT paper_id, idx, round(value, 4) AS value FROM ({body})"
 

@@ -232,7 +232,7 @@ def column_features(tok: DataFrame, train: DataFrame, params_by_col=None):
 def q_column_tfidf(spark, sf):
     tok = tokenized(spark, sf)
     train = tok.where("split = 'train'")
-    feats, _ = column_features(train, train)
+    feats, _ = column_features(tok, train)
     return feats.select("paper_id", "idx", round4("value").alias("value"))
 
 
