@@ -1,10 +1,10 @@
 """Operator 9: substring dedup by paragraph MinHash banding.
 
-A text's paragraphs are its lines of ``LONG`` words or more, and besides blocks
-that its own words delimit: a block ends at a word whose hash is the smallest
-of its neighbourhood, so a passage that is copied into the middle of another
-line still has the same inner blocks. Paragraphs with equal shingle sets form a
-class. Classes of long paragraphs are banded by MinHash (bands tuned to a
+A text's paragraphs are its lines of ``LONG`` words or more, and besides n-grams
+of ``GRAM`` words wherever they start: of every ``GRAM`` consecutive ones that
+with the smallest hash is picked, so a passage of ``2 * GRAM - 1`` words that is
+copied into the middle of another line has a picked n-gram in both texts.
+Paragraphs with equal shingle sets, and equal n-grams, form a class. Classes of long paragraphs are banded by MinHash (bands tuned to a
 probability of 0.99 or more at the threshold), colliding ones are joined (with
 hubs of their bucket; those still apart by the n-grams that they share),
 verified by exact Jaccard over their whole shingle sets, and connected. A component that occurs in several documents stays in the one with
@@ -29,10 +29,12 @@ from quire.sources.papers import load_table
 #: Words that a line needs for MinHash: below it one changed word already takes
 #: five-word shingles under 0.75.
 LONG = 39
-#: A block ends at the smallest hash of so many words on either side.
-REACH = 6
 #: Words that a merged span needs to be reported.
 LEAST_WORDS = 25
+#: Words of a picked n-gram, and n-grams of which the smallest is picked. Any
+#: run of ``2 * GRAM - 1`` words (49) that two texts share has such a window
+#: within it, so both texts pick the same n-gram of it.
+GRAM = 25
 ROWS_PER_BAND, RECALL = 3, 0.99
 #: Pairs a row below which classes that bucket hubs leave apart are compared at once.
 LAST_PAIRS = 2
@@ -45,77 +47,100 @@ def bands_for(threshold: float, rows: int = ROWS_PER_BAND, recall: float = RECAL
     return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold ** rows)))
 
 
-def block_ends(h: np.ndarray, row: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Positions of words that end a block: the hash of the word and the one
-    before it is smaller than that of all ``reach`` words on either side."""
-    n = len(h)
+def _running(a: np.ndarray, width: int, f) -> np.ndarray:
+    """``f`` over every ``width`` consecutive values."""
+    have = 1
+    while have * 2 <= width:
+        a, have = f(a[:-have], a[have:]), have * 2
+    return f(a[:len(a) - (width - have)], a[width - have:]) if have < width else a
+
+
+def picks(s: np.ndarray, own: np.ndarray, width: int) -> np.ndarray:
+    """Positions of the smallest of every ``width`` consecutive hashes of a
+    row (of all, where it has fewer). Equal texts of ``width`` hashes or more
+    have a hash picked in common. Where the smallest recurs within ``width``,
+    as in runs of one repeated word, so few are left that neighbours stay
+    within ``width``."""
+    n = len(s)
     if not n:
         return np.zeros(0, np.int64)
-    v = h.copy()
-    v[1:] = S.mix(h[1:] ^ (h[:-1] * np.uint64(3)))
-    least = np.ones(n, dtype=bool)
-    for k in range(1, reach + 1):
-        least[k:] &= (v[k:] < v[:-k]) | (row[k:] != row[:-k])
-        least[:-k] &= (v[:-k] < v[k:]) | (row[:-k] != row[k:])
-    last = np.ones(n, dtype=bool)
-    last[:-1] = row[1:] != row[:-1]
-    return np.flatnonzero(least | last)
+    picked = np.zeros(n, dtype=bool)
+    if n >= width:
+        least = _running(s, width, np.minimum)
+        least = np.where(own[:n - width + 1] == own[width - 1:], least, np.uint64(0))
+        none = np.zeros(width - 1, np.uint64)
+        picked = _running(np.concatenate((none, least, none)), width, np.maximum) == s
+    begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    count = np.diff(np.append(begin, n))
+    picked |= np.repeat(count < width, count) & (s == np.repeat(np.minimum.reduceat(s, begin), count))
+    at = np.flatnonzero(picked)
+    tied = np.zeros(len(at), dtype=bool)
+    tied[1:] = (s[at[1:]] == s[at[:-1]]) & (own[at[1:]] == own[at[:-1]]) & (at[1:] - at[:-1] < width)
+    chain = np.maximum.accumulate(np.where(tied, 0, np.arange(len(at))))
+    part = (at - at[chain]) // max(1, width - 1)
+    inner = np.zeros(len(at), dtype=bool)  # neither first nor last of its part
+    inner[1:-1] = tied[1:-1] & tied[2:] & (part[1:-1] == part[:-2]) & (part[1:-1] == part[2:])
+    return at[~inner]
 
 
 def _minhash(s: np.ndarray, begin: np.ndarray, hashes: int) -> np.ndarray:
     return np.stack([np.minimum.reduceat(S.mix(s * _SEEDS[i]), begin) for i in range(hashes)], axis=1)
 
 
-def _units(data, bounds, bands: int, k: int = 5):
-    """Paragraphs of a slice: (row, kind, start, end, words, key, band hashes)."""
+def _units(data, bounds, bands: int, least_words: int, k: int = 5):
+    """Units of a slice: (row, kind, start, end, words, key, band hashes, first word)."""
     h, row, starts, ends = S.words(data, bounds)
     if not len(h):
         return None
+    place = np.arange(len(h)) - np.searchsorted(row, row)
+    gram = min(least_words, GRAM)
+    s, own, at = S.shingle_hashes(h, row, len(bounds) - 1, gram)
+    whole = (np.bincount(row, minlength=len(bounds) - 1) >= gram)[own]
+    s, own, at = s[whole], own[whole], at[whole]
+    p = picks(s, own, gram)
+    f = at[p]
+    out = [(row[f], np.zeros(len(f), np.int64), starts[f], ends[f + gram - 1], np.full(len(f), gram), s[p].view(np.int64),
+            None, place[f])]
     # line number of each word, unique over the slice
     line = np.cumsum(data == 10)[starts] * np.int64(1) + row * np.int64(1 << 32)
-    cut = block_ends(h, row)
-    block = np.zeros(len(h), dtype=np.int64)
-    block[cut[:-1] + 1] = 1
-    block = np.cumsum(block)
-    new_line = np.concatenate(([True], line[1:] != line[:-1]))
-    line = np.cumsum(new_line) - 1
-    out = []
-    for kind, unit in ((0, block), (1, line)):
-        n = unit[-1] + 1
-        s, own, _ = S.shingle_hashes(h, unit, n, k)
+    n, unit = len(h), np.cumsum(np.concatenate(([True], line[1:] != line[:-1]))) - 1
+    count = np.bincount(unit)
+    keep = count >= LONG
+    if keep.any():
+        f, c = (np.cumsum(count) - count)[keep], count[keep]
+        use = keep[unit]
+        s, own, _ = S.shingle_hashes(h[use], (np.cumsum(keep) - 1)[unit[use]], len(f), k)
         s, own = S.distinct(s, own)
-        _, keys = S.set_keys(s, own, n)
-        first = np.searchsorted(unit, np.arange(n))
-        count = np.diff(np.append(first, len(unit)))
-        keep = count >= (LONG if kind else k)
-        hashed = None
-        if kind:
-            use = keep[own]
-            s, own = s[use], own[use]
-            if len(s):
-                begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                m = _minhash(s, begin, bands * ROWS_PER_BAND)
-                hashed = np.stack([S.mix(sum(m[:, b * ROWS_PER_BAND + i] * _SEEDS[200 + i] for i in range(ROWS_PER_BAND))
-                                         + np.uint64(b)) for b in range(bands)], axis=1).view(np.int64)
-        f, c = first[keep], count[keep]
-        out.append((row[f], np.full(len(f), kind), starts[f], ends[f + c - 1], c, keys[keep, 0], hashed))
+        _, keys = S.set_keys(s, own, len(f))
+        begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        m = _minhash(s, begin, bands * ROWS_PER_BAND)
+        hashed = np.stack([S.mix(sum(m[:, b * ROWS_PER_BAND + i] * _SEEDS[200 + i] for i in range(ROWS_PER_BAND))
+                                 + np.uint64(b)) for b in range(bands)], axis=1).view(np.int64)
+        out.append((row[f], np.ones(len(f), np.int64), starts[f], ends[f + c - 1], c, keys[:, 0], hashed, place[f]))
     return out
 
 
-def _paragraphs(batches, bands: int):
+def _placed(batches, bands: int, least_words: int = LEAST_WORDS):
+    """Units of every text, each with its first word's number in the text."""
     for batch in batches:
         data, bounds = S.buffer_of(batch.column(1))
         for lo, hi in S.slices(bounds):
-            found = _units(data[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo], bands)
-            for row, kind, start, end, words, key, hashed in found or []:
+            found = _units(data[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo], bands, least_words)
+            for row, kind, start, end, words, key, hashed, place in found or []:
                 at = bounds[lo:hi] - bounds[lo]
                 lists = pa.nulls(len(row), pa.list_(pa.int64())) if hashed is None else \
                     pa.FixedSizeListArray.from_arrays(pa.array(hashed.ravel()), bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row + lo)), pa.array(kind, pa.int32()),
                      pa.array(start - at[row], pa.int32()), pa.array(end - at[row], pa.int32()),
-                     pa.array(words, pa.int32()), pa.array(key), lists],
-                    ["_id", "kind", "start", "end", "words", "cls", "bands"])
+                     pa.array(words, pa.int32()), pa.array(key), lists, pa.array(place, pa.int32())],
+                    ["_id", "kind", "start", "end", "words", "cls", "bands", "word"])
+
+
+def _paragraphs(batches, bands: int):
+    """The same without the word's number."""
+    for batch in _placed(batches, bands):
+        yield batch.select(batch.schema.names[:-1])
 
 
 def _sets(batches):
@@ -224,6 +249,9 @@ def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (smallest document that holds it), ``removed`` (whether this is not it),
     ``n_docs`` (most documents that share a paragraph of it).
 
+    Every run of ``2 * GRAM - 1`` words or more that documents share is
+    reported with ``least_words`` of its words at least; a span made of picked
+    n-grams alone can end up to ``GRAM - 1`` words inside the run on each side.
     Passages that repeat only inside one document are none. Null, empty and
     blank texts have no passages. Ids are integers; rows with a null id are
     left out, rows that repeat an id count as one document. An empty table
@@ -234,8 +262,8 @@ def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bands = bands_for(percent / 100)
     docs = id_text(df, id_col, text_col).withColumn("_id", F.col("_id").cast("long")).where("_id is not null")
     units = stored(docs.mapInArrow(
-        lambda it: _paragraphs(it, bands),
-        "_id long, kind int, start int, end int, words int, cls long, bands array<long>"), "passage-units")
+        lambda it: _placed(it, bands, least_words),
+        "_id long, kind int, start int, end int, words int, cls long, bands array<long>, word int"), "passage-units")
     linked = components(_near(units, docs, percent)).withColumnRenamed("node", "cls")
     linked = stored(linked, "passage-linked")
     # Classes by document span: smallest and largest id, summed map-side.
@@ -246,20 +274,18 @@ def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = linked.join(near, "component").select("cls", "lo", "hi", "docs")
     across = stored(exact.join(linked, "cls", "left_anti").unionByName(near).where("lo < hi")
                     .select("cls", "lo", "docs"), "passage-classes")
-    hits = units.select("_id", "kind", "start", "end", "words", "cls").join(across, "cls")
+    hits = units.select("_id", "start", "end", "word", (F.col("word") + F.col("words")).alias("last"), "cls").join(across, "cls")
     # Overlapping or adjacent hits of a document, on the same side, make one span.
     hits = hits.withColumn("removed", F.col("_id") != F.col("lo"))
-    order = Window.partitionBy("_id", "removed").orderBy("start", "end")
+    order = Window.partitionBy("_id", "removed").orderBy("word", "last")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    hits = hits.withColumn("reach", F.max("end").over(before))
-    hits = hits.withColumn("new", (F.col("reach").isNull() | (F.col("start") > F.col("reach") + 1)).cast("int"))
+    hits = hits.withColumn("reach", F.max("last").over(before))
+    hits = hits.withColumn("new", (F.col("reach").isNull() | (F.col("word") > F.col("reach"))).cast("int"))
     hits = hits.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = hits.groupBy("_id", "removed", "span").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.when(F.col("kind") == 0, F.col("words"))).alias("block_words"),
-        F.sum(F.when(F.col("kind") == 1, F.col("words"))).alias("line_words"), F.min("lo").alias("keep_id"), F.max("docs").alias("n_docs"))
-    # Blocks and lines cover the same words twice, so their sums are not added.
-    words = F.greatest("line_words", "block_words")
-    return (merged.withColumn("n_words", words.cast("int")).where(F.col("n_words") >= least_words)
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("word")).alias("n_words"),
+        F.min("lo").alias("keep_id"), F.max("docs").alias("n_docs"))
+    return (merged.where(F.col("n_words") >= least_words)
             .select(F.col("_id").alias(id_col), "start", "end", "n_words", "keep_id", "removed", "n_docs"))
 
 

@@ -181,6 +181,40 @@ def test_passages(frame, empty):
     assert 1 - (1 - 0.75 ** 3) ** bands_for(0.75) >= 0.99
 
 
+def test_passages_inside_lines_are_all_found(frame):
+    """Runs of 50 words between different texts, at any place, and of one repeated word."""
+    rng = random.Random(11)
+
+    def words(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, runs = [], {}
+    for pair in range(100):
+        run = words(50) if pair < 98 else ["again"] * 50 if pair == 98 else ["two", "words"] * 25
+        for i in (2 * pair, 2 * pair + 1):
+            before, after = words(rng.randrange(5, 80)), words(rng.randrange(5, 80))
+            text = " ".join(before + run[:25]) + rng.choice(["  ", "\n", "\n\n"]) + " ".join(run[25:] + after)
+            rows.append((i, text, "s"))
+            runs[i] = (len(before), " ".join(run))
+    out = {}
+    for r in passage_dedup(frame(rows)).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    assert set(out) == set(runs)
+    for i, found in out.items():
+        for r in found:
+            span = dict((i, t) for i, t, _ in rows)[i][r["start"]:r["end"]].split()
+            assert r["n_words"] == len(span) >= 25 and " ".join(span) in runs[i][1]
+            assert r["keep_id"] == i - i % 2 and r["removed"] == (i % 2 == 1)
+
+
+def test_picks_of_ties_are_few_and_leave_no_gap():
+    rng = np.random.default_rng(8)
+    for period in (1, 2, 7, 24, 40):
+        s = np.tile(rng.integers(1, 2**63, period, dtype=np.uint64), 4000 // period)
+        at = passages.picks(s, np.zeros(len(s), np.int64), 25)
+        assert np.diff(at).max() <= 25 and len(at) <= len(s) / 6
+        assert {s[i:i + 25].min() for i in range(len(s) - 24)} == set(s[at])
+
+
 def test_passage_links_lose_no_colliding_pair(frame):
     """Lines that drift word by word: bucket mates link although their hubs do not."""
     rng = random.Random(5)
