@@ -1,10 +1,11 @@
 """Operator 9: substring dedup by paragraph MinHash banding.
 
-A text's paragraphs are its lines of ``LONG`` words or more, and besides n-grams
+A text's paragraphs are its lines of ``LEAST_WORDS`` words or more, its runs of
+several lines between blank ones, and besides n-grams
 of ``GRAM`` words wherever they start: of every ``GRAM`` consecutive ones that
 with the smallest hash is picked, so a passage of ``2 * GRAM - 1`` words that is
 copied into the middle of another line has a picked n-gram in both texts.
-Paragraphs with equal shingle sets, and equal n-grams, form a class. Classes of long paragraphs are banded by MinHash (bands tuned to a
+Paragraphs with equal shingle sets, and equal n-grams, form a class. Classes of lines and runs are banded by MinHash (bands tuned to a
 probability of 0.99 or more at the threshold), colliding ones are joined (with
 hubs of their bucket; those still apart by the n-grams that they share),
 verified by exact Jaccard over their whole shingle sets, and connected. A component that occurs in several documents stays in the one with
@@ -26,10 +27,7 @@ from quire.llm.ngram_join import link_classes
 from quire.session import ship_package, stored
 from quire.sources.papers import load_table
 
-#: Words that a line needs for MinHash: below it one changed word already takes
-#: five-word shingles under 0.75.
-LONG = 39
-#: Words that a merged span needs to be reported.
+#: Words that a line or paragraph needs for MinHash, and a merged span to be reported.
 LEAST_WORDS = 25
 #: Words of a picked n-gram, and n-grams of which the smallest is picked. Any
 #: run of ``2 * GRAM - 1`` words (49) that two texts share has such a window
@@ -101,12 +99,17 @@ def _units(data, bounds, bands: int, least_words: int, k: int = 5):
     f = at[p]
     out = [(row[f], np.zeros(len(f), np.int64), starts[f], ends[f + gram - 1], np.full(len(f), gram), s[p].view(np.int64),
             None, place[f])]
-    # line number of each word, unique over the slice
-    line = np.cumsum(data == 10)[starts] * np.int64(1) + row * np.int64(1 << 32)
-    n, unit = len(h), np.cumsum(np.concatenate(([True], line[1:] != line[:-1]))) - 1
-    count = np.bincount(unit)
-    keep = count >= LONG
-    if keep.any():
+    lines = np.cumsum(data == 10)[starts]
+    other = row[1:] != row[:-1]
+    newline, blank = (np.concatenate(([True], other | (np.diff(lines) >= n))) for n in (1, 2))
+    in_line, in_paragraph = np.cumsum(newline) - 1, np.cumsum(blank) - 1
+    # a paragraph of one line is that line
+    wrapped = np.bincount(in_paragraph, newline) > 1
+    for unit, worth in ((in_line, True), (in_paragraph, wrapped)):
+        count = np.bincount(unit)
+        keep = (count >= least_words) & worth
+        if not keep.any():
+            continue
         f, c = (np.cumsum(count) - count)[keep], count[keep]
         use = keep[unit]
         s, own, _ = S.shingle_hashes(h[use], (np.cumsum(keep) - 1)[unit[use]], len(f), k)

@@ -206,6 +206,36 @@ def test_passages_inside_lines_are_all_found(frame):
             assert r["keep_id"] == i - i % 2 and r["removed"] == (i % 2 == 1)
 
 
+def test_passages_of_short_and_of_wrapped_lines(frame):
+    """Lines of 25 words or more and paragraphs over several lines are compared whole."""
+    rng = random.Random(12)
+
+    def words(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    def wrapped(w, width):
+        return "\n".join(" ".join(w[i:i + width]) for i in range(0, len(w), width))
+    rows, want = [], {}
+    for pair in range(60):
+        line = words(25 + pair % 14)
+        last = line[:-1] + ["other"] if pair % 2 else line
+        for i, w in ((2 * pair, line), (2 * pair + 1, last)):
+            rows.append((i, "\n".join((" ".join(words(20)), " ".join(w), " ".join(words(20)))), "s"))
+            want[i] = " ".join(w)
+    for pair in range(60, 80):
+        para = words(49)
+        changed = para[:24] + ["other"] + para[25:]  # no 25 words in a row are left
+        for i, w in ((2 * pair, wrapped(para, 10)), (2 * pair + 1, wrapped(changed, 11))):
+            rows.append((i, "\n \n".join((wrapped(words(30), 10), w, wrapped(words(30), 10))), "s"))
+            want[i] = w
+    out = {r["doc_id"]: r for r in passage_dedup(frame(rows)).collect()}
+    assert set(out) == set(want)
+    for i, text, _ in rows:
+        r = out[i]
+        assert text[r["start"]:r["end"]] == want[i] and r["n_words"] == len(want[i].split())
+        assert r["keep_id"] == i - i % 2 and r["removed"] == (i % 2 == 1)
+
+
 def test_picks_of_ties_are_few_and_leave_no_gap():
     rng = np.random.default_rng(8)
     for period in (1, 2, 7, 24, 40):
