@@ -1,9 +1,10 @@
 """Operator 8: secret scans with corpus-wide ownership frequency.
 
-One pass finds the base matches and candidate values of every text. Hashes of
-the values are then counted by distinct repositories and owners over the whole
-corpus: a value that several owners hold is a copied example, a random-looking
-value of a single owner looks live and is added as a span of its own.
+One pass finds the base matches and candidate values of every text; the values
+of base matches are candidates whatever they look like. Hashes of the values are
+then counted by distinct repositories and owners over the whole corpus: a value
+in several owners' texts or in many repositories of one is a copied example, any
+other looks live and, if it looks random, is added as a span of its own.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -34,7 +36,7 @@ _VALUE_BYTE = np.zeros(256, dtype=bool)
 _VALUE_BYTE[[c for c in range(128) if re.match(r"[A-Za-z0-9+/_=-]", chr(c))]] = True
 
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_CANDIDATE = pa.struct([("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+_CANDIDATE = pa.struct([("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("random", pa.bool_())])
 
 
 def entropy(value: str) -> float:
@@ -61,6 +63,33 @@ def candidates(text: str, least_bits: float) -> list[tuple[int, int]]:
     return out
 
 
+def base_values(text: str) -> list[tuple[int, int]]:
+    """Spans of the values of base matches, without those inside another."""
+    found = {m.span(2) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6}
+    found |= {m.span() for m in _ACCESS.finditer(text) if len(m[0]) >= 20}
+    found |= {m.span() for m in _HEX.finditer(text)}
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or b > out[-1][1]:
+            out.append((a, b))
+    return out
+
+
+def _meets(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[bool]:
+    """Whether each span overlaps one of ``others``, whose starts and ends ascend."""
+    ends = [b for _, b in others]
+    first = [bisect_right(ends, a) for a, _ in spans]
+    return [i < len(others) and others[i][0] < b for i, (_, b) in zip(first, spans)]
+
+
+def rated_values(text: str, least_bits: float) -> list[tuple[int, int, bool]]:
+    """(start, end, looks random) of the values to rate: those of base matches,
+    and random-looking ones that overlap none of them."""
+    known, runs = base_values(text), candidates(text, least_bits)
+    out = [(*x, r) for x, r in zip(known, _meets(known, runs))]
+    return sorted(out + [(*x, True) for x, taken in zip(runs, _meets(runs, known)) if not taken])
+
+
 def _worth_reading(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Rows that hold a run of 20 value characters (all hex, access and
     candidate matches do) or a keyword."""
@@ -93,7 +122,7 @@ def _scan(batches, least_bits: float):
                 text = texts[int(i)].as_py() or ""
                 spans[i] = [dict(zip(("start", "kind", "end"), x)) for x in base_spans(text)]
                 values[i] = [{"value": hashlib.blake2b(text[a:b].encode(), digest_size=16).hexdigest(),
-                              "start": a, "end": b} for a, b in candidates(text, least_bits)]
+                              "start": a, "end": b, "random": r} for a, b, r in rated_values(text, least_bits)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), batch.column(3),
              pa.array(spans, pa.list_(_SPAN)), pa.array(values, pa.list_(_CANDIDATE))],
@@ -107,14 +136,17 @@ def _joined(spans: str) -> Column:
 
 
 def secret_scan(df: DataFrame, repo: Column, owner: Column, id_col: str = "doc_id", text_col: str = "text",
-                least_bits: float = 3.0, copied: int = 2) -> DataFrame:
+                least_bits: float = 3.0, copied: int = 2, copied_repos: int = 3) -> DataFrame:
     """One row per row of ``df``: ``id_col``, ``n_assign``, ``n_access``,
     ``n_hex``, ``base`` (array of start, kind, end in code points; kinds as in
     ``KINDS``), ``base_sha256``, ``spans`` (all spans, joined), ``n_live``,
     ``n_copied``.
 
-    A candidate value looks live when one owner alone holds it, and counts as a
-    copied example when ``copied`` or more owners do. Null and empty texts have
+    A value counts as a copied example when ``copied`` or more owners, or
+    ``copied_repos`` or more repositories, hold it, and otherwise looks live.
+    ``n_copied`` and ``n_live`` count the values of base matches and the
+    random-looking ones; only random-looking live values have a live span, the
+    others are inside their base match. Null and empty texts have
     no spans; a null repository or owner is a value of its own; ids are
     returned as they are, null or repeated; other columns are ignored. An empty
     table gives an empty result.
@@ -126,17 +158,18 @@ def secret_scan(df: DataFrame, repo: Column, owner: Column, id_col: str = "doc_i
     scanned = stored(docs.mapInArrow(
         lambda it: _scan(it, least_bits),
         f"_id {kind}, repo string, owner string, base array<struct<start:int,kind:int,end:int>>, "
-        "candidates array<struct<value:string,start:int,end:int>>")
+        "candidates array<struct<value:string,start:int,end:int,random:boolean>>")
         .withColumn("_row", F.monotonically_increasing_id()), "secret-scan")
     values = scanned.where(F.size("candidates") > 0).select("_row", "repo", "owner", F.explode("candidates").alias("c"))
     owned = values.select("c.value", "repo", "owner").distinct()
     frequency = (owned.groupBy("value").agg(F.count_distinct("owner").alias("owners"),
                                             F.count_distinct("repo").alias("repos")))
-    rated = salted_join(values.select("_row", "c.value", "c.start", "c.end"), frequency, ["value"])
+    rated = salted_join(values.select("_row", "c.value", "c.start", "c.end", "c.random"), frequency, ["value"])
+    example = (F.col("owners") >= copied) | (F.col("repos") >= copied_repos)
     added = rated.groupBy("_row").agg(
-        F.collect_list(F.when(F.col("owners") == 1, F.struct(
+        F.collect_list(F.when(~example & F.col("random"), F.struct(
             "start", F.lit(3).alias("kind"), "end"))).alias("live"),
-        F.count_if(F.col("owners") >= copied).alias("n_copied"))
+        F.count_if(~example).alias("n_live"), F.count_if(example).alias("n_copied"))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     out = scanned.join(added, "_row", "left").withColumn("live", F.coalesce("live", none)) \
         .withColumn("all", F.array_sort(F.concat("base", "live")))
@@ -145,7 +178,7 @@ def secret_scan(df: DataFrame, repo: Column, owner: Column, id_col: str = "doc_i
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return out.select(F.col("_id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"),
                       count(2).alias("n_hex"), "base", F.sha2(_joined("base"), 256).alias("base_sha256"),
-                      _joined("all").alias("spans"), F.size("live").cast("long").alias("n_live"),
+                      _joined("all").alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"),
                       F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
 
 

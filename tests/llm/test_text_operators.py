@@ -112,6 +112,22 @@ def test_secret_scan(frame, empty):
     assert secret_scan(empty, F.col("source"), F.col("source")).collect() == []
 
 
+def test_secret_scan_rates_by_repositories_and_all_base_values(frame):
+    sample, own = "tk9fQ2xLr7Bz0Wm4Yc8v", "Zk3Wq81mVb6Ty0Xs5Lp7"
+    rows = [(i, f"see {sample} or password=changeme123", "hot") for i in range(40)]  # one owner, all its repositories
+    rows += [(100, f"key {own} token: a.b-c.d9", "hot"), (101, "SECRET = a.b-c.d9", "b"), (102, "AKIA" + "QWERTYUIOPASDFGH", "b"),
+             (103, "api_key=AKIA" + "QWERTYUIOPASDFGH", "c"), (104, "password: only.one.owner", "c"),
+             (105, f"key {own}", "hot"), (106, "secret=" + "9f" * 3 + "0123456789abcdef0123", "c")]
+    table = frame(rows).withColumn("lang", F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), F.expr("int(doc_id % 4 + 1)")))
+    out = {r["doc_id"]: r for r in secret_scan(table, F.concat_ws("/", "source", "lang"), F.col("source")).collect()}
+    got = {i: (r["spans"], r["n_live"], r["n_copied"]) for i, r in out.items()}
+    assert {got[i] for i in range(40)} == {("assign:28:48", 0, 2)}
+    assert got[100] == ("live:4:24,assign:25:40", 1, 1) and got[101] == ("assign:0:17", 0, 1)
+    assert got[102] == ("access:0:20", 0, 1) and got[103] == ("assign:0:28,access:8:28", 0, 1)
+    assert got[104] == ("assign:0:24", 1, 0) and got[105] == ("live:4:24", 1, 0)
+    assert got[106] == ("assign:0:33,hex:7:33,live:7:33", 1, 0)
+
+
 def test_isotonic_pools_violators():
     x, y = isotonic(np.array([0., 1, 2, 3]), np.array([0., 1, 0, 1]), np.array([1., 1, 1, 1]))
     assert y.tolist() == [0, .5, 1] and x.tolist() == [0, 1.5, 3]
