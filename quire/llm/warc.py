@@ -41,19 +41,25 @@ class WarcError(ValueError):
     """An archive or record that does not hold what its headers say."""
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page/{page_id}')}>"
+def record_id(page_id: int | None, url: str | None, sha1: str, copy: int = 0) -> str:
+    """Differs for all rows, also for those that repeat an id; ``copy`` numbers
+    rows that are equal in all three."""
+    name = f"page/{page_id}/{sha1}/{copy}/{'' if url is None else '=' + url}"
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, name)}>"
 
 
-def build_record(page_id: int, url: str | None, payload: bytes, sha1: str, refers_to: int | None,
-                 refers_url: str | None = None) -> bytes:
-    """One WARC/1.1 record; a revisit carries the HTTP header alone."""
+def build_record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None,
+                 refers_url: str | None = None, copy: int = 0) -> bytes:
+    """One WARC/1.1 record; a revisit carries the HTTP header alone, a null id
+    has no X-Page-Id."""
     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id)),
-            ("WARC-Date", DATE), ("WARC-Target-URI", "".join((url or f"urn:page:{page_id}").split())),
-            ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", str(page_id))]
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, url, sha1, copy)),
+            ("WARC-Date", DATE), ("WARC-Target-URI", "".join((url or f"urn:page:{'null' if page_id is None else page_id}").split())),
+            ("WARC-Payload-Digest", f"sha1:{digest}")]
+    if page_id is not None:
+        head += [("X-Page-Id", str(page_id))]
     if refers_to is not None:
-        head += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to)),
+        head += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to, refers_url, sha1)),
                  ("X-Refers-To-Page-Id", str(refers_to))]
     block = _HTTP + (payload if refers_to is None else b"")
     head += [("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()),
@@ -177,7 +183,8 @@ def _write(batches, folder: str, dictionary: bytes, archive_bytes: int):
         return row
     for batch in batches:
         for r in batch.to_pylist():
-            writer.add(build_record(r["page_id"], r["url"], r["payload"] or b"", r["sha1"], r["refers_to"]))
+            writer.add(build_record(r["page_id"], r["url"], r["payload"] or b"", r["sha1"], r["refers_to"],
+                                    r["refers_url"], r["copy"]))
             ids.append(r["page_id"])
             if writer.size >= archive_bytes:
                 yield flush()
@@ -193,9 +200,9 @@ def _read(batches, folder: str):
             with system.open_input_stream(name, compression=None) as f:
                 for record in read_archive(f.read):
                     h = record["headers"]
-                    refers = h.get("x-refers-to-page-id")
+                    page, refers = h.get("x-page-id"), h.get("x-refers-to-page-id")
                     rows.append({
-                        "page_id": int(h["x-page-id"]), "record_type": h["warc-type"], "url": h.get("warc-target-uri"),
+                        "page_id": int(page) if page else None, "record_type": h["warc-type"], "url": h.get("warc-target-uri"),
                         "payload_digest": base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex(),
                         "payload_bytes": len(record["payload"]) if h["warc-type"] == "response" else None,
                         "refers_to": int(refers) if refers else None,
@@ -231,24 +238,35 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Of rows with equal texts of at least ``REVISIT_BYTES`` bytes the one with
     the largest id becomes a response, the others revisits of it; all others
     are responses. A null text is empty, a null url gets a name from the id.
-    Ids are integers and not null; of rows that repeat an id one is written.
+    Ids are integers; rows with a null id are responses, rows that repeat an id
+    each have a record of their own.
     """
     spark = pages.sparkSession
     ship_package(spark)
     rows = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"),
                         F.coalesce(col(text_col), F.lit("")).cast("binary").alias("payload"))
-    light = stored(rows.select("page_id", F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha2"),
-                               F.length("payload").alias("size")).dropDuplicates(["page_id"]), "warc-digests")
-    groups = (light.where(F.col("size") >= REVISIT_BYTES).groupBy("sha2", "size")
-              .agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    decided = salted_join(light, groups, ["sha2", "size"]).select(
-        F.col("page_id").alias("_page"), "sha1",
-        F.when(F.col("response") != F.col("page_id"), F.col("response")).alias("refers_to"))
+    key = ["page_id", "url", "sha2"]  # rows alike in all three are interchangeable
+    rows = rows.withColumn("sha2", F.sha2("payload", 256))
+    light = stored(rows.select(*key, F.sha1("payload").alias("sha1"), F.length("payload").alias("size"))
+                   .groupBy(*key, "sha1", "size").agg(F.count(F.lit(1)).alias("copies")), "warc-digests")
+    groups = (light.where((F.col("size") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("sha2", "size")
+              .agg(F.max(F.struct("page_id", "url")).alias("response")))
+    again = F.col("response.page_id") != F.col("page_id")
+    # The join's own key is null where a payload has no group.
+    named = light.select("*", *[F.col(k).alias("_" + k) for k in key])
+    decided = salted_join(named, groups, ["sha2", "size"]).select(
+        *["_" + k for k in key], "sha1", "copies", F.when(again, F.col("response.page_id")).alias("refers_to"),
+        F.when(again, F.col("response.url")).alias("refers_url"))
     # A revisit holds no payload, so none is moved for it beyond this join.
-    records = rows.join(decided, F.col("page_id") == F.col("_page")).select(
-        "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "sha1", "refers_to")
-    if light.count() != rows.count():
-        records = records.dropDuplicates(["page_id"])
+    same = (F.col("sha2") == F.col("_sha2")) & F.col("page_id").eqNullSafe(F.col("_page_id")) \
+        & F.col("url").eqNullSafe(F.col("_url"))
+    records = rows.join(decided, same).select(
+        *key, F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "sha1", "refers_to", "refers_url", "copies")
+    once = records.where("copies = 1").withColumn("copy", F.lit(0))
+    if not light.where("copies > 1").isEmpty():
+        more = records.where("copies > 1").dropDuplicates(key)
+        once = once.unionByName(more.withColumn("copy", F.explode(F.expr("sequence(0, cast(copies - 1 as int))"))))
+    records = once.drop("sha2", "copies")
     dictionary = train_dictionary(pages, text_col)
     system, root = _filesystem(folder)
     system.create_dir(root, recursive=True)
@@ -270,11 +288,10 @@ def warc_round_trip(pages: DataFrame, folder: str, id_col: str = "page_id", url_
     revisit the size of its response's payload."""
     written = stored(write_archives(pages, folder, id_col, url_col, text_col), "warc-archives")
     light = stored(read_archives(written, folder).drop("payload"), "warc-records")
-    full = light.where("record_type = 'response'").select(
-        F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full"),
-        F.col("payload_digest").alias("full_digest"))
-    revisits = salted_join(light.where("record_type = 'revisit'"), full, ["refers_to"], "inner") \
-        .where("payload_digest = full_digest")
+    full = light.where("record_type = 'response' and page_id is not null").select(
+        F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("full")) \
+        .dropDuplicates(["refers_to", "payload_digest"])
+    revisits = salted_join(light.where("record_type = 'revisit'"), full, ["refers_to", "payload_digest"], "inner")
     return light.where("record_type = 'response'").drop("url").unionByName(
         revisits.select("page_id", "record_type", "payload_digest", F.col("full").alias("payload_bytes"), "refers_to"))
 

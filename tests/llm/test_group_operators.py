@@ -17,7 +17,7 @@ from quire.llm.mixing import fit_lengths, mix, mixed_rows
 from quire.llm.ngram_join import keep_one_of_group, ngram_join
 from quire.llm.passage_dedup import bands_for, passage_dedup
 from quire.llm.warc import (ArchiveWriter, WarcError, build_record, parse_record, read_archive,
-                            warc_round_trip)
+                            warc_round_trip, write_archives)
 from quire.session import scratch_path
 
 from conftest import ROWS  # noqa: F401
@@ -290,6 +290,34 @@ def test_warc_round_trip(spark):
     assert empty.collect() == []
 
 
+def test_warc_writes_every_row(spark):
+    """Null ids, ids repeated with other texts, and equal rows."""
+    big, other = "<p>" + "a" * 1200 + "</p>", "<p>" + "b" * 1300 + "</p>"
+    pages = [(1, "u1", big), (1, "u1", other), (1, "u1", "tiny"), (2, "u2", big), (9, None, big), (9, "u9", other), (9, "x", big),
+             (None, "n", big), (None, None, big), (None, "n", None), (3, "u3", other), (3, "u3", other), (4, "u4", "tiny"),
+             (5, "u5", "tiny"), (5, "u5", "tiny"), (5, "u5", "tiny")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+
+    def folder():
+        return scratch_path(spark, "warc-rows").replace("file:/", "file:///", 1)
+    want = Counter()
+    for i, _, html in pages:
+        raw = (html or "").encode()
+        top = max(j for j, _, h in pages if h == html and j is not None) if html else None
+        again = len(raw) >= 1000 and i is not None and i != top
+        want[(i, "revisit" if again else "response", hashlib.sha1(raw).hexdigest(), len(raw), top if again else None)] += 1
+    columns = ["page_id", "record_type", "payload_digest", "payload_bytes", "refers_to"]
+    assert Counter(map(tuple, warc_round_trip(df, folder()).select(*columns).collect())) == want
+    at = folder()
+    names, found = [r["archive"] for r in write_archives(df, at).collect()], []
+    for name in names:
+        with open(name, "rb") as f:
+            found += [r["headers"] for r in read_archive(f.read)]
+    held = {h["warc-record-id"]: h["warc-payload-digest"] for h in found if h["warc-type"] == "response"}
+    assert len(found) == len({h["warc-record-id"] for h in found}) == len(pages)
+    assert all(held[h["warc-refers-to"]] == h["warc-payload-digest"] for h in found if h["warc-type"] == "revisit")
+
+
 def archive(records, dictionary=b""):
     import io
     w = ArchiveWriter(dictionary)
