@@ -52,5 +52,16 @@ def small(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def text_sha(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(col(text_col), F.lit("")), 256))
+
+
+def unclear_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """(``_unclear``): ids that several rows have, or null; a decision on one
+    of these is not that of a single row."""
+    ids = df.groupBy(col(id_col).alias("_unclear")).agg(F.count(F.lit(1)).alias("_rows"))
+    return stored(ids.where("_rows > 1 or _unclear is null").select("_unclear"), "unclear-ids")
+
+
 def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quire.llm.common import WORD, col, salted_join, small
+from quire.llm.common import WORD, col, salted_join, small, text_sha, unclear_ids
 from quire.operators.rows import with_row_index
 from quire.session import ship_package, stored
 from quire.sources.papers import load_table
@@ -136,8 +136,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     an empty result; other columns are ignored. Equal tables read in equal
     files give equal mixes.
     """
+    return _mix(df, id_col, text_col, source_col, weights, most, seed, knapsack, [])
+
+
+def _mix(df, id_col, text_col, source_col, weights, most, seed, knapsack, more: list[Column]) -> DataFrame:
+    """:func:`mix`, with ``more`` columns of ``df`` in its rows."""
     ship_package(df.sparkSession)
-    docs = stored(df.select(col(id_col).alias("_id"), col(source_col).alias("source"),
+    names = df.select(*more).columns
+    docs = stored(df.select(*more, col(id_col).alias("_id"), col(source_col).alias("source"),
                             F.regexp_count(F.coalesce(col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
                   .withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
     # Map-side sums: a hot source costs one row per task and length.
@@ -167,12 +173,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
               .join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) &
                     (F.col("_part") == F.col("_p")))
               .withColumn("_more", (F.col("before") + F.col("_rank") <= F.col("extra")).cast("int")))
-    cols = ["_id", "source", "size", "source_size", "target", "passes", "_more"]
+    cols = ["_id", "source", "size", "source_size", "target", "passes", "_more", *names]
     out = chosen.select(*cols).unionByName(
         rows.where("extra = 0 or extra = n").withColumn("_more", F.when(F.col("extra") > 0, 1).otherwise(0))
         .select(*cols))
     return out.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target",
-                      (F.col("size") * (F.col("passes") + F.col("_more"))).cast("long").alias("taken"))
+                      (F.col("size") * (F.col("passes") + F.col("_more"))).cast("long").alias("taken"), *names)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +187,29 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` that the mix takes, each as often as it takes it.
-    Texts without words are dropped. Ids must not repeat."""
+    Texts without words are dropped. Where ids repeat or are null, rows are
+    told apart by source and text; those alike in all three share what they take."""
+    if not unclear_ids(df, id_col).isEmpty():
+        return _mixed_unclear(df, id_col, text_col, source_col)
     taken = (mix(df, id_col, text_col, source_col).where("taken > 0")
              .select(F.col(id_col).alias("_taken_id"), F.expr("int(taken div size)").alias("_times")))
     out = df.join(small(taken, "taken"), col(id_col).eqNullSafe(F.col("_taken_id")))
     return (out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
             .select(*[col(c) for c in df.columns]))
+
+
+def _mixed_unclear(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    keys = ["_taken_id", "_taken_source", "_taken_sha"]
+    taken = _mix(df, id_col, text_col, source_col, WEIGHTS, MOST_REPEATS, 42, KNAPSACK_BUDGET,
+                 [text_sha(text_col).alias("_taken_sha")]).where("size > 0")
+    taken = taken.select(col(id_col).alias("_taken_id"), F.col("source").alias("_taken_source"), "_taken_sha",
+                         F.expr("taken div size").alias("_times"))
+    taken = taken.groupBy(*keys).agg(F.sum("_times").alias("_total"), F.count(F.lit(1)).alias("_alike"))
+    same = col(id_col).eqNullSafe(F.col("_taken_id")) & col(source_col).eqNullSafe(F.col("_taken_source")) \
+        & (text_sha(text_col) == F.col("_taken_sha"))
+    out = df.join(taken, same).withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("_alike")))
+    # Rows alike take as often, but for one more of some of them.
+    times = F.expr("int(_total div _alike + if(_nth <= _total % _alike, 1, 0))")
+    return (out.withColumn("_times", times).where("_times > 0")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+            .select(*[col(c) for c in df.columns]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import shingles as S
-from quire.llm.common import col, id_text, partitions, small
+from quire.llm.common import col, id_text, partitions, small, unclear_ids
 from quire.llm.components import components
 from quire.session import ship_package, stored
 from quire.sources.papers import load_table
@@ -377,7 +377,19 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without those that a smaller id of their component
-    stands for."""
+    stands for. Where ids repeat, rows are told apart by their sets."""
     out = ngram_join(df, id_col, text_col)
+    unclear = unclear_ids(df, id_col).where("_unclear is not null")
+    if not unclear.isEmpty():
+        out = stored(out, "ngram-rows")
+        rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "ngram-table")
+        sets = id_text(rows.join(unclear, col(id_col) == F.col("_unclear"), "left_semi").select("_row", col(id_col), col(text_col)),
+                       "_row", text_col).mapInArrow(lambda it: _describe(it, 5), "_id long, n int, cls long, k2 long, probed int")
+        gone = out.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"), "class_id").distinct()
+        own = rows.select("_row", col(id_col).alias("_gone")).join(sets.where("n > 0").select(F.col("_id").alias("_row"), F.col("cls").alias("class_id")), "_row")
+        told = own.join(gone, ["_gone", "class_id"], "left_semi").select("_row")
+        clear = rows.join(gone.select("_gone").join(unclear, F.col("_gone") == F.col("_unclear"), "left_anti"),
+                          col(id_col) == F.col("_gone"), "left_anti")
+        return clear.join(told, "_row", "left_anti").select(*[col(c) for c in df.columns])
     gone = out.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     return df.join(small(gone, "near-copies"), col(id_col) == F.col("_gone"), "left_anti")

@@ -12,11 +12,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import shingles as S
-from quire.llm.common import col, id_text, small
+from quire.llm.common import col, small, text_sha, unclear_ids
 from quire.session import ship_package, stored
 from quire.sources.papers import load_table
 
@@ -76,7 +76,8 @@ def _statistics(batches):
         for lo, hi in S.slices(bounds):
             values = statistics(data[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), *(pa.array(v) for v in values.T)], ["_id", *STATISTICS])
+                [batch.column(0).slice(lo, hi - lo), *(pa.array(v) for v in values.T),
+                 *(c.slice(lo, hi - lo) for c in batch.columns[2:])], ["_id", *STATISTICS, *batch.schema.names[2:]])
 
 
 class Kernel:
@@ -147,12 +148,19 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     not at all. Without labelled rows all scores are 0.5. An empty table gives
     an empty result.
     """
+    return _scores(df, labels, id_col, text_col, label_col, threshold, features).drop("_sha")
+
+
+def _scores(df, labels, id_col="doc_id", text_col="text", label_col="quality", threshold=0.3, features=FEATURES,
+            sha: Column | None = None) -> DataFrame:
+    """:func:`quality_scores` with a column ``_sha`` of ``df``."""
     spark = df.sparkSession
     ship_package(spark)
-    docs = id_text(df, id_col, text_col)
+    docs = df.select(col(id_col).alias("_id"), F.coalesce(col(text_col), F.lit("")).alias("_text"),
+                     (F.lit(None).cast("binary") if sha is None else sha).alias("_sha"))
     kind = docs.schema["_id"].dataType.simpleString()
     remainder = F.pmod(F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
-    stats = stored(docs.mapInArrow(_statistics, f"_id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    stats = stored(docs.mapInArrow(_statistics, f"_id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS) + ", _sha binary")
                    .withColumn("fold", remainder.cast("int")), "quality-statistics")
     moments = stats.agg(*[f(s) for s in STATISTICS for f in (F.avg, F.stddev_pop)]).first()
     centre = [x or 0.0 for x in moments[0::2]]
@@ -189,11 +197,11 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             x = np.stack([b.column(s).to_numpy() for s in STATISTICS], axis=1)
             raw = (kernel(x) @ weights + 0.5) * GRID / 2
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), b.column("fold"), pa.array(np.clip(np.interp(raw, place, value), 0, 1))],
-                ["_id", "fold", "score"])
-    out = stats.mapInArrow(score, f"_id {kind}, fold int, score double")
+                [b.column("_id"), b.column("fold"), pa.array(np.clip(np.interp(raw, place, value), 0, 1)), b.column("_sha")],
+                ["_id", "fold", "score", "_sha"])
+    out = stats.mapInArrow(score, f"_id {kind}, fold int, score double, _sha binary")
     return out.select(F.col("_id").alias(id_col), (F.col("fold") == 0).alias("held_out"), "score",
-                      (F.col("score") >= threshold).cast("int").alias("predicted"))
+                      (F.col("score") >= threshold).cast("int").alias("predicted"), "_sha")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +209,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that the classifier does not reject."""
+    """The rows of ``df`` that the classifier does not reject. Where ids repeat
+    or are null, rows are told apart by their texts."""
+    if not unclear_ids(df, id_col).isEmpty():
+        bad = (_scores(df, labels, id_col, text_col, sha=text_sha(text_col)).where("predicted = 0")
+               .select(F.col(id_col).alias("_bad"), F.col("_sha").alias("_bad_sha")).distinct())
+        same = col(id_col).eqNullSafe(F.col("_bad")) & (text_sha(text_col) == F.col("_bad_sha"))
+        return df.join(small(bad, "rejected"), same, "left_anti")
     bad = (quality_scores(df, labels, id_col, text_col).where("predicted = 0")
            .select(F.col(id_col).alias("_bad")).distinct())
     return df.join(small(bad, "rejected"), col(id_col).eqNullSafe(F.col("_bad")), "left_anti")

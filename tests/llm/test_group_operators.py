@@ -343,6 +343,40 @@ def test_warc_reader_validates():
             parse_record(broken)
 
 
+def test_stages_tell_rows_with_unclear_ids_apart(spark, frame):
+    """Null ids and ids that repeat with other texts: a decision takes its own row alone."""
+    from quire.llm.quality import keep_good, quality_scores
+    rng = np.random.default_rng(9)
+
+    def text(i, good):
+        w = [f"w{rng.integers(0, 300)}" for _ in range(60)]
+        return " ".join(w) + f". t{i}" if good else " ".join([w[0]] * 40 + [x.upper() + "!!" for x in w[:20]])
+    rows = [(i, text(i, i % 3 > 0), "a") for i in range(300)]
+    odd = [(i, text(k, k % 2 > 0), "ab"[k % 2]) for i in (None, 7, 1000) for k in range(4)]
+    table = frame(rows + odd)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300) if i != 7], "doc_id long, quality int")
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    bad = sum(r["predicted"] == 0 for r in quality_scores(table, labels).collect())
+    kept = texts(keep_good(table, labels))
+    assert sum(kept.values()) == len(rows) + len(odd) - bad
+    for i, t, s in odd:
+        assert kept[(i, t)] == (s == "b")
+    near = " ".join(f"n{i}" for i in range(60))
+    some = [(1, near, "a"), (5, near + " x", "a"), (5, "quite another text that links with nothing", "a"), (5, "", "a"),
+            (None, near, "a"), (None, "b c", "a"), (6, near + " y", "a"), (8, "d e", "b"), (5, "w " * 3, "b")]
+    assert texts(keep_one_of_group(frame(some))) == Counter((i, t) for i, t, _ in some if i not in (5, 6) or "n1" not in t)
+    some += [(5, "quite another text that links with nothing", "a")] * 2
+    table = frame(some)
+    taken = Counter()
+    for r in mix(table).collect():
+        taken[(r["doc_id"], r["source"], r["size"])] += r["taken"]
+    got = Counter()
+    for r in mixed_rows(table).collect():
+        assert (r["doc_id"], r["text"], r["source"]) in some
+        got[(r["doc_id"], r["source"], len(WORD.findall(r["text"])))] += len(WORD.findall(r["text"]))
+    assert got == +taken
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline
     sf = "/root/testdata/sf0.001"
