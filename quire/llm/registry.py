@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import (embedding_dedup, exact_dedup, mixing, ngram_join, passage_dedup, quality,
+from quire.llm import (conversation_repair, embedding_dedup, exact_dedup, mixing, ngram_join, passage_dedup, quality,
                        secrets, sentencepiece_spans, token_counts, warc)
 
 QUERIES = {
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_passage_dedup": passage_dedup.op9_passage_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
 }
-SQL = {**exact_dedup.SQL, **warc.SQL}
+SQL = {**exact_dedup.SQL, **warc.SQL, **conversation_repair.SQL}
