@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import (conversation_repair, conversation_trie, embedding_dedup, exact_dedup, mixing, ngram_join, passage_dedup, quality,
+from quire.llm import (conversation_repair, conversation_trie, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, passage_dedup, quality,
                        secrets, sentencepiece_spans, token_counts, warc)
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_conversation_trie": conversation_trie.op12_conversation_trie,
+    "op13_language_id": language_id.op13_language_id,
 }
 SQL = {**exact_dedup.SQL, **warc.SQL, **conversation_repair.SQL,
        **conversation_trie.SQL}
