@@ -69,10 +69,11 @@ def running_sums(df: DataFrame, key: str, pos: str, sums: dict[str, str], block:
     totals = df.groupBy(key, "_block").agg(*[F.sum(c).alias(c) for c in sums.values()])
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col(key).alias("_key"), F.col("_block").alias("_of"),
-                           *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{n}") for n, c in sums.items()])
+                           *[F.sum(c).over(before).alias(f"_before_{n}") for n, c in sums.items()])
     out = df.withColumns({n: F.sum(c).over(inner) for n, c in sums.items()})
     # only later blocks have anything before them
-    out = out.join(totals.where("_of > 0"), (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_of")), "left")
+    later = totals.where(F.col(f"_before_{next(iter(sums))}").isNotNull())
+    out = out.join(later, (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_of")), "left")
     return out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)) for n in sums}) \
         .drop("_block", "_key", "_of", *[f"_before_{n}" for n in sums])
 
