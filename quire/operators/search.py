@@ -49,6 +49,8 @@ MODEL_GRIDS = {
             "max_depth": [2, 3, 4, 5, 6, 7, 8]},
 }
 
+#: Models that add tree after tree.
+BOOSTED = ("gb", "xgb")
 # Axes that do not change the fitted predictions of the given model.
 NO_EFFECT = {"lr": {"copy_X", "normalize"}, "svr": {"shrinking"}, "rf": {"oob_score"}}
 
@@ -62,12 +64,6 @@ def param_grid(*grids: dict) -> list[dict]:
     return [dict(zip(keys, values)) for values in itertools.product(*(merged[k] for k in keys))]
 
 
-def grid_frame(spark: SparkSession, grid: list[dict]) -> DataFrame:
-    """The candidate list as a small DataFrame (candidate, params as text)."""
-    rows = [(i, repr(sorted(p.items()))) for i, p in enumerate(grid)]
-    return spark.createDataFrame(rows, "candidate int, params string")
-
-
 def collapse(grid: list[dict], model: str) -> tuple[list[dict], list[int]]:
     """Drop no-effect axes (and gamma for linear kernels); returns the
     distinct settings and, per original candidate, its setting number."""
@@ -134,6 +130,27 @@ def cross_validate(make_estimator, settings: list[dict], data: DataFrame, k: int
     return out
 
 
+def staged_scores(make_estimator, settings: list[dict], train: DataFrame, valid: DataFrame,
+                  axis: str = "n_estimators", label: str = "label") -> list[dict]:
+    """G2 for boosted trees: settings that differ in the number of trees alone
+    share one fit of the largest. Boosting adds tree after tree, so a smaller
+    model is the larger one's prefix; one pass over ``valid`` gives the error
+    after every tree. Rows of ``candidate``, ``n``, ``mse``, ``r2``."""
+    alike: dict = {}
+    for i, s in enumerate(settings):
+        alike.setdefault(repr(sorted((k, v) for k, v in s.items() if k != axis)), []).append(i)
+    n, spread = valid.agg(F.count(F.lit(1)), F.var_pop(label)).first()
+    out = []
+    for members in alike.values():
+        most = max(settings[i][axis] for i in members)
+        errors = make_estimator(**(settings[members[0]] | {axis: most})).fit(train).evaluateEachIteration(valid, "squared")
+        for i in members:
+            mse = errors[settings[i][axis] - 1]
+            r2 = 1.0 - mse / spread if spread else float(mse == 0)
+            out.append({"candidate": i, "n": n, "mse": mse, "r2": r2})
+    return sorted(out, key=lambda r: r["candidate"])
+
+
 def mean_scores(scores: DataFrame, metric: str = "r2") -> DataFrame:
     """Mean held-out score per candidate."""
     return scores.groupBy("candidate").agg(F.avg(metric).alias(f"mean_{metric}"))

@@ -394,3 +394,114 @@ def _stumps_sql(rates: list[float]) -> str:
 SQL["rf_fit"] = _stumps_sql([1.0])
 SQL["gbt_fit"] = _stumps_sql([1.0, 0.1])
 SQL["gbt_eta_fit"] = _stumps_sql([1.0, 0.3, 0.3])
+
+
+# ---------------------------------------------------------------------------
+# the search: folds counted once, least squares from normal equations
+# ---------------------------------------------------------------------------
+
+def _eliminate(size: str) -> str:
+    """One step of Gauss-Jordan elimination of the rows ``m`` (label last) at
+    ``k``; a column that depends on those before it gets weight 0."""
+    dependent = "m[k][k] <= 1e-9 * d[k]"
+    cell = ("CASE WHEN {dep} THEN CASE WHEN i = k OR j = k THEN 0.0e0 ELSE m[i][j] END "
+            "WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] / m[k][k] * m[k][j] END").format(dep=dependent)
+    return (f"list_transform(range(1, {size} + 1), lambda i: list_transform(range(1, {size} + 2), lambda j: {cell}))")
+
+
+def least_squares_ctes(rows: str, keys: str) -> list[str]:
+    """From ``rows`` (keys, out, z: [1, features..., label]) to ``fit`` (keys,
+    icept, w: weights with the intercept first) and ``ls`` (keys, icept, r2)."""
+    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    return [
+        f"gp AS (SELECT {keys}, out, i, j, sum(z[i] * z[j]) AS v FROM {rows}, range(1, 200) a(i), range(1, 200) b(j) "
+        f"WHERE i <= len(z) AND j <= len(z) GROUP BY {keys}, out, i, j)",
+        f"gr AS (SELECT {keys}, out, i, list(v ORDER BY j) AS r FROM gp GROUP BY {keys}, out, i)",
+        f"gm AS (SELECT {keys}, out, list(r ORDER BY i) AS g FROM gr GROUP BY {keys}, out)",
+        f"s0 AS (SELECT {keys}, icept, list_transform(g[CASE WHEN icept THEN 1 ELSE 2 END:len(g) - 1], "
+        f"lambda r: r[CASE WHEN icept THEN 1 ELSE 2 END:len(r)]) AS m FROM gm, (VALUES (true), (false)) t(icept) WHERE out = 0)",
+        f"el AS (SELECT {keys}, icept, 0 AS k0, m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM s0 "
+        f"UNION ALL SELECT {keys}, icept, k0 + 1, {_eliminate('len(m)').replace('[k]', '[k0 + 1]').replace('= k ', '= k0 + 1 ').replace('i = k OR', 'i = k0 + 1 OR')}, d "
+        f"FROM el WHERE k0 < len(m))",
+        f"fit AS (SELECT {keys}, icept, list_concat(CASE WHEN icept THEN [] ELSE [0.0e0] END, "
+        f"list_transform(m, lambda r: r[len(r)])) AS w FROM el WHERE k0 = len(m))",
+        f"ls AS (SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, icept, g[1][1] AS n, "
+        "list_sum(list_transform(range(1, len(g) + 1), lambda i: list_sum(list_transform(range(1, len(g) + 1), "
+        "lambda j: g[i][j] * list_append(w, -1.0e0)[i] * list_append(w, -1.0e0)[j])))) AS sse, "
+        f"g[len(g)][len(g)] - g[1][len(g)] * g[1][len(g)] / g[1][1] AS sst FROM fit a JOIN gm b ON {on} WHERE b.out = 1)"]
+
+
+def _cv_pipeline_sql(width: int = 8, k: int = 4) -> str:
+    from quire.operators.search import VECT_GRID, param_grid
+    settings = param_grid(VECT_GRID)
+    kinds = list(dict.fromkeys((s["ngram_range"], s["stop_words"] is not None)
+                               for s in [{"ngram_range": (1, 1), "stop_words": None}, *settings]))
+    weightings = [(False, True), (False, False), (True, True), (True, False)]  # (sub-linear, smooth)
+    blocks = [("kw", (1, 1), False), ("title_t", (1, 1), False), ("venue", (1, 1), False)] + \
+        [("abstract_t", n, stop) for n, stop in kinds]
+    ctes = [TOK.strip(),
+            "nt AS (SELECT count(*) AS n FROM tok WHERE split = 'train')",
+            f"fo AS (SELECT tok.*, CAST(CASE WHEN rn < (n % {k}) * (n // {k} + 1) THEN rn // (n // {k} + 1) "
+            f"ELSE n % {k} + (rn - (n % {k}) * (n // {k} + 1)) // (n // {k}) END AS INTEGER) AS fold FROM tok, nt WHERE split = 'train')"]
+    for i, (text, n, stop) in enumerate(blocks):
+        base, grams = analyzer_sql(text, n, ENGLISH_STOP_WORDS if stop else None, False)
+        ctes += [f"b{i} AS (SELECT paper_id, fold, {base} AS t0 FROM fo)",
+                 f"t{i} AS (SELECT paper_id, fold, {i} AS block, unnest({grams}) AS term FROM b{i})"]
+    ctes.append("tf AS (SELECT paper_id, fold, block, term, count(*) AS tf FROM (" +
+                " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(len(blocks))) + ") GROUP BY ALL)")
+    ctes.append("dq AS (SELECT block, term, count(*) AS df, " +
+                ", ".join(f"count(*) FILTER (fold = {f}) AS df{f}" for f in range(k)) + " FROM tf GROUP BY block, term)")
+    ctes.append("nf AS (SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (fold = {f}) AS n{f}" for f in range(k)) + " FROM fo)")
+    idf = []
+    for f in range(k):
+        for smooth in (True, False):
+            n, df = f"CAST(n - n{f} AS DOUBLE)", f"CAST(df - df{f} AS DOUBLE)"
+            value = f"ln(({n} + 1.0e0) / ({df} + 1.0e0))" if smooth else f"ln({n} / {df})"
+            idf.append(f"CASE WHEN df > df{f} THEN {value} + 1.0e0 ELSE 0.0e0 END AS i{f}_{int(smooth)}")
+    ctes.append(f"kn AS (SELECT block, term, abs(h) % {width} AS bucket, CASE WHEN h >= 0 THEN 1.0e0 ELSE -1.0e0 END AS sign, {', '.join(idf)} "
+                "FROM (SELECT *, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS h FROM "
+                "(SELECT *, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) AS u FROM dq)), nf)")
+    base = [(w, f) for w in weightings for f in range(k)]
+
+    def value(w, f):
+        return ("(ln(CAST(tf AS DOUBLE)) + 1.0e0)" if w[0] else "CAST(tf AS DOUBLE)") + f" * i{f}_{int(w[1])}"
+    sums = ", ".join(f"sum(sign * {value(w, f)}) AS s{i}, sum({value(w, f)}) AS a{i}, sum({value(w, f)} * {value(w, f)}) AS q{i}"
+                     for i, (w, f) in enumerate(base))
+    ctes.append(f"su AS (SELECT paper_id, block, bucket, {sums} FROM tf JOIN kn USING (block, term) GROUP BY ALL)")
+    n = len(base)
+
+    def lists(name):
+        return "[" + ", ".join(f"{name}{i}" for i in range(n)) + "]"
+    ctes += [
+        f"lg AS (SELECT paper_id, block, bucket, unnest({lists('s')}) AS s, unnest({lists('a')}) AS a, unnest({lists('q')}) AS q, "
+        f"unnest(range({n})) AS wh FROM su)",
+        "nm AS (SELECT paper_id, block, wh, sum(a) AS l1, sqrt(sum(q)) AS l2 FROM lg GROUP BY ALL)",
+        f"xb AS (SELECT paper_id, block, wh, list(coalesce(s, 0.0e0) ORDER BY b) AS x FROM (SELECT p.paper_id, p.block, p.wh, t.b, lg.s "
+        f"FROM nm p CROSS JOIN range({width}) t(b) LEFT JOIN lg ON lg.paper_id = p.paper_id AND lg.block = p.block AND lg.wh = p.wh "
+        f"AND lg.bucket = t.b) GROUP BY ALL)"]
+    values = ", ".join(
+        f"({i}, {3 + kinds.index((s['ngram_range'], s['stop_words'] is not None))}, "
+        f"{weightings.index((s['sublinear_tf'], s['smooth_idf']))}, {O.q(s['norm'] or 'none')})" for i, s in enumerate(settings))
+    zeros = f"list_transform(range({width}), lambda b: 0.0e0)"
+
+    def part(alias, norm="l2"):
+        size = f"CASE {norm} WHEN 'l1' THEN {alias}n.l1 WHEN 'l2' THEN {alias}n.l2 ELSE 1.0e0 END" if norm != "l2" else f"{alias}n.l2"
+        return (f"coalesce(list_transform({alias}.x, lambda v: CASE WHEN {size} > 0 THEN v / {size} ELSE v END), {zeros})")
+
+    def joins(alias, block, at):
+        on = f"paper_id = p.paper_id AND {{0}}.block = {block} AND {{0}}.wh = {at}"
+        return f"LEFT JOIN xb {alias} ON {alias}.{on.format(alias)} LEFT JOIN nm {alias}n ON {alias}n.{on.format(alias + 'n')} "
+    ctes += [
+        f"vs(vi, blk, wt, norm) AS (VALUES {values})",
+        f"zr AS (SELECT v.vi, h.h, CAST(p.fold = h.h AS INTEGER) AS out, list_concat([1.0e0], list_concat({part('k')}, list_concat({part('t')}, "
+        f"list_concat({part('c', 'v.norm')}, list_concat({part('u')}, [CAST(year AS DOUBLE), CAST(n_citation AS DOUBLE), label]))))) AS z "
+        f"FROM fo p CROSS JOIN vs v CROSS JOIN range({k}) h(h) {joins('k', 0, 'h.h')}{joins('t', 1, 'h.h')}"
+        f"{joins('u', 2, 'h.h')}{joins('c', 'v.blk', f'v.wt * {k} + h.h')})"]
+    ctes += least_squares_ctes("zr", "vi, h")
+    body = ("SELECT CAST(vi * 8 + c AS INTEGER) AS candidate, CAST(h AS INTEGER) AS fold, "
+            "round(CASE WHEN sst > 0 THEN 1.0e0 - sse / sst ELSE 0.0e0 END, 4) AS r2 "
+            "FROM ls JOIN range(8) m(c) ON icept = ((c // 2) % 2 = 0)")
+    return W(*ctes).replace("WITH ", "WITH RECURSIVE ", 1) + body
+
+
+SQL["cv_pipeline"] = _cv_pipeline_sql()

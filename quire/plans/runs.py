@@ -22,7 +22,7 @@ from quire.operators.hashing import DEFAULT_WIDTH, hash_features
 from quire.operators.models import make_estimator
 from quire.operators.vectors import assemble
 from quire.plans.common import one_text
-from quire.session import durable
+from quire.session import durable, stored
 
 VECTORIZERS = ("tfidf", "count", "hash", "union")
 REGRESSORS_DEFAULT = ("mlp", "lr", "svr")
@@ -167,68 +167,104 @@ def _grid_inputs(tok_train: DataFrame, tok_eval: DataFrame, setting: dict):
     return rows.where("_part = 'fit'"), rows.where("_part = 'eval'"), width
 
 
-def _fit_score(regressor: str, params: dict, train_rows, eval_rows):
-    return make_estimator(regressor, **params).fit(train_rows).transform(eval_rows)
+def _dot(x: str, weights) -> F.Column:
+    """Intercept and weights times the array column ``x``."""
+    w = F.array(*[F.lit(float(v)) for v in weights[1:]])
+    return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(float(weights[0])), lambda a, b: a + b)
 
 
-def run_grid(spark: SparkSession, sf_dir: str, regressor: str, n_train: int = 4000,
+SCORE_COLUMNS = "candidate int, fold int, n long, mse double, r2 double"
+
+
+def _with_vector(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+    return rows.withColumn("features", array_to_vector("x"))
+
+
+def _tree_search(folded, model_settings: list[dict], regressor: str) -> list[dict]:
+    """Scores of every (vectorizer setting, model setting) and fold; features are
+    made once per vectorizer setting and fold, boosted settings share fits."""
+    from quire.operators import fold_search as FS
+    from quire.operators import search as S
+    out = []
+    for vi in range(len(folded.settings)):
+        for fold in range(folded.k):
+            rows = _with_vector(stored(FS.setting_rows(folded, vi, fold), "search-features"))
+            train, valid = rows.where((F.col("fold") != fold) & (F.col("fold") < folded.k)), rows.where(F.col("fold") == fold)
+            if regressor in S.BOOSTED:
+                scored = S.staged_scores(lambda **p: make_estimator(regressor, **p), model_settings, train, valid)
+            else:
+                scored = []
+                for mi, ms in enumerate(model_settings):
+                    r = regression_metrics(make_estimator(regressor, **ms).fit(train).transform(valid), digits=None).first()
+                    scored.append({"candidate": mi, "n": r["n"], "mse": r["mse"], "r2": r["r2"]})
+            out += [r | {"candidate": vi * len(model_settings) + r["candidate"], "fold": fold} for r in scored]
+    return out
+
+
+def run_grid(spark: SparkSession, sf_dir: str | None, regressor: str, n_train: int = 4000,
              n_test: int = 1000, k: int = 4, vect_grid: dict | None = None,
-             model_grid: dict | None = None):
+             model_grid: dict | None = None, tokens: DataFrame | None = None, width: int | None = None,
+             full_width: bool = False):
     """Set 3: (default metrics, best metrics, scores table, best parameters).
 
-    Two-level search (R6): features are fitted once per (vectorizer setting,
-    fold) and shared by every model setting; model axes without effect are
-    collapsed first (R7) and their scores copied back.
+    ``tokens`` are the caller's own tokenised papers (``paper_id``, ``rn``,
+    ``label``, the four texts, ``year``, ``n_citation``; see
+    ``quire.plans.common.tokenize_papers``); without them the papers view of
+    ``sf_dir`` is taken. Rows below ``n_train`` are searched in ``k`` contiguous
+    folds, the next ``n_test`` are tested.
+
+    The search sees each text block in ``width`` signed buckets (see
+    ``quire.operators.fold_search``): all vectorizer settings come from one
+    analysis and one count per fold; least squares is then solved from summed
+    products for every setting and fold, and boosted settings that differ in
+    their number of trees share a fit. The default and the best model are fitted
+    on the same blocks or, for ``lr`` with ``full_width``, on all columns.
     """
+    from quire.operators import fold_search as FS
     from quire.operators import search as S
-    from quire.operators.splits import contiguous_folds, positional_split
+    from quire.operators.splits import fold_of, positional_split
     from quire.plans.common import tokenized
     if regressor not in S.MODEL_GRIDS:
         raise ValueError(f"unknown regressor {regressor!r}; choose one of {sorted(S.MODEL_GRIDS)}")
     if regressor in ("mlp", "svr"):
-        raise ValueError(f"no grid search for {regressor!r}: its kernels and solvers are not built")
-    vect_grid = S.VECT_GRID if vect_grid is None else vect_grid
-    model_grid = S.MODEL_GRIDS[regressor] if model_grid is None else model_grid
-    tok = positional_split(tokenized(spark, sf_dir, rn=True), "rn", n_train, n_test)
-    train = tok.where("part = 'train'").withColumn("_part", F.lit("fit"))
-    test = tok.where("part = 'test'").withColumn("_part", F.lit("eval"))
-    n = train.count()
-
-    # default model
-    tr, te, width = _grid_inputs(train, test, {})
-    default_metrics = regression_metrics(_fit_score(regressor, {}, tr, te))
-
-    # search
-    vect_settings = S.param_grid(vect_grid)
-    model_settings, mapping = S.collapse(S.param_grid(model_grid), regressor)
-    folded = contiguous_folds(train, "rn", n, k)
-    score_parts = []
-    for vi, vs in enumerate(vect_settings):
-        for fold in range(k):
-            fit_part = folded.where(F.col("fold") != fold).drop("fold")
-            eval_part = folded.where(F.col("fold") == fold).drop("fold") \
-                .withColumn("_part", F.lit("eval"))
-            tr, te, width = _grid_inputs(fit_part, eval_part, vs)
-            preds = None
-            for mi, ms in enumerate(model_settings):
-                p = _fit_score(regressor, ms, tr, te).select(
-                    F.lit(vi * len(model_settings) + mi).alias("candidate"),
-                    F.lit(fold).alias("fold"), "label", "prediction")
-                preds = p if preds is None else preds.unionByName(p)
-            scored = S.fold_scores(preds).cache()
-            scored.count()
-            score_parts.append(scored)
-    scores = score_parts[0]
-    for s in score_parts[1:]:
-        scores = scores.unionByName(s)
+        raise ValueError(f"no grid search for {regressor!r}: Spark has no such learner")
+    vect_settings = S.param_grid(S.VECT_GRID if vect_grid is None else vect_grid)
+    model_settings, mapping = S.collapse(S.param_grid(S.MODEL_GRIDS[regressor] if model_grid is None else model_grid), regressor)
+    tok = positional_split(tokenized(spark, sf_dir, rn=True) if tokens is None else tokens, "rn", n_train, n_test)
+    n = tok.where("part = 'train'").count()
+    if n < k:
+        raise ValueError(f"cannot make {k} folds of {n} rows")
+    tok = tok.withColumn("fold", F.when(F.col("part") == "train", fold_of("rn", n, k)).otherwise(F.lit(k)))
+    # the default setting comes first, the grid's after it
+    folded = FS.fold_text(tok, [FS.DEFAULT, *vect_settings], k, width or FS.WIDTH)
+    m = len(model_settings)
+    if regressor == "lr":
+        intercepts = [s.get("fit_intercept", True) for s in model_settings]
+        scored, weights = FS.least_squares_search(folded, intercepts)
+        scored = [r | {"candidate": r["candidate"] - m} for r in scored if r["fold"] < k and r["candidate"] >= m]
+    else:
+        searched = FS.FoldedText(folded.rows, folded.settings[1:], folded.kinds, folded.weightings, k, folded.width)
+        scored = _tree_search(searched, model_settings, regressor)
+    scores = spark.createDataFrame([(r["candidate"], r["fold"], r["n"], r["mse"], r["r2"]) for r in scored], SCORE_COLUMNS)
     best = S.best_candidate(S.mean_scores(scores)).first()
-    vi, mi = divmod(int(best["candidate"]), len(model_settings))
-    tr, te, width = _grid_inputs(train, test, vect_settings[vi])
-    best_metrics = regression_metrics(_fit_score(regressor, model_settings[mi], tr, te))
-    # candidate numbers of the full product: vectorizer-major, model-minor
-    full = []
-    for v in range(len(vect_settings)):
-        full += [v * len(model_settings) + m for m in mapping]
-    expanded = S.expand(scores, full)
+    vi, mi = divmod(int(best["candidate"]), m)
+
+    def test_metrics(setting: int, params: dict):
+        if regressor == "lr" and full_width:
+            train = tok.where("part = 'train'").withColumn("_part", F.lit("fit"))
+            test = tok.where("part = 'test'").withColumn("_part", F.lit("eval"))
+            tr, te, _ = _grid_inputs(train, test, folded.settings[setting])
+            return regression_metrics(make_estimator("lr", **params).fit(tr).transform(te))
+        rows = FS.setting_rows(folded, setting, k)
+        if regressor == "lr":
+            j = intercepts.index(params.get("fit_intercept", True)) if params.get("fit_intercept", True) in intercepts else 0
+            pred = rows.where(F.col("fold") == k).withColumn("prediction", _dot("x", weights[setting * m + j]))
+            return regression_metrics(pred)
+        rows = _with_vector(stored(rows, "search-features"))
+        model = make_estimator(regressor, **params).fit(rows.where(F.col("fold") < k))
+        return regression_metrics(model.transform(rows.where(F.col("fold") == k)))
     params = {**vect_settings[vi], **model_settings[mi]}
-    return default_metrics, best_metrics, expanded, params
+    # candidate numbers of the full product: vectorizer-major, model-minor
+    full = [v * m + i for v in range(len(vect_settings)) for i in mapping]
+    return test_metrics(0, {}), test_metrics(vi + 1, model_settings[mi]), S.expand(scores, full), params
