@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.analyzers import ENGLISH_STOP_WORDS, analyzer
+from quire.functions.analyzers import ENGLISH_STOP_WORDS, analyze, remove_stop_words, word_ngrams
 from quire.operators import least_squares as LS
 from quire.operators.hashing import signed_hash
 from quire.session import ship_package, stored
@@ -48,9 +48,9 @@ def _weighting(setting: dict) -> tuple:
 
 @dataclass
 class FoldedText:
-    """``rows``: (paper_id, fold, label, numbers, ``cells``), a row per paper;
-    ``cells`` is a bounded list of (block, bucket, sums), ``norms`` of (block, l1,
-    l2). Each array has a number per (weighting, held-out part)."""
+    """``rows``: (paper_id, fold, label, numbers, ``sums``, ``l1``, ``l2``), a row
+    per paper; ``sums`` has a number per (block, bucket, weighting, held-out
+    part), the norms per (block, weighting, held-out part)."""
     rows: DataFrame
     settings: list[dict]
     kinds: list[tuple]
@@ -66,18 +66,72 @@ class FoldedText:
         return len(TEXTS) - 1 + self.kinds.index(_kind(setting))
 
 
-def _blocks(kinds: list[tuple]):
-    """The texts that have one setting, then the searched text's analyses."""
-    fixed = [analyzer(c, (1, 1), None, False) for i, c in enumerate(TEXTS) if i != SEARCHED]
-    return fixed + [analyzer(TEXTS[SEARCHED], n, tuple(ENGLISH_STOP_WORDS) if stop else None, False) for n, stop in kinds]
+def _terms(tok: DataFrame, kinds: list[tuple]) -> DataFrame:
+    """(``paper_id``, ``fold``, ``block``, ``term``): the texts that have one
+    setting, then the searched text's analyses. Words are split once and
+    written; n-grams are made from the written words."""
+    searched = TEXTS[SEARCHED]
+    words = {f"w{i}": analyze(c, False) for i, c in enumerate(TEXTS)}
+    if any(stop for _, stop in kinds):
+        words["stopped"] = remove_stop_words(analyze(searched, False), ENGLISH_STOP_WORDS)
+    # Papers are dealt out by id once: counting a paper's terms needs no further
+    # shuffle of terms.
+    split = stored(tok.select("paper_id", "fold", *TEXTS).repartition("paper_id")
+                   .select("paper_id", "fold", *[w.alias(n) for n, w in words.items()]), "search-words")
+    blocks = [F.col(f"w{i}") for i in range(len(TEXTS)) if i != SEARCHED] + \
+        [word_ngrams(F.col("stopped" if stop else f"w{SEARCHED}"), *n) for n, stop in kinds]
+    return split.select("paper_id", "fold", F.posexplode(F.array(*blocks)).alias("block", "terms")) \
+        .select("paper_id", "fold", "block", F.explode("terms").alias("term"))
 
 
 def fold_frequencies(tf: DataFrame, k: int) -> DataFrame:
-    """(``block``, ``term``, ``dfs``): the papers of each fold that hold a term."""
+    """(``block``, ``term``, ``df0`` ...): the papers of each fold that hold a term."""
     return tf.where(F.col("fold") < k).groupBy("block", "term").agg(
         *[F.count_if(F.col("fold") == f).alias(f"df{f}") for f in range(k)])
 
 
+def _paper_sums(info: dict, weightings: list[tuple], rest: list[int]):
+    """A mapInArrow function over counted terms, sorted by paper: each paper's
+    sums and norms. A batch's last paper waits for the next batch."""
+    blocks, width, k, base = info["blocks"], info["width"], info["k"], info["base"]
+
+    def sums(t: dict):
+        papers, at = np.unique(t["paper_id"], return_inverse=True)
+        dfs = np.stack([t[f"df{f}"] for f in range(k)], axis=1).astype(float)
+        left = dfs.sum(axis=1, keepdims=True) - np.concatenate([dfs, np.zeros((len(dfs), 1))], axis=1)
+        n = np.array(rest, dtype=float)
+        with np.errstate(divide="ignore"):
+            idf = {True: np.log((n + 1) / (left + 1)) + 1, False: np.log(n / left) + 1}
+        row = at * blocks + t["block"]
+        cell = row * width + t["bucket"]
+        out = np.zeros((len(papers) * blocks * width, base))
+        l1, l2 = np.zeros((len(papers) * blocks, base)), np.zeros((len(papers) * blocks, base))
+        for j, (sublinear, smooth) in enumerate(weightings):
+            tf = np.log(t["tf"]) + 1 if sublinear else t["tf"].astype(float)
+            for h in range(k + 1):
+                v = tf * np.where(left[:, h] > 0, idf[smooth][:, h], 0.0)
+                c = j * (k + 1) + h
+                out[:, c] = np.bincount(cell, v * t["sign"], len(out))
+                l1[:, c] = np.bincount(row, v, len(l1))
+                l2[:, c] = np.sqrt(np.bincount(row, v * v, len(l2)))
+        cols = [pa.array(papers)] + [pa.array(list(x.reshape(len(papers), -1)), pa.list_(pa.float64())) for x in (out, l1, l2)]
+        return pa.RecordBatch.from_arrays(cols, ["paper_id", "sums", "l1", "l2"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
+            if held is not None:
+                t = {c: np.concatenate([held[c], t[c]]) for c in t}
+            cut = int(np.searchsorted(t["paper_id"], t["paper_id"][-1])) if len(t["paper_id"]) else 0
+            if cut:
+                yield sums({c: x[:cut] for c, x in t.items()})
+            held = {c: x[cut:] for c, x in t.items()}
+        if held is not None and len(held["paper_id"]):
+            yield sums(held)
+    return run
+
+
 def fold_text(tok: DataFrame, settings: list[dict], k: int = 4, width: int = WIDTH) -> FoldedText:
     """Analyse and count ``tok`` (paper_id, fold, label, texts, numbers) for all
     ``settings``; ``fold`` is 0 to k-1, or k for test rows."""
@@ -85,70 +139,47 @@ def fold_text(tok: DataFrame, settings: list[dict], k: int = 4, width: int = WID
     settings = [DEFAULT | s for s in settings]
     kinds = list(dict.fromkeys(_kind(s) for s in [DEFAULT, *settings]))
     weightings = list(dict.fromkeys(_weighting(s) for s in [DEFAULT, *settings]))
-    # Papers are dealt out by id once: counting a paper's terms, its norms and
-    # its row then need no further shuffle of terms.
-    terms = tok.repartition("paper_id").select("paper_id", "fold", F.posexplode(F.array(*_blocks(kinds))).alias("block", "terms"))
-    tf = stored(terms.select("paper_id", "fold", "block", F.explode("terms").alias("term"))
-                .groupBy("paper_id", "fold", "block", "term").agg(F.count(F.lit(1)).alias("tf")), "search-terms")
+    tf = stored(_terms(tok, kinds).groupBy("paper_id", "fold", "block", "term").agg(F.count(F.lit(1)).alias("tf")), "search-terms")
     sizes = {r["fold"]: r["n"] for r in tok.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_train = sum(n for f, n in sizes.items() if f < k)
-    known = stored(fold_frequencies(tf, k), "search-frequencies")
-    total = sum((F.col(f"df{f}") for f in range(k)), F.lit(0))
-    rest = [total - F.col(f"df{f}") for f in range(k)] + [total]
-    n_rest = [n_train - sizes.get(f, 0) for f in range(k)] + [n_train]
-
-    def idf(smooth: bool, h: int):
-        df, n = rest[h].cast("double"), F.lit(float(n_rest[h]))
-        return F.when(rest[h] > 0, (F.log((n + 1.0) / (df + 1.0)) if smooth else F.log(n / df)) + 1.0).otherwise(0.0)
-    smooths = list(dict.fromkeys(s for _, s in weightings))
     h = signed_hash("term")
-    known = known.select("block", "term", (F.abs(h) % F.lit(width)).cast("int").alias("bucket"),
-                         F.when(h >= 0, 1.0).otherwise(-1.0).alias("sign"),
-                         *[idf(s, p).alias(f"idf_{int(s)}_{p}") for s in smooths for p in range(k + 1)])
-    cells = tf.join(known, ["block", "term"])
-    value = {(w, p): (F.log(F.col("tf").cast("double")) + 1.0 if w[0] else F.col("tf").cast("double")) * F.col(f"idf_{int(w[1])}_{p}")
-             for w in weightings for p in range(k + 1)}
-    sums = cells.groupBy("paper_id", "block", "bucket").agg(
-        *[f(v).alias(f"{name}{i}") for name, f in (("s", lambda v: F.sum(v * F.col("sign"))), ("a", F.sum), ("q", lambda v: F.sum(v * v)))
-          for i, v in enumerate(value.values())])
-
-    def arrays(name):
-        return F.array(*[F.col(f"{name}{i}") for i in range(len(value))])
-    # At most blocks x width entries a paper.
-    packed = sums.groupBy("paper_id").agg(F.collect_list(F.struct(
-        "block", "bucket", arrays("s").alias("s"), arrays("a").alias("a"), arrays("q").alias("q"))).alias("cells"))
+    known = stored(fold_frequencies(tf, k).select(
+        "*", (F.abs(h) % F.lit(width)).cast("int").alias("bucket"), F.when(h >= 0, 1.0).otherwise(-1.0).alias("sign")),
+        "search-frequencies")
+    # Terms that no train paper holds have no weight in any part.
+    cells = tf.drop("fold").join(known, ["block", "term"]).drop("term").repartition("paper_id").sortWithinPartitions("paper_id")
+    folded = FoldedText(tok, settings, kinds, weightings, k, width)
+    info, _ = _plain(folded)
+    run = _paper_sums(info, weightings, [n_train - sizes.get(f, 0) for f in range(k)] + [n_train])
+    kind = tok.schema["paper_id"].dataType.simpleString()
+    packed = cells.mapInArrow(run, f"paper_id {kind}, sums array<double>, l1 array<double>, l2 array<double>")
     rows = tok.select("paper_id", "fold", F.col("label").cast("double").alias("label"),
                       F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in NUMBERS]).alias("numbers"))
-    return FoldedText(stored(rows.join(packed, "paper_id", "left"), "search-rows"), settings, kinds, weightings, k, width)
+    folded.rows = stored(rows.join(packed, "paper_id", "left"), "search-rows")
+    return folded
 
 
 class _Batch:
     """The rows of a record batch as arrays: sums (paper, block, bucket, base
     weight) and norms (paper, block, base weight)."""
 
-    def __init__(self, batch: pa.RecordBatch, folded: dict):
-        n, blocks, width, base = batch.num_rows, folded["blocks"], folded["width"], folded["base"]
-        lists = batch.column("cells").fill_null([]) if batch.column("cells").null_count else batch.column("cells")
-        flat = lists.flatten()
-        owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-        block, bucket = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("block", "bucket"))
-
-        def values(name):
-            return flat.field(name).flatten().to_numpy().reshape(-1, base)
-        self.sums = np.zeros((n, blocks, width, base))
-        self.l1, self.l2 = np.zeros((n, blocks, base)), np.zeros((n, blocks, base))
-        if len(owner):
-            self.sums[owner, block, bucket] = values("s")
-            np.add.at(self.l1, (owner, block), values("a"))
-            np.add.at(self.l2, (owner, block), values("q"))
-        self.l2 = np.sqrt(self.l2)
+    def __init__(self, batch: pa.RecordBatch, info: dict):
+        n, shape = batch.num_rows, (info["blocks"], info["width"], info["base"])
+
+        def full(name, *shape):
+            column = batch.column(name)
+            out = np.zeros((n, *shape))  # papers without a known term have no sums
+            out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy().reshape(-1, *shape)
+            return out
+        self.sums = full("sums", *shape)
+        self.l1, self.l2 = full("l1", shape[0], shape[2]), full("l2", shape[0], shape[2])
         self.numbers = batch.column("numbers").flatten().to_numpy().reshape(n, -1)
         self.label = batch.column("label").to_numpy()
         self.fold = batch.column("fold").to_numpy()
-        self.folded = folded
+        self.info = info
 
     def text(self, block: int, weighting: int, held: int, norm) -> np.ndarray:
-        at = weighting * (self.folded["k"] + 1) + held
+        at = weighting * (self.info["k"] + 1) + held
         x = self.sums[:, block, :, at]
         if norm is None:
             return x
@@ -159,7 +190,7 @@ class _Batch:
         block, weighting, norm = setting
         fixed = iter(range(len(TEXTS) - 1))
         parts = [self.text(block, weighting, held, norm) if i == SEARCHED
-                 else self.text(next(fixed), self.folded["plain"], held, "l2") for i in range(len(TEXTS))]
+                 else self.text(next(fixed), self.info["plain"], held, "l2") for i in range(len(TEXTS))]
         return np.concatenate([*parts, self.numbers], axis=1)
 
 

@@ -4,11 +4,14 @@ of the papers, and the networks' prediction path with given weights."""
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
 
 from quire.operators import embeddings as EM
 from quire.operators import sequences as SQ
 from quire.operators import sgd
 from quire.operators import models as MD
+from quire.operators.search import staged_scores
+from quire.operators.splits import fold_of
 from quire.operators.vectors import assemble
 from quire.plans.common import one_text, papers, round4
 from quire.plans.runs import fit_predict, run_default, run_grid, text_features
@@ -55,6 +58,21 @@ def q_gbt_eta_fit(spark, sf):
     return _numeric_predictions(spark, sf, MD.boosted_trees(n_estimators=3, eta=0.3, max_depth=1))
 
 
+def q_gb_staged_cv(spark, sf):
+    """G2 over the number of boosted trees on year and citations: one fit a fold
+    scores all of them."""
+    rows = papers(spark, sf, split=True, rn=True, labels=True).where("split = 'train'")
+    rows = rows.withColumn("fold", fold_of("rn", rows.count(), 4)).select("fold", "label", "year", "n_citation")
+    rows = durable(VectorAssembler(inputCols=["year", "n_citation"], outputCol="features").transform(rows))
+    settings = [{"n_estimators": n, "max_depth": 1} for n in (1, 2, 3)]
+    scored = []
+    for fold in range(4):
+        one = staged_scores(lambda **p: MD.gradient_boosting(**p).setMaxBins(MAX_BINS), settings,
+                            rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold))
+        scored += [(r["candidate"], fold, r["r2"]) for r in one]
+    return spark.createDataFrame(scored, "candidate int, fold int, r2 double").select("candidate", "fold", round4("r2").alias("r2"))
+
+
 def _seq_rows(spark, sf):
     docs = one_text(spark, sf)
     wi = SQ.fit_word_index(docs, "paper_id", "text", order_col="paper_id")
@@ -87,6 +105,7 @@ def q_ncnn_score(spark, sf):
 QUERIES = {
     "ncnn_score": q_ncnn_score,
     "cv_pipeline": q_cv_pipeline,
+    "gb_staged_cv": q_gb_staged_cv,
     "lr_tfidf": q_lr_tfidf,
     "pipeline_predict": q_pipeline_predict,
     "rf_fit": q_rf_fit,
