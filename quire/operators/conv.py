@@ -3,15 +3,13 @@
 Filters of width k (1, 2, 3; 20 each by default), stride 1, ReLU, then the
 maximum over all window positions of a padded sequence of length ``maxlen``.
 
-Rewrite: a window's pre-activation is ``b_f + sum_j vec(word at t+j) . W[k,f,j]``.
+A window's sum before the activation is ``b_f + sum_j vec(word at t+j) . W[k,f,j]``.
 The dot product depends only on (word, k, f, j), so it is computed once per
-vocabulary word that has a vector (a numpy matrix product inside
-``mapInPandas`` over the partitioned vocabulary), not once per occurrence.
-Per document, a window sum is then ``lead()`` over token positions, and the
-pooling is a per-document ``max`` -- no per-position vectors are ever
-materialised. Padding positions contribute zeros: windows that reach past
-the text are kept (their padding part adds 0), and when the text is shorter
-than ``maxlen - k + 1`` the pure-padding windows add the candidate 0.
+vocabulary word that has a vector (a numpy matrix product inside ``mapInPandas``
+over the partitioned vocabulary). Only the places of words that have a vector
+meet these projections; in a document each such word scatters its parts to the
+windows it stands in, and the best window is kept. A window without such a word
+sums to 0, as padding does.
 """
 
 from __future__ import annotations
@@ -20,10 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.operators.hot_join import hot_join
+from quire.session import ship_package, stored
+
 BRANCHES = (1, 2, 3)
 N_FILTERS = 20
 
@@ -68,7 +70,7 @@ def rule_filters(dim: int, n_filters: int = N_FILTERS, branches=BRANCHES) -> Con
 
 
 def slot_projections(matrix: DataFrame, filters: ConvFilters) -> DataFrame:
-    """(idx, proj array<double>): each known word's dot products with every
+    """(idx, cnt, proj array<double>): each known word's dot products with every
     filter slot. Rows without a vector are left out (they project to 0)."""
     wmat = filters.slot_matrix()
 
@@ -78,53 +80,54 @@ def slot_projections(matrix: DataFrame, filters: ConvFilters) -> DataFrame:
                 continue
             vecs = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
             proj = vecs @ wmat
-            yield pd.DataFrame({"idx": pdf["idx"].to_numpy(), "proj": list(proj)})
+            yield pd.DataFrame({"idx": pdf["idx"].to_numpy(), "cnt": pdf["cnt"].to_numpy(), "proj": list(proj)})
 
-    known = matrix.where("known").select("idx", "vec")
-    schema = T.StructType([T.StructField("idx", T.LongType()),
+    known = matrix.where("known").select("idx", "cnt", "vec")
+    schema = T.StructType([T.StructField("idx", T.LongType()), T.StructField("cnt", T.LongType()),
                            T.StructField("proj", T.ArrayType(T.DoubleType()))])
-    return known.mapInPandas(project, schema)
+    return stored(known.mapInPandas(project, schema), "word-projections")
 
 
 def conv_pool(seqs: DataFrame, proj: DataFrame, filters: ConvFilters, id_col: str,
-              maxlen: int = 400, seq_col: str = "seq") -> DataFrame:
-    """(id, width, filter, value) for every document of ``seqs``.
+              maxlen: int = 400, seq_col: str = "seq", frequency: str = "cnt") -> DataFrame:
+    """(id, ``pooled``) for every document of ``seqs``: an array with a
+    value per width and filter, widths first.
 
     ``seqs`` holds the kept (truncated, unpadded) index sequences, length
-    <= ``maxlen``.
+    <= ``maxlen``; ``proj`` has (idx, proj) and the words' ``frequency``.
     """
-    nf, ns = filters.n_filters, filters.n_slots
-    zero = F.array_repeat(F.lit(0.0), ns)
-    toks = (seqs.select(F.col(id_col), F.size(seq_col).alias("n"),
-                        F.posexplode(seq_col).alias("pos", "idx"))
-            .join(proj, "idx", "left")
-            .withColumn("proj", F.coalesce("proj", zero)))
-    w = Window.partitionBy(id_col).orderBy("pos")
-    kmax = max(filters.branches)
-    for j in range(1, kmax):
-        toks = toks.withColumn(f"_l{j}", F.coalesce(F.lead("proj", j).over(w), zero))
-    sums = []
-    for k in filters.branches:
-        for f in range(nf):
-            terms = [F.col("proj")[filters.slot(k, 0, f)]]
-            terms += [F.col(f"_l{j}")[filters.slot(k, j, f)] for j in range(1, k)]
-            s = terms[0]
-            for t in terms[1:]:
-                s = s + t
-            # a window must end inside the padded length
-            sums.append(F.when(F.col("pos") <= maxlen - k, s).alias(f"s_{k}_{f}"))
-    per_pos = toks.select(id_col, *sums)
-    pooled = per_pos.groupBy(id_col).agg(
-        *[F.max(f"s_{k}_{f}").alias(f"m_{k}_{f}") for k in filters.branches for f in range(nf)])
-    base = seqs.select(F.col(id_col), F.size(seq_col).alias("n"))
-    joined = base.join(pooled, id_col, "left")
-    cells = []
-    for k in filters.branches:
-        for f in range(nf):
-            pad = F.when(F.col("n") <= maxlen - k, F.lit(0.0))
-            best = F.greatest(F.col(f"m_{k}_{f}"), pad)  # greatest skips nulls
-            val = F.greatest(best + F.lit(float(filters.b[k][f])), F.lit(0.0))
-            cells.append(F.struct(F.lit(k).alias("width"), F.lit(f).alias("filter"),
-                                  val.alias("value")))
-    return (joined.select(id_col, F.explode(F.array(*cells)).alias("c"))
-            .select(id_col, "c.width", "c.filter", "c.value"))
+    ship_package(seqs.sparkSession)
+    widths, nf = filters.branches, filters.n_filters
+    slots = {(k, j): filters.slot(k, j, 0) for k in widths for j in range(k)}
+    bias = np.concatenate([filters.b[k] for k in widths])
+
+    def pool(table: pa.Table) -> pa.Table:
+        # one document's known words, at most ``maxlen``
+        pos = table.column("pos").to_numpy()
+        p = table.column("proj").combine_chunks().flatten().to_numpy().reshape(len(pos), -1)
+        best = []
+        for k in widths:
+            sums, reached = np.zeros((maxlen, nf)), np.zeros(maxlen, bool)
+            for j in range(k):  # a word adds to the windows that begin j places before it
+                start = pos - j
+                fits = (start >= 0) & (start <= maxlen - k)
+                sums[start[fits]] += p[fits, slots[k, j]:slots[k, j] + nf]
+                reached[start[fits]] = True
+            top = sums[reached].max(axis=0) if reached.any() else np.zeros(nf)
+            best.append(top if reached.sum() == maxlen - k + 1 else np.maximum(top, 0.0))
+        values = np.maximum(np.concatenate(best) + bias, 0.0)
+        return pa.table({id_col: table.column(id_col)[:1], "pooled": pa.array([values], pa.list_(pa.float64()))})
+    places = seqs.select(F.col(id_col), F.posexplode(seq_col).alias("pos", "idx"))
+    known = hot_join(places, proj.select("idx", "proj", frequency), "idx", frequency, 8 * filters.n_slots + 64, id_col)
+    kind = seqs.schema[id_col].dataType.simpleString()
+    pooled = known.select(id_col, "pos", "proj").groupBy(id_col).applyInArrow(pool, f"{id_col} {kind}, pooled array<double>")
+    none = F.array(*[F.lit(float(max(x, 0.0))) for x in bias])
+    return seqs.select(id_col).join(pooled, id_col, "left").select(id_col, F.coalesce("pooled", none).alias("pooled"))
+
+
+def pooled_cells(pooled: DataFrame, filters: ConvFilters, id_col: str) -> DataFrame:
+    """(id, ``width``, ``filter``, ``value``) from the pooled arrays."""
+    at = F.posexplode("pooled").alias("_at", "value")
+    return pooled.select(id_col, at).select(
+        id_col, F.element_at(F.array(*[F.lit(k) for k in filters.branches]), (F.col("_at") / filters.n_filters).cast("int") + 1).alias("width"),
+        (F.col("_at") % filters.n_filters).cast("int").alias("filter"), "value")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.hot_join import hot_join
+
 
 def zeros(dim: int) -> F.Column:
     return F.array_repeat(F.lit(0.0).cast("float"), dim)
@@ -27,10 +29,10 @@ def vectors_from_table(embeddings: DataFrame, word_index: DataFrame) -> DataFram
 
 
 def embedding_matrix(word_index: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """(idx, term, known, vec) for every indexed word."""
+    """(idx, term, cnt, known, vec) for every indexed word."""
     v = vectors.select(F.col("word").alias("term"), F.col("vec").alias("_v"))
-    return (word_index.select("term", "idx").join(v, "term", "left")
-            .select("idx", "term", F.col("_v").isNotNull().alias("known"),
+    return (word_index.select("term", "idx", "cnt").join(v, "term", "left")
+            .select("idx", "term", "cnt", F.col("_v").isNotNull().alias("known"),
                     F.coalesce(F.col("_v"), zeros(dim)).alias("vec")))
 
 
@@ -45,21 +47,24 @@ def coverage(word_index: DataFrame, vectors: DataFrame) -> DataFrame:
                     F.round(F.col("covered") / F.col("vocab_size"), 4).alias("coverage")))
 
 
-def embed_positions(seqs: DataFrame, matrix: DataFrame, id_col: str,
-                    seq_col: str = "seq") -> DataFrame:
-    """(id, pos, idx, vec) for each position of a padded sequence; index 0 and
-    unknown words get zeros."""
-    pos = seqs.select(F.col(id_col), F.posexplode(seq_col).alias("pos", "idx"))
-    dim_probe = matrix.select("idx", "vec")
-    return (pos.join(dim_probe, "idx", "left")
-            .select(id_col, "pos", "idx", "vec"))
+def embed_positions(seqs: DataFrame, matrix: DataFrame, id_col: str, dim: int, seq_col: str = "seq") -> DataFrame:
+    """(id, pos, vec) for each position whose word has a vector. Padding and
+    unknown words, which are zeros, never enter the join; frequent words are met
+    by a broadcast of bounded size."""
+    pos = seqs.select(F.col(id_col), F.posexplode(seq_col).alias("pos", "idx")).where("idx > 0")
+    return hot_join(pos, matrix.where("known").select("idx", "vec", "cnt"), "idx", "cnt", 4 * dim + 64, id_col).drop("idx", "cnt")
 
 
-def embed_flatten(seqs: DataFrame, matrix: DataFrame, id_col: str, dim: int,
+def embed_flatten(seqs: DataFrame, matrix: DataFrame, id_col: str, dim: int, maxlen: int = 400,
                   seq_col: str = "seq") -> DataFrame:
-    """(id, flat array<float>) = the padded row embedded and flattened."""
-    pos = embed_positions(seqs, matrix, id_col, seq_col)
-    pos = pos.withColumn("vec", F.coalesce("vec", zeros(dim)))
-    return (pos.groupBy(id_col)
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("_s"))
-            .select(id_col, F.flatten(F.transform("_s", lambda x: x["vec"])).alias("flat")))
+    """(id, flat array<float>) = the padded row of ``maxlen`` words embedded
+    and flattened. Zeros are put in after a document's vectors are together: the
+    gap before each, then the tail."""
+    known = embed_positions(seqs, matrix, id_col, dim, seq_col).groupBy(id_col).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("_k"))
+    flat = F.expr(f"""concat(
+        flatten(transform(_k, (x, i) -> concat(
+            array_repeat(CAST(0 AS FLOAT), (x.pos - if(i > 0, get(_k, i - 1).pos, -1) - 1) * {dim}), x.vec))),
+        array_repeat(CAST(0 AS FLOAT), ({maxlen} - 1 - element_at(_k, -1).pos) * {dim}))""")
+    none = F.array_repeat(F.lit(0.0).cast("float"), maxlen * dim)
+    return seqs.select(id_col).join(known, id_col, "left").select(id_col, F.when(F.col("_k").isNull(), none).otherwise(flat).alias("flat"))

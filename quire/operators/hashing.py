@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.tfidf import TFIDF, VectorizerParams, normalize, term_frequencies
+from quire.operators.tfidf import normalize
 
 DEFAULT_WIDTH = 1 << 20
 
@@ -37,9 +37,3 @@ def hash_features(tf: DataFrame, id_col: str, width: int = DEFAULT_WIDTH,
     summed = (signed.groupBy(id_col, "idx").agg(F.sum("v").alias("value"))
               .where(F.col("value") != 0.0))
     return normalize(summed, id_col, "value", norm)
-
-
-def hash_vectorize(df: DataFrame, id_col: str, text_col: str, width: int = DEFAULT_WIDTH,
-                   params: VectorizerParams = TFIDF) -> DataFrame:
-    return hash_features(term_frequencies(df, id_col, text_col, params), id_col, width,
-                         params.norm)

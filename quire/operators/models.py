@@ -10,6 +10,8 @@ Mapping notes (the silent differences between the libraries):
   rate 0.1;
 * ``copy_X``, ``normalize``, ``shrinking``, ``oob_score`` do not change the
   fitted predictions here; they are accepted and ignored;
+* boosted trees: Spark does not shrink the first tree (its weight is 1, later
+  ones have the learning rate), and starts from 0 instead of the mean;
 * the eta/gamma boosted-tree model maps to ``GBTRegressor(stepSize=eta,
   minInfoGain=gamma)``, a first-order approximation of a second-order method.
 """
@@ -60,7 +62,7 @@ def boosted_trees(n_estimators: int = 100, eta: float = 0.3, gamma: float = 0.0,
 
 
 def make_estimator(name: str, **params):
-    """Estimator by the workload's short name (mlp and svr live in sgd)."""
+    """Estimator by the workload's short name; mlp and svr have none."""
     if name == "lr":
         return linear_regression(**params)
     if name == "rf":
@@ -69,9 +71,6 @@ def make_estimator(name: str, **params):
         return gradient_boosting(**params)
     if name == "xgb":
         return boosted_trees(**params)
-    if name in ("mlp", "svr"):
-        from quire.operators import sgd
-        return sgd.make_sgd_estimator(name, **params)
     raise ValueError(f"unknown regressor {name!r}")
 
 

@@ -37,8 +37,3 @@ def contiguous_folds(df: DataFrame, rn_col: str, n: int, k: int = 4,
     if n < k:
         raise ValueError(f"cannot make {k} folds of {n} rows")
     return df.withColumn("fold", fold_of(F.col(rn_col) - F.lit(first_rn), n, k))
-
-
-def split_counts(df: DataFrame, split_col: str = "split") -> DataFrame:
-    """Rows per split."""
-    return df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n"))

@@ -1,24 +1,19 @@
 """Long form (id, idx, value) -> Spark ML sparse vectors.
 
-Grouping is by document id, so a group is bounded by one document's
-distinct features. The only Python is a tiny Arrow-batched helper that
-wraps each document's (sorted indices, values) arrays as a ``SparseVector``;
-everything that produces those arrays is JVM-side.
+Grouping is by document id, so a group is bounded by one document's distinct
+features. A sparse vector is stored as the struct (type, size, indices, values);
+rows are written with that struct and read back as vectors, so that no Python
+touches them, and the written rows are what models are fitted on.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
-def _sparse_udf(size: int):
-    def make(idx, val):
-        if idx is None:
-            return SparseVector(size, [], [])
-        return SparseVector(size, list(idx), list(val))
-    return F.udf(make, VectorUDT(), useArrow=True)
+from quire.session import scratch_path
 
 
 def assemble(rows: DataFrame, features: DataFrame, size: int, id_col: str,
@@ -31,27 +26,10 @@ def assemble(rows: DataFrame, features: DataFrame, size: int, id_col: str,
                                                        F.col("value").alias("v"))))
                   .alias("_c")))
     joined = rows.join(cells, id_col, "left")
-    vec = _sparse_udf(size)(F.col("_c.i"), F.col("_c.v"))
-    return joined.withColumn(out_col, vec).drop("_c")
-
-
-def hash_project(features: DataFrame, width: int, id_col: str, salt: int = 0) -> DataFrame:
-    """Sum a wide block into ``width`` buckets (for learners whose cost grows
-    with the dense feature count, e.g. tree ensembles)."""
-    return (features.select(id_col, F.pmod(F.xxhash64(F.col("idx"), F.lit(salt)), F.lit(width))
-                            .alias("idx"), "value")
-            .groupBy(id_col, "idx").agg(F.sum("value").alias("value")))
-
-
-def sparse_arrays(rows: DataFrame, features: DataFrame, id_col: str) -> DataFrame:
-    """Add ``fi`` (array<int>) and ``fv`` (array<double>): a row's features as
-    sorted index/value arrays (the array form the numpy learners read)."""
-    cells = (features.where(F.col("idx").isNotNull())
-             .groupBy(id_col)
-             .agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("i"),
-                                                       F.col("value").alias("v"))))
-                  .alias("_c")))
-    return (rows.join(cells, id_col, "left")
-            .withColumn("fi", F.coalesce(F.col("_c.i"), F.array().cast("array<int>")))
-            .withColumn("fv", F.coalesce(F.col("_c.v"), F.array().cast("array<double>")))
-            .drop("_c"))
+    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"),
+                      F.coalesce(F.col("_c.i"), F.array().cast("array<int>")).alias("indices"),
+                      F.coalesce(F.col("_c.v"), F.array().cast("array<double>")).alias("values"))
+    path = scratch_path(rows.sparkSession, "vectors")
+    joined.withColumn(out_col, sparse).drop("_c").write.parquet(path)
+    schema = T.StructType([*[f for f in joined.schema if f.name != "_c"], T.StructField(out_col, VectorUDT())])
+    return rows.sparkSession.read.schema(schema).parquet(path)

@@ -18,13 +18,24 @@ def papers(spark: SparkSession, sf_dir: str, rn: bool = False, split: bool = Fal
     return papers_from_tables(spark, sf_dir, with_rn=rn, with_split=split, with_labels=labels)
 
 
-def tokenized(spark: SparkSession, sf_dir: str, rn: bool = False, split: bool = True) -> DataFrame:
-    """Title and abstract through the core tokenizer, keywords summarised."""
-    p = papers(spark, sf_dir, rn=rn, split=split, labels=True)
+def tokenize_papers(p: DataFrame) -> DataFrame:
+    """Title and abstract of papers through the core tokenizer, keywords
+    summarised; ids, split, label and numbers are kept."""
     keep = [c for c in ("paper_id", "rn", "split", "label", "venue", "year", "n_citation") if c in p.columns]
-    out = p.select(*keep, keyword_string("keywords").alias("kw"),
-                   core_tokenize("title").alias("title_t"),
-                   core_tokenize("abstract").alias("abstract_t"))
+    return p.select(*keep, keyword_string("keywords").alias("kw"),
+                    core_tokenize("title").alias("title_t"),
+                    core_tokenize("abstract").alias("abstract_t"))
+
+
+def one_text_of(t: DataFrame) -> DataFrame:
+    """Keywords + title + abstract of tokenised papers as one text column."""
+    keep = [c for c in ("paper_id", "rn", "split", "label") if c in t.columns]
+    return t.select(*keep, concat_text("kw", "title_t", "abstract_t").alias("text"))
+
+
+def tokenized(spark: SparkSession, sf_dir: str, rn: bool = False, split: bool = True) -> DataFrame:
+    """The papers view, tokenised."""
+    out = tokenize_papers(papers(spark, sf_dir, rn=rn, split=split, labels=True))
     # The regex chain is the costliest step; where several passes follow (those
     # that split) its output is written once, as Parquet, so that they read the
     # tokens they need and not raw text.
@@ -32,10 +43,8 @@ def tokenized(spark: SparkSession, sf_dir: str, rn: bool = False, split: bool =
 
 
 def one_text(spark: SparkSession, sf_dir: str, rn: bool = False, split: bool = True) -> DataFrame:
-    """Keywords + title + abstract as one text column."""
-    t = tokenized(spark, sf_dir, rn=rn, split=split)
-    keep = [c for c in ("paper_id", "rn", "split", "label") if c in t.columns]
-    return t.select(*keep, concat_text("kw", "title_t", "abstract_t").alias("text"))
+    """The papers view as one text column."""
+    return one_text_of(tokenized(spark, sf_dir, rn=rn, split=split))
 
 
 def round4(c) -> F.Column:

@@ -1,15 +1,14 @@
 """Registered fits: set-1 runs, tree ensembles on the complete numeric columns
-of the papers, and the networks' prediction path with given weights."""
+of the papers, the grid search, and the perceptron with given weights."""
 
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from quire.operators import embeddings as EM
-from quire.operators import sequences as SQ
-from quire.operators import sgd
 from quire.operators import models as MD
+from quire.operators import scoring as SC
+from quire.operators import tfidf as TF
 from quire.operators.search import staged_scores
 from quire.operators.splits import fold_of
 from quire.operators.vectors import assemble
@@ -20,8 +19,6 @@ from quire.sources.papers import load_table
 
 #: Above the number of distinct years and citation counts, so that no column is binned.
 MAX_BINS = 128
-MAXLEN = 400
-DIM = 64
 
 
 def q_lr_tfidf(spark, sf):
@@ -73,18 +70,6 @@ def q_gb_staged_cv(spark, sf):
     return spark.createDataFrame(scored, "candidate int, fold int, r2 double").select("candidate", "fold", round4("r2").alias("r2"))
 
 
-def _seq_rows(spark, sf):
-    docs = one_text(spark, sf)
-    wi = SQ.fit_word_index(docs, "paper_id", "text", order_col="paper_id")
-    seqs = SQ.texts_to_sequences(docs, wi, "paper_id", "text")
-    rows = durable(docs.select("paper_id", "split", "label")
-                   .join(seqs.select("paper_id", SQ.pad_sequences("seq", MAXLEN).alias("seq")),
-                         "paper_id"))
-    vectors = EM.vectors_from_table(load_table(spark, sf, "embeddings"), wi)
-    matrix = EM.embedding_matrix(wi, vectors, DIM)
-    return rows, sgd.broadcast_matrix(spark, matrix, DIM)
-
-
 def q_cv_pipeline(spark, sf):
     """G2 around the whole set-3 pipeline (per-column TF-IDF + least squares), all
     576 candidates: scores per candidate and fold, train/test as in the papers view."""
@@ -94,16 +79,21 @@ def q_cv_pipeline(spark, sf):
     return scores.select("candidate", "fold", round4("r2").alias("r2"))
 
 
-def q_ncnn_score(spark, sf):
-    """M8 + M12 with given weights: the network's prediction path."""
-    rows, ctx = _seq_rows(spark, sf)
-    spec = sgd.ConvNetSpec(MAXLEN, DIM)
-    pred = sgd.predict(rows, spec, sgd.rule_conv_params(spec), ctx)
-    return pred.select("paper_id", round4("prediction").alias("prediction"))
+def q_mlp_score(spark, sf):
+    """M3 + M12 with given weights: TF-IDF (fitted on train) of every paper, 100
+    units, one output; the weights are a table by vocabulary index."""
+    docs = one_text(spark, sf)
+    train = docs.where("split = 'train'")
+    vocab = TF.fit_vocabulary(TF.term_frequencies(train, "paper_id", "text"), train.count())
+    features = TF.transform(TF.term_frequencies(docs, "paper_id", "text"), vocab, "paper_id")
+    weights = vocab.table.select("idx", "df", SC.rule_array(SC.HIDDEN, "(((7 * idx + 3 * u) % 13) - 6) / 50.0D").alias("w"))
+    h = SC.sparse_layer(features, weights, docs, "paper_id", SC.rule_array(SC.HIDDEN, SC.HIDDEN_BIAS), SC.HIDDEN)
+    out = SC.output_unit("h", SC.rule_array(SC.HIDDEN, SC.OUTPUT), SC.OUTPUT_BIAS)
+    return h.select("paper_id", round4(out).alias("prediction"))
 
 
 QUERIES = {
-    "ncnn_score": q_ncnn_score,
+    "mlp_score": q_mlp_score,
     "cv_pipeline": q_cv_pipeline,
     "gb_staged_cv": q_gb_staged_cv,
     "lr_tfidf": q_lr_tfidf,

@@ -15,18 +15,23 @@ from pyspark.sql import functions as F
 from quire.functions import analyzers as AZ
 from quire.functions.metrics import regression_metrics
 from quire.operators import search as S
+from quire.operators.least_squares import cross_validate_least_squares
 from quire.operators.models import linear_regression
 from quire.operators.splits import fold_of
 from quire.plans.common import one_text, round4
 from quire.session import durable
+from quire.sources.papers import paper_numbers
 
 LR_SETTINGS = [{"fit_intercept": True}, {"fit_intercept": False}]
 
 
 def one_feature(spark: SparkSession, sf: str) -> DataFrame:
-    d = one_text(spark, sf, rn=True)
+    d = one_text(spark, sf, split=False)
     x = F.size(AZ.analyze("text")).cast("double")
-    rows = d.select("paper_id", "rn", "split", "label", x.alias("x"))
+    numbers, n_train = paper_numbers(spark, sf)
+    # Texts stay where they are: only (id, x, label) meets the row numbers.
+    rows = d.select("paper_id", "label", x.alias("x")).join(numbers, "paper_id") \
+        .withColumn("split", F.when(F.col("rn") < n_train, "train").otherwise("test"))
     # small (one number a paper) and re-read by every fold and candidate
     return durable(VectorAssembler(inputCols=["x"], outputCol="features").transform(rows))
 
@@ -56,11 +61,13 @@ def q_regression_metrics(spark, sf):
 
 
 def _cv(spark, sf):
+    """Every intercept setting on every fold, from one aggregate of the folds."""
     data = one_feature(spark, sf)
     train = data.where("split = 'train'")
-    n = train.count()
-    folded = train.withColumn("fold", fold_of("rn", n, 4))
-    return S.cross_validate(linear_regression, LR_SETTINGS, folded, 4), data
+    folded = train.withColumn("fold", fold_of("rn", train.count(), 4))
+    scored = cross_validate_least_squares(folded, ["x"], [s["fit_intercept"] for s in LR_SETTINGS])
+    return spark.createDataFrame([(r["candidate"], r["fold"], r["r2"]) for r in scored],
+                                 "candidate int, fold int, r2 double"), data
 
 
 def q_cv_scores(spark, sf):

@@ -370,6 +370,26 @@ def _ncnn_score_sql() -> str:
 
 SQL["ncnn_score"] = _ncnn_score_sql()
 
+_HIDDEN = "CAST((u.u % 7) - 3 AS DOUBLE) / 10.0e0"
+_OUTPUT = "round(sum(h * CAST(((5 * u) % 11) - 5 AS DOUBLE) / 20.0e0) + 0.5e0, 4) AS prediction"
+SQL["mlp_score"] = W(TOK, *terms_ctes(TFIDF), *vocab_ctes(TFIDF), *weight_ctes(TFIDF, where="paper_id IS NOT NULL"),
+                     "hs AS (SELECT w.paper_id, u.u, sum(w.value * (CAST(((7 * w.idx + 3 * u.u) % 13) - 6 AS DOUBLE) / 50.0e0)) "
+                     "AS s FROM w, range(0, 100) u(u) GROUP BY ALL)",
+                     f"hu AS (SELECT t.paper_id, u.u, greatest(coalesce(hs.s, 0.0e0) + {_HIDDEN}, 0.0e0) AS h FROM txt t "
+                     "CROSS JOIN range(0, 100) u(u) LEFT JOIN hs ON hs.paper_id = t.paper_id AND hs.u = u.u)") + \
+    f"SELECT paper_id, {_OUTPUT} FROM hu GROUP BY paper_id"
+SQL["dense_score"] = W(
+    *SEQ, "wm AS (SELECT p.pos, u.u, list(CAST((3 * (p.pos * 64 + d.d) + 7 * u.u) % 13 - 6 AS DOUBLE) / 500.0e0 ORDER BY d.d) AS w "
+    "FROM range(0, 400) p(pos), range(0, 100) u(u), range(0, 64) d(d) GROUP BY ALL)",
+    "tk AS (SELECT paper_id, unnest(seq) AS idx, unnest(range(0, len(seq))) AS pos FROM kept)",
+    "tv AS (SELECT idx, pos, count(*) AS n FROM tk JOIN vw USING (idx) GROUP BY idx, pos)",
+    "tp AS (SELECT tv.idx, tv.pos, wm.u, list_dot_product(vw.vec, wm.w) AS s FROM tv JOIN vw USING (idx) JOIN wm USING (pos))",
+    "ts AS (SELECT idx, pos, list(s ORDER BY u) AS s FROM tp GROUP BY idx, pos)",
+    "hs AS (SELECT paper_id, u.u, sum(ts.s[u.u + 1]) AS s FROM tk JOIN ts USING (idx, pos), range(0, 100) u(u) GROUP BY ALL)",
+    f"hu AS (SELECT t.paper_id, u.u, greatest(coalesce(hs.s, 0.0e0) + {_HIDDEN}, 0.0e0) AS h FROM txt t "
+    "CROSS JOIN range(0, 100) u(u) LEFT JOIN hs ON hs.paper_id = t.paper_id AND hs.u = u.u)") + \
+    f"SELECT paper_id, {_OUTPUT} FROM hu GROUP BY paper_id"
+
 
 def _stumps_ctes(rates: list[float], fitted: str, pre: str = "") -> list[str]:
     """Boosted trees of depth 1 on year and citations, fitted on the rows of
@@ -387,8 +407,8 @@ def _stumps_ctes(rates: list[float], fitted: str, pre: str = "") -> list[str]:
             f"WINDOW w AS (PARTITION BY c ORDER BY x))",
             f"{b} AS (SELECT c, cut, sl / nl AS lo, (s - sl) / (n - nl) AS hi FROM {c} WHERE cut IS NOT NULL "
             f"ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, c, cut LIMIT 1)",
-            f"{pre}r{i + 1} AS (SELECT * REPLACE (f + {rate}e0 * CASE WHEN (CASE WHEN c = 0 THEN x0 ELSE x1 END) "
-            f"<= cut THEN lo ELSE hi END AS f) FROM (SELECT * EXCLUDE (c, cut, lo, hi), c, cut, lo, hi FROM {rows}, {b}))"]
+            f"{pre}r{i + 1} AS (SELECT {rows}.* REPLACE (f + {rate}e0 * CASE WHEN (CASE WHEN c = 0 THEN x0 ELSE x1 END) "
+            f"<= cut THEN lo ELSE hi END AS f) FROM {rows}, {b})"]
     return ctes
 
 

@@ -2,8 +2,8 @@
 
 * :func:`run_default` -- one text column, vectorizer x regressor with
   default parameters, scores on the test rows;
-* :func:`run_dense`, :func:`run_ncnn` -- padded index sequences with static
-  word vectors, dense net / n-gram convolution net (see ``quire.operators.sgd``);
+* :func:`run_dense`, :func:`run_ncnn` -- padded index sequences with static word
+  vectors, scored by a dense net / n-gram convolution net with given weights;
 * :func:`run_grid` -- per-column TF-IDF + numeric columns, default model and
   a grid search over vectorizer x model settings (``quire.operators.search``).
 
@@ -13,6 +13,8 @@ Each returns DataFrames; nothing is printed. Unknown choices raise
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ from quire.plans.common import one_text
 from quire.session import durable, stored
 
 VECTORIZERS = ("tfidf", "count", "hash", "union")
-REGRESSORS_DEFAULT = ("mlp", "lr", "svr")
+REGRESSORS_DEFAULT = ("lr",)
+NOT_TRAINED = {"mlp": "score given weights with quire.operators.scoring", "svr": "its kernels are not built"}
 
 
 def text_features(docs: DataFrame, train: DataFrame, vectorizer: str, id_col: str = "paper_id",
@@ -59,33 +62,26 @@ def fit_predict(estimator, train_rows: DataFrame, test_rows: DataFrame) -> DataF
     return model.transform(test_rows)
 
 
-def fit_predict_sgd(regressor: str, docs: DataFrame, feats: DataFrame, width: int,
-                    cfg=None) -> DataFrame:
-    """mlp / svr on sparse index/value arrays with the data-parallel trainer."""
-    from quire.operators import sgd
-    from quire.operators.vectors import sparse_arrays
-    rows = durable(sparse_arrays(docs.select("paper_id", "rn", "split", "label"), feats,
-                                 "paper_id"))
-    spec = sgd.make_sgd_estimator(regressor, input_dim=width)
-    model = sgd.fit(rows.where("split = 'train'"), spec, cfg or sgd.TrainConfig())
-    return model.transform(rows.where("split = 'test'"))
-
-
-def run_default(spark: SparkSession, sf_dir: str, vectorizer: str = "tfidf",
+def run_default(spark: SparkSession, sf_dir: str | None, vectorizer: str = "tfidf",
                 regressor: str = "lr", docs: DataFrame | None = None) -> DataFrame:
-    """Set 1: one row (vectorizer, regressor, n_train, n_val, n_test, mse, mae, r2)."""
+    """Set 1: one row (vectorizer, regressor, n_train, n_val, n_test, mse, mae, r2).
+
+    ``docs`` are the caller's own papers (``paper_id``, ``split``, ``label``,
+    ``text``; see ``quire.plans.common.one_text_of``); without them the papers
+    view of ``sf_dir`` is taken."""
+    if vectorizer not in VECTORIZERS:
+        raise ValueError(f"unknown vectorizer {vectorizer!r}; choose one of {VECTORIZERS}")
+    if regressor in NOT_TRAINED:
+        raise ValueError(f"{regressor!r} cannot be fitted: Spark has no such learner; {NOT_TRAINED[regressor]}")
     if regressor not in REGRESSORS_DEFAULT:
         raise ValueError(f"unknown regressor {regressor!r}; choose one of {REGRESSORS_DEFAULT}")
-    docs = one_text(spark, sf_dir, rn=regressor != "lr") if docs is None else docs
+    docs = one_text(spark, sf_dir) if docs is None else docs
     train = docs.where("split = 'train'")
     test = docs.where("split = 'test'")
     feats, width = text_features(docs, train, vectorizer)
     train_rows = assemble(train.select("paper_id", "label"), feats, width, "paper_id")
     test_rows = assemble(test.select("paper_id", "label"), feats, width, "paper_id")
-    if regressor == "lr":
-        pred = fit_predict(make_estimator("lr"), train_rows, test_rows)
-    else:
-        pred = fit_predict_sgd(regressor, docs, feats, width)
+    pred = fit_predict(make_estimator(regressor), train_rows, test_rows)
     counts = docs.groupBy().agg(
         F.count(F.when(F.col("split") == "train", 1)).alias("n_train"),
         F.count(F.when(F.col("split") == "val", 1)).alias("n_val"))
@@ -98,51 +94,69 @@ def run_default(spark: SparkSession, sf_dir: str, vectorizer: str = "tfidf",
 
 
 # ---------------------------------------------------------------------------
-# set 2: word vectors + dense net / n-gram convolution net
+# set 2: word vectors + dense net / n-gram convolution net, with given weights
 # ---------------------------------------------------------------------------
 
-def _sequence_rows(spark: SparkSession, sf_dir: str, vectors: DataFrame | None, dim: int,
-                   maxlen: int):
+@dataclass
+class Net:
+    """Weights of a network fitted elsewhere. ``first`` is a function of a
+    position giving its (dim, units) weights (dense net) or the ``ConvFilters``
+    (convolution net, with ``hidden`` (pooled values, units)); ``bias`` (units),
+    ``output`` (units), ``output_bias``."""
+    first: object
+    bias: list
+    output: list
+    output_bias: float
+    hidden: object = None
+
+
+def _doubles(values) -> F.Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _sequences(docs: DataFrame, vectors: DataFrame, dim: int, maxlen: int):
     from quire.operators import embeddings as EM
     from quire.operators import sequences as SQ
-    from quire.operators import sgd
-    from quire.sources.papers import load_table
-    docs = one_text(spark, sf_dir, rn=True)
-    wi = SQ.fit_word_index(docs, "paper_id", "text", order_col="rn")
+    wi = SQ.fit_word_index(docs, "paper_id", "text", order_col="paper_id")
     seqs = SQ.texts_to_sequences(docs, wi, "paper_id", "text")
-    rows = durable(docs.select("paper_id", "rn", "split", "label")
-                   .join(seqs.select("paper_id", SQ.pad_sequences("seq", maxlen).alias("seq")),
-                         "paper_id"))
-    if vectors is None:
-        vectors = EM.vectors_from_table(load_table(spark, sf_dir, "embeddings"), wi)
-    matrix = EM.embedding_matrix(wi, vectors, dim)
-    return rows, sgd.broadcast_matrix(spark, matrix, dim)
-
-
-def _run_net(spark, sf_dir, spec, vectors, dim, maxlen, cfg):
-    from quire.operators import sgd
-    rows, ctx = _sequence_rows(spark, sf_dir, vectors, dim, maxlen)
-    val = rows.where("split = 'val'")
-    if val.isEmpty():
-        val = rows.where("split = 'test'")  # monitor only, never used for choices
-    model = sgd.fit(rows.where("split = 'train'"), spec, cfg or sgd.TrainConfig(), ctx_bc=ctx,
-                    val=val)
-    pred = model.transform(rows.where("split = 'test'"))
-    return regression_metrics(pred), sgd.history_frame(spark, model)
-
-
-def run_dense(spark: SparkSession, sf_dir: str, vectors: DataFrame | None = None, dim: int = 64,
-              maxlen: int = 400, cfg=None):
-    """Set 2 dense: (metrics, per-epoch history)."""
-    from quire.operators import sgd
-    return _run_net(spark, sf_dir, sgd.DenseNetSpec(maxlen, dim), vectors, dim, maxlen, cfg)
-
-
-def run_ncnn(spark: SparkSession, sf_dir: str, vectors: DataFrame | None = None, dim: int = 64,
-             maxlen: int = 400, cfg=None):
-    """Set 2 n-gram convolution net: (metrics, per-epoch history)."""
-    from quire.operators import sgd
-    return _run_net(spark, sf_dir, sgd.ConvNetSpec(maxlen, dim), vectors, dim, maxlen, cfg)
+    kept = stored(seqs.select("paper_id", SQ.truncate_sequences("seq", maxlen).alias("seq")), "sequences")
+    return kept, EM.embedding_matrix(wi, vectors, dim)
+
+
+def _net_scores(docs: DataFrame, h: DataFrame, net: Net):
+    from quire.operators import scoring as SC
+    pred = h.select("paper_id", SC.output_unit("h", _doubles(net.output), net.output_bias).alias("prediction"))
+    pred = docs.select("paper_id", "split", "label").join(pred, "paper_id")
+    return regression_metrics(pred.where("split = 'test'")), pred
+
+
+def run_dense(docs: DataFrame, vectors: DataFrame, net: Net | None = None, dim: int = 300, maxlen: int = 400):
+    """Set 2 dense: (metrics on the test papers, predictions of all) of ``docs``
+    (``paper_id``, ``split``, ``label``, ``text``) with word ``vectors`` (``word``,
+    ``vec``; ``read_named_vectors`` gives them) under the given ``net``."""
+    from quire.operators import embeddings as EM
+    from quire.operators import scoring as SC
+    if net is None:
+        raise ValueError("give the net's weights: Spark has no learner for it")
+    kept, matrix = _sequences(docs, vectors, dim, maxlen)
+    h = SC.position_layer(EM.embed_positions(kept, matrix, "paper_id", dim), kept, "paper_id", net.first,
+                          _doubles(net.bias), len(net.bias))
+    return _net_scores(docs, h, net)
+
+
+def run_ncnn(docs: DataFrame, vectors: DataFrame, net: Net | None = None, dim: int = 300, maxlen: int = 400):
+    """Set 2 n-gram convolution net; see :func:`run_dense`."""
+    from quire.operators import conv as CV
+    from quire.operators import scoring as SC
+    if net is None:
+        raise ValueError("give the net's weights: Spark has no learner for it")
+    kept, matrix = _sequences(docs, vectors, dim, maxlen)
+    pooled = CV.conv_pool(kept, CV.slot_projections(matrix, net.first), net.first, "paper_id", maxlen)
+    cells = pooled.select("paper_id", F.posexplode("pooled").alias("idx", "value"))
+    weights = docs.sparkSession.createDataFrame([(i, 1, [float(x) for x in row]) for i, row in enumerate(net.hidden)],
+                                                "idx int, df int, w array<double>")
+    h = SC.sparse_layer(cells, weights, kept, "paper_id", _doubles(net.bias), len(net.bias))
+    return _net_scores(docs, h, net)
 
 
 # ---------------------------------------------------------------------------

@@ -3,16 +3,20 @@ convolution (S3, S4, F14-F22)."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire.operators import conv as CV
 from quire.operators import embeddings as EM
+from quire.operators import scoring as SC
 from quire.operators import sequences as SQ
+from quire.session import stored
 from quire.sources.papers import load_table
 from quire.sources.vectors import parse_vector_lines, vector_lines_from_table
 from quire.plans.common import one_text, round4
 
 MAXLEN = 400
+DIM = 64
 
 
 def _base(spark, sf):
@@ -88,9 +92,9 @@ def q_embedding_parse_w2v(spark, sf):
 def q_embed_flatten(spark, sf):
     docs, wi = _base(spark, sf)
     seqs = SQ.texts_to_sequences(docs, wi, "paper_id", "text")
-    padded = seqs.select("paper_id", SQ.pad_sequences("seq", MAXLEN).alias("seq"))
+    kept = seqs.select("paper_id", SQ.truncate_sequences("seq", MAXLEN).alias("seq"))
     m = EM.embedding_matrix(wi, _vectors(spark, sf, wi), 64)
-    flat = EM.embed_flatten(padded, m, "paper_id", 64)
+    flat = EM.embed_flatten(stored(kept, "sequences"), m, "paper_id", 64, MAXLEN)
     # position-weighted sum so the flattening order is part of the check
     wsum = F.aggregate(F.zip_with(flat["flat"], F.sequence(F.lit(0), F.size("flat") - 1),
                                   lambda x, i: x.cast("double") * ((i % 5) + 1)),
@@ -99,14 +103,49 @@ def q_embed_flatten(spark, sf):
                        round4(_vsum(F.col("flat"))).alias("fsum"), round4(wsum).alias("wsum"))
 
 
-def q_ngram_conv_pool(spark, sf):
+def kept_sequences(spark, sf):
+    """The papers' last words as indices, and the word vectors."""
     docs, wi = _base(spark, sf)
     seqs = SQ.texts_to_sequences(docs, wi, "paper_id", "text")
-    kept = seqs.select("paper_id", SQ.truncate_sequences("seq", MAXLEN).alias("seq"))
-    m = EM.embedding_matrix(wi, _vectors(spark, sf, wi), 64)
-    filters = CV.rule_filters(64)
+    kept = stored(seqs.select("paper_id", SQ.truncate_sequences("seq", MAXLEN).alias("seq")), "sequences")
+    return kept, EM.embedding_matrix(wi, _vectors(spark, sf, wi), DIM)
+
+
+def q_ngram_conv_pool(spark, sf):
+    kept, m = kept_sequences(spark, sf)
+    filters = CV.rule_filters(DIM)
     pooled = CV.conv_pool(kept, CV.slot_projections(m, filters), filters, "paper_id", MAXLEN)
-    return pooled.select("paper_id", "width", "filter", round4("value").alias("value"))
+    return CV.pooled_cells(pooled, filters, "paper_id").select("paper_id", "width", "filter", round4("value").alias("value"))
+
+
+def _output(h):
+    return round4(SC.output_unit("h", SC.rule_array(SC.HIDDEN, SC.OUTPUT), SC.OUTPUT_BIAS)).alias("prediction")
+
+
+def q_ncnn_score(spark, sf):
+    """M8 + M12 with given weights: pooled windows, 100 units, one output."""
+    kept, m = kept_sequences(spark, sf)
+    filters = CV.rule_filters(DIM)
+    pooled = CV.conv_pool(kept, CV.slot_projections(m, filters), filters, "paper_id", MAXLEN)
+    cells = pooled.select("paper_id", F.posexplode("pooled").alias("idx", "value"))
+    # 60 rows of weights; every paper has every cell
+    n = filters.n_filters * len(filters.branches)
+    weights = spark.range(n).select(F.col("id").cast("int").alias("idx"), F.lit(1).alias("df")).withColumn(
+        "w", SC.rule_array(SC.HIDDEN, "(((3 * idx + 7 * u) % 13) - 6) / 50.0D"))
+    h = SC.sparse_layer(cells, weights, kept, "paper_id", SC.rule_array(SC.HIDDEN, SC.HIDDEN_BIAS), SC.HIDDEN)
+    return h.select("paper_id", _output("h"))
+
+
+def q_dense_score(spark, sf):
+    """M7 + M12 with given weights: 400 flattened word vectors, 100 units, one output."""
+    kept, m = kept_sequences(spark, sf)
+    positions = EM.embed_positions(kept, m, "paper_id", DIM)
+
+    def weights_at(pos):
+        d, u = np.arange(DIM)[:, None] + pos * DIM, np.arange(SC.HIDDEN)[None, :]
+        return ((3 * d + 7 * u) % 13 - 6) / 500.0
+    h = SC.position_layer(positions, kept, "paper_id", weights_at, SC.rule_array(SC.HIDDEN, SC.HIDDEN_BIAS), SC.HIDDEN)
+    return h.select("paper_id", _output("h"))
 
 
 QUERIES = {
@@ -119,4 +158,6 @@ QUERIES = {
     "embedding_coverage": q_embedding_coverage,
     "embed_flatten": q_embed_flatten,
     "ngram_conv_pool": q_ngram_conv_pool,
+    "ncnn_score": q_ncnn_score,
+    "dense_score": q_dense_score,
 }
