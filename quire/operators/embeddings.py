@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.hot_join import hot_join
+from quire.session import stored
 
 
 def zeros(dim: int) -> F.Column:
@@ -52,7 +53,8 @@ def embed_positions(seqs: DataFrame, matrix: DataFrame, id_col: str, dim: int, s
     unknown words, which are zeros, never enter the join; frequent words are met
     by a broadcast of bounded size."""
     pos = seqs.select(F.col(id_col), F.posexplode(seq_col).alias("pos", "idx")).where("idx > 0")
-    return hot_join(pos, matrix.where("known").select("idx", "vec", "cnt"), "idx", "cnt", 4 * dim + 64, id_col).drop("idx", "cnt")
+    known = stored(matrix.where("known").select("idx", "vec", "cnt"), "word-vectors")
+    return hot_join(pos, known, "idx", "cnt", 4 * dim + 64, id_col).drop("idx", "cnt")
 
 
 def embed_flatten(seqs: DataFrame, matrix: DataFrame, id_col: str, dim: int, maxlen: int = 400,

@@ -147,6 +147,7 @@ def fold_text(tok: DataFrame, settings: list[dict], k: int = 4, width: int = WID
         "*", (F.abs(h) % F.lit(width)).cast("int").alias("bucket"), F.when(h >= 0, 1.0).otherwise(-1.0).alias("sign")),
         "search-frequencies")
     # Terms that no train paper holds have no weight in any part.
+    # A written table of frequencies is joined by its size; AQE splits hot terms.
     cells = tf.drop("fold").join(known, ["block", "term"]).drop("term").repartition("paper_id").sortWithinPartitions("paper_id")
     folded = FoldedText(tok, settings, kinds, weightings, k, width)
     info, _ = _plain(folded)

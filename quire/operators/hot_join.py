@@ -19,17 +19,17 @@ BUDGET = 16 * 1024 * 1024
 
 def hot_join(rows: DataFrame, table: DataFrame, key: str, frequency: str, row_bytes: int,
              spread: str, budget: int = BUDGET) -> DataFrame:
-    """The inner join of ``rows`` with ``table`` (one row a ``key``).
+    """The inner join of ``rows`` with the written ``table`` (one row a ``key``).
 
     ``frequency`` orders the table's rows, ``row_bytes`` is what one takes in
     memory, ``spread`` a column of ``rows`` that deals out those already joined.
     """
     names = [c for c in table.columns if c != key]
     most = max(1, budget // row_bytes)
+    if table.count() <= most:  # written tables are counted from their footers
+        return rows.join(F.broadcast(table), key).select(*rows.columns, *names)
     hot = stored(table.orderBy(F.desc(frequency), key).limit(most), "hot-rows")
     met = rows.join(F.broadcast(hot.select(key, F.struct(*names).alias("_hot"))), key, "left")
-    if hot.count() < most:  # that was the whole table
-        return met.where("_hot is not null").select(*rows.columns, *[F.col("_hot")[c].alias(c) for c in names])
     cold = table.join(F.broadcast(hot.select(key)), key, "left_anti")
     cold = cold.select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_salt"), F.struct(*names).alias("_cold"))
     # Rows already joined have no key here and are dealt out by ``spread``.

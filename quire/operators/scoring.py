@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.hot_join import hot_join
-from quire.session import ship_package
+from quire.session import ship_package, stored
 
 RELU = "relu"
 
@@ -35,7 +35,8 @@ def sparse_layer(features: DataFrame, weights: DataFrame, ids: DataFrame, id_col
     """(``id_col``, ``h``) of every row of ``ids``: a fully connected layer over
     long-form ``features`` (id, key, value). ``weights`` has (key, ``w``) and the
     ``frequency`` of the key, whose most frequent rows are met by a broadcast."""
-    met = hot_join(features.select(id_col, key, "value"), weights.select(key, "w", frequency), key, frequency,
+    weights = stored(weights.select(key, "w", frequency), "layer-weights")
+    met = hot_join(features.select(id_col, key, "value"), weights, key, frequency,
                    8 * units + 64, id_col)
     sums = unit_sums(met, id_col, "w", units)
     return ids.select(id_col).join(sums, id_col, "left").select(id_col, activate(F.col("h"), bias, activation).alias("h"))

@@ -8,9 +8,8 @@ non-zero cell. Every step is a join or an aggregation that Spark partitions:
   shuffle), each group bounded by one document's terms;
 * vocabulary + document frequency: ``groupBy(term)`` with map-side partial
   counts, so a term in every document costs one partial row per task;
-* idf lookup: an equi-join on ``term``. The fitted vocabulary is counted, and
-  broadcast only when its written size is under Spark's threshold; beyond that it is a
-  sort-merge join whose hot terms AQE's skew-join rule splits;
+* idf lookup: an equi-join on ``term``; the most frequent terms by the fitted
+  ``df``, as many as fit a byte budget, are broadcast, rarer ones shuffled;
 * row norms: a window partitioned by the document id, which reuses the
   documents' partitioning after a broadcast join.
 
@@ -27,9 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.analyzers import ENGLISH_STOP_WORDS, analyzer
+from quire.operators.hot_join import hot_join
 from quire.operators.rows import with_row_index
 from quire.session import stored
 
+#: What a term, its index, frequency and idf take in a broadcast.
+VOCABULARY_ROW_BYTES = 128
+
 
 @dataclass(frozen=True)
 class VectorizerParams:
@@ -123,9 +126,9 @@ def normalize(df: DataFrame, id_col: str, value_col: str, norm: str | None) -> D
 def transform(tf: DataFrame, vocab: FittedVocabulary, id_col: str) -> DataFrame:
     """weights of the known terms, normalised per document."""
     p = vocab.params
-    # Spark broadcasts the vocabulary below its byte threshold; beyond it AQE
-    # splits the partitions of hot terms. Unknown terms drop out (inner).
-    joined = tf.join(vocab.table, "term")
+    # The most frequent terms are met by a broadcast of bounded size; only rarer
+    # ones are shuffled. Unknown terms drop out (inner).
+    joined = hot_join(tf, vocab.table, "term", "df", VOCABULARY_ROW_BYTES, id_col)
     value = tf_weight(p) * (F.col("idf") if p.use_idf else F.lit(1.0))
     out = joined.select(F.col(id_col), "idx", "term", value.alias("value"))
     return normalize(out, id_col, "value", p.norm)

@@ -297,10 +297,21 @@ SQL["embedding_coverage"] = W(*SEQ) + (
     "SELECT (SELECT count(*) FROM vw) AS n_vectors, count(*) AS vocab_size, "
     "count(vw.idx) AS covered, round(count(vw.idx) / count(*), 4) AS coverage "
     "FROM wi LEFT JOIN vw USING (idx, term)")
-_PARSE = ("SELECT term AS word, len(vec) AS dim, "
-          "round(list_reduce(list_prepend(0.0e0, vec), lambda a, b: a + b), 4) AS vsum FROM vw")
-SQL["embedding_parse"] = W(*SEQ) + _PARSE
-SQL["embedding_parse_w2v"] = W(*SEQ) + _PARSE
+_LINES = ("ln AS (SELECT vec_id AS i, 'w' || vec_id // 2 AS word, CAST(embedding AS DOUBLE[]) AS vec, "
+          "CASE WHEN vec_id % 13 = 5 THEN 'blank' WHEN vec_id % 23 = 1 THEN 'short' WHEN vec_id % 17 = 7 OR (vec_id % 19 <> 2 "
+          "AND vec_id % 11 = 3) THEN 'not_numeric' WHEN vec_id % 19 = 2 THEN 'wrong_width' END AS bad FROM embeddings)")
+
+
+def _parse_sql(pick: str) -> str:
+    return (f"WITH {_LINES}, gd AS (SELECT word, {pick}(vec, i) AS vec FROM ln WHERE bad IS NULL GROUP BY word) "
+            "SELECT word, len(vec) AS dim, round(list_reduce(list_prepend(0.0e0, vec), lambda a, b: a + b), 4) AS vsum FROM gd")
+
+
+SQL["embedding_parse"] = _parse_sql("max_by")
+SQL["embedding_parse_w2v"] = _parse_sql("min_by")
+SQL["embedding_rejects"] = f"WITH {_LINES} " + " UNION ALL ".join(
+    f"SELECT '{fmt}' AS format, CASE WHEN bad = 'short' THEN '{short}' ELSE bad END AS reason, count(*) AS n FROM ln "
+    "WHERE bad IS NOT NULL GROUP BY ALL" for fmt, short in (("glove", "wrong_width"), ("w2v", "header")))
 SQL["embed_flatten"] = W(*SEQ, (
     "ep AS (SELECT p.paper_id, unnest(p.seq) AS idx, unnest(range(0, len(p.seq))) AS pos "
     "FROM padded p)"), (
@@ -548,3 +559,17 @@ def _cv_pipeline_sql(width: int = 8, k: int = 4) -> str:
 
 
 SQL["cv_pipeline"] = _cv_pipeline_sql()
+
+
+# ---------------------------------------------------------------------------
+# typed values and rejected records
+# ---------------------------------------------------------------------------
+
+SQL["typed_casts"] = (
+    "WITH v AS (SELECT doc_id AS paper_id, CASE doc_id % 10 WHEN 0 THEN n_chars WHEN 1 THEN n_chars WHEN 2 THEN n_chars "
+    "WHEN 4 THEN -n_chars WHEN 6 THEN 1 WHEN 7 THEN n_chars * 10 + 5 WHEN 8 THEN -n_chars WHEN 9 THEN n_chars * 100 END AS value FROM documents) "
+    "SELECT paper_id, value, value IS NULL AS wrong FROM v")
+SQL["paper_rejects"] = (
+    "WITH v AS (SELECT CASE doc_id % 7 WHEN 1 THEN 'broken line' WHEN 2 THEN 'no plength' WHEN 3 THEN 'no title' "
+    "WHEN 4 THEN 'no year' ELSE 'good' END AS reason, CASE WHEN doc_id % 7 = 1 THEN 2 + length(CAST(doc_id AS VARCHAR)) + 9 END AS size FROM documents) "
+    "SELECT reason, count(*) AS n, CAST(coalesce(sum(size), 0) AS BIGINT) AS raw_chars FROM v GROUP BY reason")

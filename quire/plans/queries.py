@@ -16,6 +16,8 @@ from quire.operators import tfidf as TF
 from quire.operators.hashing import DEFAULT_WIDTH, hash_features
 from quire.operators.splits import contiguous_folds, positional_split
 from quire.plans.common import one_text, papers, round4, tokenized
+from quire.session import scratch_path
+from quire.sources.papers import load_table, read_papers_with_rejects, whole_number
 
 # ---------------------------------------------------------------------------
 # sources, rows, splits
@@ -37,6 +39,42 @@ def q_split_counts(spark, sf):
     return papers(spark, sf, split=True).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_typed_casts(spark, sf):
+    """T12, T13 over every document: its length as one of ten JSON values."""
+    n = F.col("n_chars").cast("string")
+    text = (F.when(F.col("doc_id") % 10 == 0, n)
+            .when(F.col("doc_id") % 10 == 1, F.concat(F.lit('"'), n, F.lit('"')))
+            .when(F.col("doc_id") % 10 == 2, F.concat(n, F.lit(".9")))
+            .when(F.col("doc_id") % 10 == 3, F.concat(F.lit('"'), n, F.lit('.9"')))
+            .when(F.col("doc_id") % 10 == 4, F.concat(F.lit('" -'), n, F.lit('\\t"')))
+            .when(F.col("doc_id") % 10 == 5, F.concat(F.lit('"'), n, F.lit('e1"')))
+            .when(F.col("doc_id") % 10 == 6, F.lit("true"))
+            .when(F.col("doc_id") % 10 == 7, F.concat(F.lit('"'), n, F.lit('_5"')))
+            .when(F.col("doc_id") % 10 == 8, F.concat(F.lit("-"), n, F.lit(".5")))
+            .otherwise(F.concat(n, F.lit("e2"))))
+    docs = load_table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.parse_json(text).alias("v"))
+    value = whole_number("v")
+    return docs.select("paper_id", value.alias("value"), value.isNull().alias("wrong"))
+
+
+def q_paper_rejects(spark, sf):
+    """S1 over every document, written as JSON lines, some broken or incomplete:
+    how many are rejected why, and how much raw text is kept of them."""
+    d = load_table(spark, sf, "documents")
+    kind = F.col("doc_id") % 7
+    whole = F.to_json(F.struct(
+        F.when(kind != 3, F.coalesce(F.substring_index("text", "\n", 1), F.lit(""))).alias("title"),
+        F.coalesce("text", F.lit("")).alias("abstract"), F.array("source").alias("keywords"), F.coalesce("source", F.lit("")).alias("venue"),
+        F.when(kind != 4, 1990).alias("year"), F.lit("3").alias("n_citation"), F.when(kind != 2, F.col("n_chars")).alias("plength")))
+    line = F.when(kind == 1, F.concat(F.lit('{"title": '), F.col("doc_id").cast("string"), F.lit("!"))).otherwise(whole)
+    path = scratch_path(spark, "papers-json")
+    d.select(line.alias("value")).write.text(path)
+    good, bad = read_papers_with_rejects(spark, path)
+    both = good.select(F.lit("good").alias("reason"), F.lit(0).alias("size")) \
+        .unionByName(bad.select("reason", F.coalesce(F.length("line"), F.lit(0)).alias("size")))
+    return both.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("raw_chars"))
+
+
 def q_positional_split(spark, sf):
     return positional_split(papers(spark, sf, rn=True), "rn", 4000, 1000).select("paper_id", "rn", "part")
 
@@ -241,6 +279,8 @@ QUERIES = {
     "union_splits": q_union_splits,
     "split_counts": q_split_counts,
     "positional_split": q_positional_split,
+    "typed_casts": q_typed_casts,
+    "paper_rejects": q_paper_rejects,
     "contiguous_folds": q_contiguous_folds,
     "lower_ascii": q_lower_ascii,
     "keyword_summary": q_keyword_summary,

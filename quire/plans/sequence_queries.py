@@ -75,12 +75,19 @@ def q_embedding_coverage(spark, sf):
 
 
 def _parse(spark, sf, fmt):
-    _, wi = _base(spark, sf)
-    lines = vector_lines_from_table(load_table(spark, sf, "embeddings"), wi)
-    vecs, _ = parse_vector_lines(lines, fmt=fmt, dim=64)
+    vecs, _ = parse_vector_lines(vector_lines_from_table(load_table(spark, sf, "embeddings")), fmt=fmt, dim=DIM)
     return vecs.select("word", F.size("vec").cast("bigint").alias("dim"), round4(_vsum(F.col("vec"))).alias("vsum"))
 
 
+def _rejected(spark, sf, fmt):
+    _, rejects = parse_vector_lines(vector_lines_from_table(load_table(spark, sf, "embeddings")), fmt=fmt, dim=DIM)
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit(fmt).alias("format"), "reason", "n")
+
+
+def q_embedding_rejects(spark, sf):
+    return _rejected(spark, sf, "glove").unionByName(_rejected(spark, sf, "w2v"))
+
+
 def q_embedding_parse(spark, sf):
     return _parse(spark, sf, "glove")
 
@@ -154,6 +161,7 @@ QUERIES = {
     "pad_sequences": q_pad_sequences,
     "embedding_parse": q_embedding_parse,
     "embedding_parse_w2v": q_embedding_parse_w2v,
+    "embedding_rejects": q_embedding_rejects,
     "embedding_lookup": q_embedding_lookup,
     "embedding_coverage": q_embedding_coverage,
     "embed_flatten": q_embed_flatten,

@@ -81,13 +81,20 @@ def read_named_vectors(spark: SparkSession, emb_dir: str, name: str, dim: int =
     return read_word_vectors(spark, f"{emb_dir.rstrip('/')}/{fname}", fmt=fmt, dim=dim)
 
 
-def vector_lines_from_table(embeddings: DataFrame, word_index: DataFrame) -> DataFrame:
-    """Text lines ``word v1 ... vd`` derived from the ``embeddings`` table:
-    word index i takes the vector with ``vec_id = i``."""
-    joined = embeddings.join(word_index.select("term", "idx"),
-                             embeddings["vec_id"] == word_index["idx"])
-    return joined.select(
-        F.col("vec_id").alias("line_no"),
-        F.concat_ws(" ", F.col("term"),
-                    F.array_join(F.transform("embedding", lambda x: x.cast("string")), " "))
-        .alias("value"))
+def vector_lines_from_table(embeddings: DataFrame) -> DataFrame:
+    """(``line_no``, ``value``): a text line for every row of the driver's
+    ``embeddings``, good and bad by its ``vec_id`` i: word `w` and i div 2, so
+    words repeat; a blank line where i % 13 = 5, a short one where i % 23 = 1, a
+    word with a blank in it where i % 17 = 7, half of the values where i % 19 = 2
+    and a value that is no number where i % 11 = 3."""
+    i = F.col("vec_id")
+    word = F.concat(F.lit("w"), F.expr("vec_id div 2"))
+    values = F.transform("embedding", lambda x: x.cast("string"))
+    half = F.expr("slice(embedding, 1, size(embedding) div 2)")
+    line = (F.when(i % 13 == 5, F.lit("  "))
+            .when(i % 23 == 1, F.concat(word, F.lit(" 0.5")))
+            .when(i % 17 == 7, F.concat(word, F.lit(" b "), F.array_join(values, " ")))
+            .when(i % 19 == 2, F.concat(word, F.lit(" "), F.array_join(F.transform(half, lambda x: x.cast("string")), " ")))
+            .when(i % 11 == 3, F.concat(word, F.lit(" "), F.array_join(values, " "), F.lit("x")))
+            .otherwise(F.concat(word, F.lit(" "), F.array_join(values, "  "))))
+    return embeddings.select(i.alias("line_no"), F.coalesce(line, word).alias("value"))
