@@ -11,11 +11,12 @@ def test_conv_pool_hand_case(spark):
     # width-1 vectors 1, 2, 0, 0; one filter of width 2 with weights (1, -1), bias 0.5
     f = CV.ConvFilters({2: np.array([[[1.0]], [[-1.0]]])}, {2: np.array([0.5])}, dim=1,
                        n_filters=1, branches=(2,))
-    matrix = spark.createDataFrame([(1, True, [1.0]), (2, True, [2.0])],
-                                   "idx long, known boolean, vec array<float>")
-    seqs = spark.createDataFrame([(0, [1, 2])], "id long, seq array<int>")
-    out = CV.conv_pool(seqs, CV.slot_projections(matrix, f), f, "id", maxlen=4).collect()
-    assert len(out) == 1 and abs(out[0].value - 2.5) < 1e-12
+    matrix = spark.createDataFrame([(1, 9, True, [1.0]), (2, 5, True, [2.0])],
+                                   "idx long, cnt long, known boolean, vec array<float>")
+    seqs = spark.createDataFrame([(0, [1, 2]), (1, []), (2, [3])], "id long, seq array<int>")
+    pooled = CV.conv_pool(seqs, CV.slot_projections(matrix, f), f, "id", maxlen=4)
+    out = {r.id: (r.width, r.filter, r.value) for r in CV.pooled_cells(pooled, f, "id").collect()}
+    assert out == {0: (2, 0, 2.5), 1: (2, 0, 0.5), 2: (2, 0, 0.5)}
 
 
 def test_contiguous_fold_sizes(spark):

@@ -3,9 +3,12 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from quire.sources.papers import read_papers, read_splits, typed_papers
-from quire.sources.vectors import read_word_vectors
+from quire.plans.common import one_text_of, tokenize_papers
+from quire.plans.runs import run_default, run_grid
+from quire.sources.papers import read_papers, read_papers_with_rejects, read_splits, typed_papers, whole_number
+from quire.sources.vectors import FILES, read_named_vectors, read_word_vectors
 
 
 def write(path, lines):
@@ -47,6 +50,77 @@ def test_broken_line_fails_fast(spark):
         read_papers(spark, p).collect()
 
 
+def test_missing_field_raises_whatever_is_read(spark):
+    d = tempfile.mkdtemp(prefix="quire-test-")
+    p = os.path.join(d, "x.txt")
+    write(p, [rec(), json.dumps({"title": "t", "abstract": "a", "keywords": [], "venue": "v", "year": 1, "n_citation": None, "plength": 3})])
+    with pytest.raises(Exception, match="no n_citation"):
+        read_papers(spark, p).select("title").collect()
+    with pytest.raises(Exception, match="no n_citation"):
+        read_papers(spark, p).count()
+    assert read_papers(spark, p, required=("title",)).count() == 2
+
+
+def test_rejects_keep_the_raw_line(spark):
+    d = tempfile.mkdtemp(prefix="quire-test-")
+    p = os.path.join(d, "x.txt")
+    write(p, [rec(), "{not json", rec(title=None), rec(plength=None), rec(year="2001"), '["an", "array"]'])
+    good, bad = read_papers_with_rejects(spark, p)
+    assert good.count() == 2
+    got = sorted((r.reason, r.line) for r in bad.collect() if r.line != '["an", "array"]')
+    assert got == [("broken line", "{not json"), ("no plength", None), ("no title", None)]
+    assert bad.count() == 4
+
+
+@pytest.mark.parametrize("text, value", [
+    ("7", 7), ('"7"', 7), ("8.9", 8), ("-8.9", -8), ('"8.9"', None), ('"1e3"', None), ("1e3", 1000), ('" 12\\n"', 12), ('"+5"', 5),
+    ('"1_000"', 1000), ('"1__0"', None), ('"_1"', None), ('""', None), ("true", 1), ('"x"', None), ("[1]", None), ("null", None),
+    ("9223372036854775807", 9223372036854775807), ('"9223372036854775808"', None)])
+def test_whole_numbers_as_python_reads_them(spark, text, value):
+    df = spark.range(1).select(F.parse_json(F.lit(text)).alias("v"))
+    assert df.select(whole_number("v")).first()[0] == value
+    try:
+        assert value is None or int(json.loads(text)) == value
+    except (TypeError, ValueError):
+        assert value is None
+
+
+def test_a_quoted_decimal_raises(spark):
+    d = tempfile.mkdtemp(prefix="quire-test-")
+    p = os.path.join(d, "x.txt")
+    write(p, [rec(plength=8.9, year="1999"), rec(plength="8.9")])
+    rows = typed_papers(read_papers(spark, p))
+    assert rows.limit(1).first().label == 8.0
+    with pytest.raises(Exception, match="no whole number"):
+        rows.collect()
+
+
+def test_vector_file_by_name(spark):
+    d = tempfile.mkdtemp(prefix="quire-test-")
+    write(os.path.join(d, FILES["gs"][0]), ["a 1 2", "a 3 4"])
+    write(os.path.join(d, FILES["w2v"][0]), ["1 2", "aaaaaaaa 1.000000 2.000000", "aaaaaaaa 3.000000 4.000000"])
+    assert [list(r.vec) for r in read_named_vectors(spark, d, "gs", 2)[0].collect()] == [[3.0, 4.0]]
+    assert [list(r.vec) for r in read_named_vectors(spark, d, "w2v", 2)[0].collect()] == [[1.0, 2.0]]
+    with pytest.raises(ValueError):
+        read_named_vectors(spark, d, "bert")
+
+
+def test_papers_of_files_go_through_set_1_and_set_3(spark):
+    d = tempfile.mkdtemp(prefix="quire-test-")
+    papers = [rec(title=f"Title {i}", abstract=f"word{i % 3} of the text {i % 5}", keywords=[f"k{i % 2}"], plength=3 + i % 4,
+                  year=str(2000 + i % 7), n_citation=i) for i in range(40)]
+    write(os.path.join(d, "train.txt"), papers[:24])
+    write(os.path.join(d, "val.txt"), papers[24:30])
+    write(os.path.join(d, "test.txt"), papers[30:])
+    tok = tokenize_papers(typed_papers(read_splits(spark, d)).withColumn("rn", F.col("row_id")).withColumnRenamed("row_id", "paper_id"))
+    tok = tok.cache()
+    for vectorizer in ("tfidf", "hash", "union"):
+        r = run_default(spark, None, vectorizer, "lr", docs=one_text_of(tok)).first()
+        assert (r.n_train, r.n_val, r.n_test) == (24, 6, 10)
+    _, best, scores, _ = run_grid(spark, None, "lr", 24, 10, 4, vect_grid={"norm": ["l1", None]}, tokens=tok)
+    assert best.first().n == 10 and scores.count() == 2 * 8 * 4
+
+
 def test_glove_lines(spark):
     d = tempfile.mkdtemp(prefix="quire-test-")
     p = os.path.join(d, "v.txt")
