@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,22 @@ def small(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def released(rows, forget=None):
+    """The generator ``rows``; when its task ends, ``forget`` is called and freed
+    memory goes back to the system. Spark keeps Python workers for later tasks and stages, which would
+    otherwise add up their peaks."""
+    try:
+        yield from rows
+    finally:
+        if forget is not None:
+            forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def text_sha(text_col: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(col(text_col), F.lit("")), 256))
 

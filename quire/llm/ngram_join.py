@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import shingles as S
-from quire.llm.common import col, id_text, partitions, small, unclear_ids
+from quire.llm.common import col, id_text, partitions, released, small, unclear_ids
 from quire.llm.components import components
 from quire.session import ship_package, stored
 from quire.sources.papers import load_table
 
 #: Bytes of text that one map-side block gathers before it ships its n-grams.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Hub rounds go on while the comparisons that are left exceed this multiple of
 #: the rows of their buckets, and at most so often; then all that are left follow.
 LAST_PAIRS = 256
@@ -181,9 +181,9 @@ def _classes(docs: DataFrame, k: int, percent: int):
     """The texts' descriptions, and the classes of equal sets that may link."""
     spark = docs.sparkSession
     described = stored(docs.mapInArrow(
-        lambda it: _describe(it, k), "_id long, n int, cls long, k2 long, probed int"), "ngram-sets")
+        lambda it: released(_describe(it, k)), "_id long, n int, cls long, k2 long, probed int"), "ngram-sets")
     bits = max(6, (partitions(docs) - 1).bit_length())
-    held = (docs.mapInArrow(lambda it: _ship(it, k, bits), "frag int, grams binary, owners binary, "
+    held = (docs.mapInArrow(lambda it: released(_ship(it, k, bits)), "frag int, grams binary, owners binary, "
                             "counts binary, known binary, seen binary")
             .groupBy("frag").applyInArrow(_count_fragment, "_id long, held long")
             .groupBy("_id").agg(F.sum("held").alias("held")))
@@ -202,7 +202,7 @@ def _ordered(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     are only counted (n - size(shared))."""
     texts = (docs.join(small(classes, "ngram-texts"), F.col("_id") == F.col("first_id"))
              .select("_id", "_text", "cls"))
-    sets = stored(texts.mapInArrow(lambda it: _grams(it, k), "cls long, n int, grams array<long>")
+    sets = stored(texts.mapInArrow(lambda it: released(_grams(it, k)), "cls long, n int, grams array<long>")
                   .dropDuplicates(["cls"]), "ngram-grams")
     # A class holds an n-gram once, so one n-gram is a small part of the rows;
     # one exchange by n-gram serves the count and the join.
@@ -365,7 +365,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         F.when(F.col("n") > 0, F.col("cls")).alias("class_id"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
     missing = every.where("_id is null")
-    nulls = missing.mapInArrow(lambda it: _describe(it, k), described.schema).select(
+    nulls = missing.mapInArrow(lambda it: released(_describe(it, k)), described.schema).select(
         F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nulls)
@@ -384,7 +384,7 @@ def keep_one_of_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = stored(out, "ngram-rows")
         rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "ngram-table")
         sets = id_text(rows.join(unclear, col(id_col) == F.col("_unclear"), "left_semi").select("_row", col(id_col), col(text_col)),
-                       "_row", text_col).mapInArrow(lambda it: _describe(it, 5), "_id long, n int, cls long, k2 long, probed int")
+                       "_row", text_col).mapInArrow(lambda it: released(_describe(it, 5)), "_id long, n int, cls long, k2 long, probed int")
         gone = out.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"), "class_id").distinct()
         own = rows.select("_row", col(id_col).alias("_gone")).join(sets.where("n > 0").select(F.col("_id").alias("_row"), F.col("cls").alias("class_id")), "_row")
         told = own.join(gone, ["_gone", "class_id"], "left_semi").select("_row")

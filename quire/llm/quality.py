@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import shingles as S
-from quire.llm.common import col, small, text_sha, unclear_ids
+from quire.llm.common import col, released, small, text_sha, unclear_ids
 from quire.session import ship_package, stored
 from quire.sources.papers import load_table
 
@@ -160,7 +160,7 @@ def _scores(df, labels, id_col="doc_id", text_col="text", label_col="quality", t
                      (F.lit(None).cast("binary") if sha is None else sha).alias("_sha"))
     kind = docs.schema["_id"].dataType.simpleString()
     remainder = F.pmod(F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
-    stats = stored(docs.mapInArrow(_statistics, f"_id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS) + ", _sha binary")
+    stats = stored(docs.mapInArrow(lambda it: released(_statistics(it)), f"_id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS) + ", _sha binary")
                    .withColumn("fold", remainder.cast("int")), "quality-statistics")
     moments = stats.agg(*[f(s) for s in STATISTICS for f in (F.avg, F.stddev_pop)]).first()
     centre = [x or 0.0 for x in moments[0::2]]

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import id_text
+from quire.llm.common import id_text, released
 from quire.session import ship_package
 from quire.sources.papers import load_table
 
@@ -282,7 +282,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     docs = id_text(df, id_col, text_col)
     kind = docs.schema["_id"].dataType.simpleString()
     schema = ", ".join([f"_id {kind}", *(f"{o} {_SQL_TYPES.get(o, 'string')}" for o in outputs)])
-    out = docs.mapInArrow(lambda it: _encode(it, model, outputs, batch_bytes), schema)
+    out = docs.mapInArrow(lambda it: released(_encode(it, model, outputs, batch_bytes), _encoders.clear), schema)
     return out.select(F.col("_id").alias(id_col), *outputs)
 
 
