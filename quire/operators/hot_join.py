@@ -17,24 +17,27 @@ from quire.session import stored
 BUDGET = 16 * 1024 * 1024
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, frequency: str, row_bytes: int,
+def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], frequency: str, row_bytes: int,
              spread: str, budget: int = BUDGET) -> DataFrame:
     """The inner join of ``rows`` with the written ``table`` (one row a ``key``).
 
     ``frequency`` orders the table's rows, ``row_bytes`` is what one takes in
     memory, ``spread`` a column of ``rows`` that deals out those already joined.
     """
-    names = [c for c in table.columns if c != key]
+    keys = [key] if isinstance(key, str) else key
+    names = [c for c in table.columns if c not in keys]
     most = max(1, budget // row_bytes)
     if table.count() <= most:  # written tables are counted from their footers
-        return rows.join(F.broadcast(table), key).select(*rows.columns, *names)
-    hot = stored(table.orderBy(F.desc(frequency), key).limit(most), "hot-rows")
-    met = rows.join(F.broadcast(hot.select(key, F.struct(*names).alias("_hot"))), key, "left")
-    cold = table.join(F.broadcast(hot.select(key)), key, "left_anti")
-    cold = cold.select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_salt"), F.struct(*names).alias("_cold"))
+        return rows.join(F.broadcast(table), keys).select(*rows.columns, *names)
+    hot = stored(table.orderBy(F.desc(frequency), *keys).limit(most), "hot-rows")
+    met = rows.join(F.broadcast(hot.select(*keys, F.struct(*names).alias("_hot"))), keys, "left")
+    cold = table.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    cold = cold.select(*[F.col(k).alias(f"_cold_{k}") for k in keys], F.lit(0).alias("_cold_salt"), F.struct(*names).alias("_cold"))
     # Rows already joined have no key here and are dealt out by ``spread``.
-    left = met.withColumn("_left_key", F.when(F.col("_hot").isNull(), F.col(key))) \
+    left = met.withColumns({f"_left_{k}": F.when(F.col("_hot").isNull(), F.col(k)) for k in keys}) \
         .withColumn("_left_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
-    both = left.join(cold, (F.col("_left_key") == F.col("_cold_key")) & (F.col("_left_salt") == F.col("_cold_salt")), "left")
-    both = both.withColumn("_found", F.coalesce("_hot", "_cold")).where("_found is not null")
+    same = F.col("_left_salt") == F.col("_cold_salt")
+    for k in keys:
+        same &= F.col(f"_left_{k}") == F.col(f"_cold_{k}")
+    both = left.join(cold, same, "left").withColumn("_found", F.coalesce("_hot", "_cold")).where("_found is not null")
     return both.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in names])

@@ -68,23 +68,32 @@ class FittedVocabulary:
 
 
 def doc_terms(df: DataFrame, id_col: str, text_col: str,
-              params: VectorizerParams = TFIDF) -> DataFrame:
-    """(id, term) one row per term occurrence.
+              params: VectorizerParams = TFIDF, keep=()) -> DataFrame:
+    """(id, ``keep``, term) one row per term occurrence.
 
     Documents are hash-partitioned by id once, before exploding: the term
     counts per (id, term), the broadcast idf lookup and the per-document
     norm window then all reuse that partitioning with no further shuffle.
     """
     terms = analyzer(text_col, params.ngram_range, params.stop_words, params.lowercase)
-    return (df.select(id_col, text_col).repartition(id_col)
-            .select(F.col(id_col), F.explode(terms).alias("term")))
+    return (df.select(id_col, *keep, text_col).repartition(id_col)
+            .select(F.col(id_col), *keep, F.explode(terms).alias("term")))
 
 
 def term_frequencies(df: DataFrame, id_col: str, text_col: str,
-                     params: VectorizerParams = TFIDF) -> DataFrame:
-    """(id, term, tf): raw counts per document."""
-    return (doc_terms(df, id_col, text_col, params)
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+                     params: VectorizerParams = TFIDF, keep=()) -> DataFrame:
+    """(id, ``keep``, term, tf): raw counts per document; ``keep`` are columns of
+    the documents."""
+    return (doc_terms(df, id_col, text_col, params, keep)
+            .groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def counted_terms(df: DataFrame, id_col: str, text_col: str, params: VectorizerParams = TFIDF,
+                  split_col: str = "split") -> DataFrame:
+    """:func:`term_frequencies` with the split, written: texts are analysed once,
+    a vocabulary is fitted on the train part of what is counted, and all of it is
+    transformed."""
+    return stored(term_frequencies(df, id_col, text_col, params, (split_col,)), "term-counts")
 
 
 def fit_vocabulary(tf_train: DataFrame, n_docs: int, params: VectorizerParams = TFIDF,
@@ -92,11 +101,7 @@ def fit_vocabulary(tf_train: DataFrame, n_docs: int, params: VectorizerParams =
     """F4 + F6/F7: distinct training terms, alphabetical index, df and idf."""
     dfreq = tf_train.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     vocab = with_row_index(dfreq, ["term"], name="idx")
-    n = F.lit(float(n_docs))
-    if params.smooth_idf:
-        idf = F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0
-    else:
-        idf = F.log(n / F.col("df")) + 1.0
+    idf = idf_of(F.col("df"), n_docs, params)
     # written as Parquet, so its size in bytes decides how it is joined
     vocab = stored(vocab.select("term", "idx", "df", idf.alias("idf")), "vocabulary")
     size = vocab.count()
@@ -134,14 +139,36 @@ def transform(tf: DataFrame, vocab: FittedVocabulary, id_col: str) -> DataFrame:
     return normalize(out, id_col, "value", p.norm)
 
 
-def fit_transform(df: DataFrame, id_col: str, text_col: str, params: VectorizerParams = TFIDF,
-                  train: DataFrame | None = None) -> tuple[FittedVocabulary, DataFrame]:
-    """Fit on ``train`` (default: ``df``), return the fit and ``df``'s features."""
-    train = df if train is None else train
-    tf_train = term_frequencies(train, id_col, text_col, params)
-    vocab = fit_vocabulary(tf_train, train.count(), params)
-    tf_all = tf_train if train is df else term_frequencies(df, id_col, text_col, params)
-    return vocab, transform(tf_all, vocab, id_col)
+def idf_of(df, n_docs: int, params: VectorizerParams):
+    """F6, F7 for the document frequency ``df``."""
+    n = F.lit(float(n_docs))
+    return (F.log((n + 1.0) / (df + 1.0)) if params.smooth_idf else F.log(n / df)) + 1.0
+
+
+def block_features(df: DataFrame, id_col: str, texts: list[tuple[str, VectorizerParams]], fit, n_fit: int) -> tuple[DataFrame, int]:
+    """a vocabulary per text column, blocks side by side, in one pass.
+
+    All columns are counted together; numbering the terms by (block, term) gives
+    every block its own index range at once. ``fit`` is the column of ``df`` that
+    marks the ``n_fit`` rows to fit on. Returns (id, idx, value) and the width.
+    """
+    arrays = F.array(*[analyzer(c, p.ngram_range, p.stop_words, p.lowercase) for c, p in texts])
+    terms = df.select(id_col, fit.alias("_fit"), *[c for c, _ in texts]).repartition(id_col) \
+        .select(id_col, "_fit", F.posexplode(arrays).alias("block", "_terms"))
+    tf = stored(terms.select(id_col, "_fit", "block", F.explode("_terms").alias("term"))
+                .groupBy(id_col, "_fit", "block", "term").agg(F.count(F.lit(1)).alias("tf")), "block-counts")
+    dfreq = tf.where("_fit").groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"))
+
+    def per_block(make):
+        return F.element_at(F.array(*[make(p) for _, p in texts]), F.col("block") + 1)
+    vocab = with_row_index(dfreq, ["block", "term"], name="idx")
+    vocab = stored(vocab.select("block", "term", "idx", "df", per_block(
+        lambda p: idf_of(F.col("df"), n_fit, p) if p.use_idf else F.lit(1.0)).alias("idf")), "vocabulary")
+    met = hot_join(tf.drop("_fit"), vocab, ["block", "term"], "df", VOCABULARY_ROW_BYTES, id_col)
+    out = met.select(id_col, "block", "idx", (per_block(tf_weight) * F.col("idf")).alias("value"))
+    w, v = Window.partitionBy(id_col, "block"), F.col("value")
+    size = per_block(lambda p: {"l2": F.sqrt(F.sum(v * v).over(w)), "l1": F.sum(F.abs(v)).over(w), None: F.lit(1.0)}[p.norm])
+    return out.withColumn("value", F.when(size > 0, v / size).otherwise(v)).select(id_col, "idx", "value"), vocab.count()
 
 
 def keep_empty_rows(features: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:

@@ -28,7 +28,7 @@ def q_lr_tfidf(spark, sf):
 def q_pipeline_predict(spark, sf):
     docs = one_text(spark, sf)
     train, test = docs.where("split = 'train'"), docs.where("split = 'test'")
-    feats, width = text_features(docs, train, "count")
+    feats, width = text_features(docs, "count")
     tr = assemble(train.select("paper_id", "label"), feats, width, "paper_id")
     te = assemble(test.select("paper_id", "label"), feats, width, "paper_id")
     pred = fit_predict(MD.pipeline(MD.linear_regression()), tr, te)
@@ -83,9 +83,9 @@ def q_mlp_score(spark, sf):
     """M3 + M12 with given weights: TF-IDF (fitted on train) of every paper, 100
     units, one output; the weights are a table by vocabulary index."""
     docs = one_text(spark, sf)
-    train = docs.where("split = 'train'")
-    vocab = TF.fit_vocabulary(TF.term_frequencies(train, "paper_id", "text"), train.count())
-    features = TF.transform(TF.term_frequencies(docs, "paper_id", "text"), vocab, "paper_id")
+    tf = TF.counted_terms(docs, "paper_id", "text")
+    vocab = TF.fit_vocabulary(tf.where("split = 'train'"), docs.where("split = 'train'").count())
+    features = TF.transform(tf, vocab, "paper_id")
     weights = vocab.table.select("idx", "df", SC.rule_array(SC.HIDDEN, "(((7 * idx + 3 * u) % 13) - 6) / 50.0D").alias("w"))
     h = SC.sparse_layer(features, weights, docs, "paper_id", SC.rule_array(SC.HIDDEN, SC.HIDDEN_BIAS), SC.HIDDEN)
     out = SC.output_unit("h", SC.rule_array(SC.HIDDEN, SC.OUTPUT), SC.OUTPUT_BIAS)

@@ -55,7 +55,7 @@ def vocab_ctes(params: VectorizerParams, src: str = "txt", prefix: str = "") ->
     ]
 
 
-def weight_ctes(params: VectorizerParams, where: str = "split = 'train'",
+def weight_ctes(params: VectorizerParams, where: str = "paper_id IS NOT NULL",
                 prefix: str = "", inputs: str | None = None) -> list[str]:
     inp = prefix if inputs is None else inputs
     tfw = "(ln(CAST(tf AS DOUBLE)) + 1.0e0)" if params.sublinear_tf else "CAST(tf AS DOUBLE)"

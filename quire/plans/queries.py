@@ -163,31 +163,31 @@ def q_stopword_filter(spark, sf):
 
 
 def _fit_train(spark, sf, params=TF.TFIDF, text="text"):
+    """Papers, their counted terms, and the vocabulary of the train papers."""
     docs = one_text(spark, sf)
-    train = docs.where("split = 'train'")
-    tf_train = TF.term_frequencies(train, "paper_id", text, params)
-    vocab = TF.fit_vocabulary(tf_train, train.count(), params)
-    return docs, train, tf_train, vocab
+    tf = TF.counted_terms(docs, "paper_id", text, params)
+    vocab = TF.fit_vocabulary(tf.where("split = 'train'"), docs.where("split = 'train'").count(), params)
+    return docs, tf, vocab
 
 
 def q_vocabulary(spark, sf):
-    _, _, _, vocab = _fit_train(spark, sf)
+    _, _, vocab = _fit_train(spark, sf)
     return vocab.table.select("term", "idx", "df", round4("idf").alias("idf"))
 
 
 def q_idf_smooth(spark, sf):
-    _, _, _, vocab = _fit_train(spark, sf, TF.TFIDF)
+    _, _, vocab = _fit_train(spark, sf, TF.TFIDF)
     return vocab.table.select("term", round4("idf").alias("idf"))
 
 
 def q_idf_raw(spark, sf):
-    _, _, _, vocab = _fit_train(spark, sf, TF.VectorizerParams(smooth_idf=False))
+    _, _, vocab = _fit_train(spark, sf, TF.VectorizerParams(smooth_idf=False))
     return vocab.table.select("term", round4("idf").alias("idf"))
 
 
 def _weights(spark, sf, params):
-    _, _, tf_train, vocab = _fit_train(spark, sf, params)
-    out = TF.transform(tf_train, vocab, "paper_id")
+    _, tf, vocab = _fit_train(spark, sf, params)
+    out = TF.transform(tf, vocab, "paper_id")
     return out.select("paper_id", "term", "idx", round4("value").alias("value"))
 
 
@@ -214,23 +214,20 @@ def q_norm_l2(spark, sf):
 
 
 def q_tfidf_transform_test(spark, sf):
-    docs, _, _, vocab = _fit_train(spark, sf)
+    docs, tf, vocab = _fit_train(spark, sf)
     test = docs.where("split = 'test'")
-    tf_test = TF.term_frequencies(test, "paper_id", "text", TF.TFIDF)
-    feats = TF.keep_empty_rows(TF.transform(tf_test, vocab, "paper_id"), test, "paper_id")
+    feats = TF.keep_empty_rows(TF.transform(tf.where("split = 'test'"), vocab, "paper_id"), test, "paper_id")
     return feats.select("paper_id", "term", "idx", round4("value").alias("value"))
 
 
 def q_hash_vectorize(spark, sf):
-    docs = one_text(spark, sf)
-    tf = TF.term_frequencies(docs, "paper_id", "text", TF.TFIDF)
+    tf = TF.term_frequencies(one_text(spark, sf, split=False), "paper_id", "text", TF.TFIDF)
     out = hash_features(tf, "paper_id", DEFAULT_WIDTH, "l2")
     return out.select("paper_id", "idx", round4("value").alias("value"))
 
 
 def q_feature_union(spark, sf):
-    docs, _, _, vocab = _fit_train(spark, sf)
-    tf_all = TF.term_frequencies(docs, "paper_id", "text", TF.TFIDF)
+    _, tf_all, vocab = _fit_train(spark, sf)
     counts = TF.transform(tf_all, TF.FittedVocabulary(vocab.table, vocab.size, vocab.n_docs,
                                                       TF.COUNT), "paper_id")
     tfidf = TF.transform(tf_all, vocab, "paper_id")
@@ -245,32 +242,19 @@ def q_feature_union(spark, sf):
 COLUMN_TEXTS = ("kw", "title_t", "abstract_t", "venue")
 
 
-def column_features(tok: DataFrame, train: DataFrame, params_by_col=None):
+def column_features(tok: DataFrame, fit, params_by_col=None):
     """F23 + F24: one vocabulary per text column (lower-casing off), blocks side
-    by side, then year and citations unscaled. Returns (features, width)."""
+    by side, then year and citations unscaled. ``fit`` marks the rows to fit on.
+    Returns (features, width)."""
     params_by_col = params_by_col or {}
-    start = 0
-    blocks = []
-    for col in COLUMN_TEXTS:
-        p = params_by_col.get(col, TF.VectorizerParams(lowercase=False))
-        tf_tr = TF.term_frequencies(train, "paper_id", col, p)
-        vocab = TF.fit_vocabulary(tf_tr, train.count(), p)
-        tf_all = TF.term_frequencies(tok, "paper_id", col, p)
-        blocks.append(TF.offset(TF.transform(tf_all, vocab, "paper_id")
-                                .select("paper_id", "idx", "value"), start))
-        start += vocab.size
-    blocks.append(TF.numeric_block(tok, "paper_id", ["year", "n_citation"], start)
-                  .select("paper_id", "idx", "value"))
-    out = blocks[0]
-    for b in blocks[1:]:
-        out = out.unionByName(b)
-    return out, start + 2
+    texts = [(c, params_by_col.get(c, TF.VectorizerParams(lowercase=False))) for c in COLUMN_TEXTS]
+    blocks, width = TF.block_features(tok, "paper_id", texts, fit, tok.where(fit).count())
+    numbers = TF.numeric_block(tok, "paper_id", ["year", "n_citation"], width)
+    return blocks.unionByName(numbers.select("paper_id", "idx", "value")), width + 2
 
 
 def q_column_tfidf(spark, sf):
-    tok = tokenized(spark, sf)
-    train = tok.where("split = 'train'")
-    feats, _ = column_features(tok, train)
+    feats, _ = column_features(tokenized(spark, sf), F.col("split") == "train")
     return feats.select("paper_id", "idx", round4("value").alias("value"))
 
 

@@ -31,25 +31,24 @@ REGRESSORS_DEFAULT = ("lr",)
 NOT_TRAINED = {"mlp": "score given weights with quire.operators.scoring", "svr": "its kernels are not built"}
 
 
-def text_features(docs: DataFrame, train: DataFrame, vectorizer: str, id_col: str = "paper_id",
+def text_features(docs: DataFrame, vectorizer: str, id_col: str = "paper_id",
                   text_col: str = "text") -> tuple[DataFrame, int]:
     """Long-form features of ``docs`` for one of tfidf, count, hash, union,
-    fitted on ``train``. Returns (features, width)."""
+    fitted on the rows whose ``split`` is train. Returns (features, width)."""
     if vectorizer not in VECTORIZERS:
         raise ValueError(f"unknown vectorizer {vectorizer!r}; choose one of {VECTORIZERS}")
-    tf_all = TF.term_frequencies(docs, id_col, text_col, TF.TFIDF)
+    tf = TF.counted_terms(docs, id_col, text_col, TF.TFIDF)
     if vectorizer == "hash":
-        return hash_features(tf_all, id_col, DEFAULT_WIDTH, "l2"), DEFAULT_WIDTH
-    tf_train = TF.term_frequencies(train, id_col, text_col, TF.TFIDF)
-    vocab = TF.fit_vocabulary(tf_train, train.count(), TF.TFIDF)
+        return hash_features(tf, id_col, DEFAULT_WIDTH, "l2"), DEFAULT_WIDTH
+    vocab = TF.fit_vocabulary(tf.where("split = 'train'"), docs.where("split = 'train'").count(), TF.TFIDF)
     counts_vocab = TF.FittedVocabulary(vocab.table, vocab.size, vocab.n_docs, TF.COUNT)
-    tfidf = TF.transform(tf_all, vocab, id_col).select(id_col, "idx", "value")
+    tfidf = TF.transform(tf, vocab, id_col).select(id_col, "idx", "value")
     if vectorizer == "tfidf":
         return tfidf, vocab.size
-    counts = TF.transform(tf_all, counts_vocab, id_col).select(id_col, "idx", "value")
+    counts = TF.transform(tf, counts_vocab, id_col).select(id_col, "idx", "value")
     if vectorizer == "count":
         return counts, vocab.size
-    hashed = hash_features(tf_all, id_col, DEFAULT_WIDTH, "l2")
+    hashed = hash_features(tf, id_col, DEFAULT_WIDTH, "l2")
     v = vocab.size
     union = (tfidf.unionByName(TF.offset(counts, v))
              .unionByName(TF.offset(hashed.select(id_col, "idx", "value"), 2 * v)))
@@ -78,7 +77,7 @@ def run_default(spark: SparkSession, sf_dir: str | None, vectorizer: str = "tfid
     docs = one_text(spark, sf_dir) if docs is None else docs
     train = docs.where("split = 'train'")
     test = docs.where("split = 'test'")
-    feats, width = text_features(docs, train, vectorizer)
+    feats, width = text_features(docs, vectorizer)
     train_rows = assemble(train.select("paper_id", "label"), feats, width, "paper_id")
     test_rows = assemble(test.select("paper_id", "label"), feats, width, "paper_id")
     pred = fit_predict(make_estimator(regressor), train_rows, test_rows)
@@ -176,7 +175,7 @@ def _grid_inputs(tok_train: DataFrame, tok_eval: DataFrame, setting: dict):
     from quire.plans.queries import column_features
     abstract = _vect_params(setting) if setting else TF.VectorizerParams(lowercase=False)
     both = tok_train.unionByName(tok_eval)
-    feats, width = column_features(both, tok_train, {"abstract_t": abstract})
+    feats, width = column_features(both, F.col("_part") == "fit", {"abstract_t": abstract})
     rows = durable(assemble(both.select("paper_id", "label", "_part"), feats, width, "paper_id"))
     return rows.where("_part = 'fit'"), rows.where("_part = 'eval'"), width
 
