@@ -89,3 +89,25 @@ def cross_validate_least_squares(df: DataFrame, features: list[str], intercepts=
     whole = sum(per.values())
     return [{"candidate": c, "fold": f, **scores(per[f], solve(whole - per[f], intercept))}
             for c, intercept in enumerate(intercepts) for f in sorted(per)]
+
+
+def vector_matrix(df: DataFrame, features: str = "features", label: str = "label") -> tuple[np.ndarray, int]:
+    """The summed z z' of a vector column and a label, and z's length; tasks sum
+    their rows in numpy. Without rows: an empty matrix and 0."""
+    import pyarrow as pa
+
+    def run(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)
+                z = np.concatenate([np.ones((len(x), 1)), x, b.column("y").to_numpy()[:, None]], axis=1)
+                total = z.T @ z if total is None else total + z.T @ z
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([len(total)], pa.int32()), pa.array([pack(total)], pa.list_(pa.float64()))],
+                                             ["size", "gram"])
+    rows = df.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
+    found = sum_matrices(rows.mapInArrow(run, "size int, gram array<double>"), ["size"]).collect()
+    if not found:
+        return np.zeros((0, 0)), 0
+    return unpack(found[0]["gram"], found[0]["size"]), found[0]["size"]

@@ -3,18 +3,20 @@ of the papers, the grid search, and the perceptron with given weights."""
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from quire.operators import fold_search as FS
 from quire.operators import models as MD
+from quire.operators import pipeline as PL
 from quire.operators import scoring as SC
 from quire.operators import tfidf as TF
 from quire.operators.search import staged_scores
 from quire.operators.splits import fold_of
-from quire.operators.vectors import assemble
-from quire.plans.common import one_text, papers, round4
-from quire.plans.runs import fit_predict, run_default, run_grid, text_features
-from quire.session import durable
+from quire.plans.common import one_text, papers, round4, tokenized
+from quire.plans.runs import fit_predict, run_default, run_grid
+from quire.session import durable, scratch_path
 from quire.sources.papers import load_table
 
 #: Above the number of distinct years and citation counts, so that no column is binned.
@@ -26,12 +28,13 @@ def q_lr_tfidf(spark, sf):
 
 
 def q_pipeline_predict(spark, sf):
-    docs = one_text(spark, sf)
-    train, test = docs.where("split = 'train'"), docs.where("split = 'test'")
-    feats, width = text_features(docs, "count")
-    tr = assemble(train.select("paper_id", "label"), feats, width, "paper_id")
-    te = assemble(test.select("paper_id", "label"), feats, width, "paper_id")
-    pred = fit_predict(MD.pipeline(MD.linear_regression()), tr, te)
+    """The set-3 pipeline (per-column TF-IDF in signed buckets, numbers, least
+    squares) fitted on the train papers, saved, loaded, applied to the test papers."""
+    tok = tokenized(spark, sf)
+    stages = [PL.TextBlocks(inputCols=list(FS.TEXTS), numericCols=list(FS.NUMBERS), width=FS.WIDTH), PL.LeastSquares()]
+    path = scratch_path(spark, "pipeline")
+    Pipeline(stages=stages).fit(tok.where("split = 'train'")).save(path)
+    pred = PipelineModel.load(path).transform(tok.where("split = 'test'"))
     return pred.select("paper_id", round4("prediction").alias("prediction"))
 
 

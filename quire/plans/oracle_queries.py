@@ -561,6 +561,31 @@ def _cv_pipeline_sql(width: int = 8, k: int = 4) -> str:
 SQL["cv_pipeline"] = _cv_pipeline_sql()
 
 
+def _pipeline_predict_sql(width: int = 8) -> str:
+    ctes, zeros = [TOK], f"list_transform(range({width}), lambda b: 0.0e0)"
+    p = VectorizerParams(lowercase=False)
+    for i, text in enumerate(("kw", "title_t", "abstract_t", "venue")):
+        pre = f"c{i}_"
+        ctes += terms_ctes(p, src="tok", text=text, prefix=pre) + vocab_ctes(p, src="tok", prefix=pre) + weight_ctes(p, prefix=pre)
+        ctes += [f"{pre}h AS (SELECT paper_id, value, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS h FROM "
+                 f"(SELECT *, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) AS u FROM {pre}w))",
+                 f"{pre}s AS (SELECT paper_id, abs(h) % {width} AS b, sum(CASE WHEN h >= 0 THEN value ELSE -value END) AS v FROM {pre}h GROUP BY ALL)",
+                 f"{pre}x AS (SELECT p.paper_id, list(coalesce(v, 0.0e0) ORDER BY t.b) AS x FROM (SELECT DISTINCT paper_id FROM {pre}s) p "
+                 f"CROSS JOIN range({width}) t(b) LEFT JOIN {pre}s s ON s.paper_id = p.paper_id AND s.b = t.b GROUP BY p.paper_id)"]
+    parts = [f"coalesce(c{i}_x.x, {zeros})" for i in range(4)] + ["[CAST(year AS DOUBLE), CAST(n_citation AS DOUBLE), label]"]
+    z = "[1.0e0]"
+    for part in parts:
+        z = f"list_concat({z}, {part})"
+    joins = " ".join(f"LEFT JOIN c{i}_x ON c{i}_x.paper_id = tok.paper_id" for i in range(4))
+    ctes.append(f"zr AS (SELECT 0 AS g0, tok.paper_id, CAST(split = 'test' AS INTEGER) AS out, {z} AS z FROM tok {joins})")
+    ctes += least_squares_ctes("zr", "g0")
+    return W(*ctes).replace("WITH ", "WITH RECURSIVE ", 1) + (
+        "SELECT paper_id, round(list_dot_product(w, z[1:len(z) - 1]), 4) AS prediction FROM zr, fit WHERE out = 1 AND icept")
+
+
+SQL["pipeline_predict"] = _pipeline_predict_sql()
+
+
 # ---------------------------------------------------------------------------
 # typed values and rejected records
 # ---------------------------------------------------------------------------
