@@ -2,9 +2,10 @@
 
 Documents are counted by source and exact length. A source's target is made of
 whole passes over it and a remaining budget. Of that budget every length first
-gives its proportional number of documents; what is then left is fitted by a
-bounded-knapsack dynamic programme over the counts of unused documents per
-length. Documents are chosen by seeded hash order within their source and
+gives its proportional number of documents, seeded draws decide for the parts of
+documents that are left, whatever their lengths, and the last few thousand words
+are fitted by a bounded-knapsack dynamic programme over the counts of unused
+documents per length. Documents are chosen by seeded hash order within their source and
 length, cut into sub-ranges of the hash so that no single task ranks a large
 group.
 """
@@ -26,9 +27,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
 #: Documents that one task ranks at a time within a source and length.
 RANKED_TOGETHER = 4096
-#: Largest budget left to the dynamic programme, in words; larger rests are
-#: first brought below it by whole documents, longest first.
-KNAPSACK_BUDGET = 1 << 18
+#: Words that seeded draws leave to the dynamic programme.
+TAIL = 1 << 13
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -56,49 +56,38 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> Data
                     .otherwise(F.col("w") * F.lit(level)).alias("target"))
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int,
-                knapsack: int = KNAPSACK_BUDGET) -> np.ndarray:
-    """How many documents of each length to take, at most ``counts``, so that
-    their words come as near to ``budget`` as the programme finds, never above."""
-    total = int((lengths * counts).sum())
-    if budget <= 0 or not total:
-        return np.zeros(len(lengths), dtype=np.int64)
-    if budget >= total:
-        return counts.copy()
-    # floats only propose; the integers below decide
-    take = np.minimum(counts, np.floor(counts * (budget / total)).astype(np.int64))
-    rest = budget - int((lengths * take).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:  # longest first, until the rest suits the programme
-        if rest <= knapsack or lengths[i] == 0:
-            break
-        more = min(int(counts[i] - take[i]), (rest - knapsack // 2) // int(lengths[i]))
-        if more > 0:
-            take[i] += more
-            rest -= more * int(lengths[i])
-    while rest < 0:  # a float may have proposed one too many
-        i = np.flatnonzero((take > 0) & (lengths > 0))[0]
-        take[i] -= 1
-        rest += int(lengths[i])
-    # Bounded knapsack: pieces of 1, 2, 4 ... documents of a length; ``via``
-    # keeps the piece that first reached a sum.
-    rest = min(rest, knapsack)
-    via = np.full(rest + 1, -1, dtype=np.int64)
-    reached = np.zeros(rest + 1, dtype=bool)
+def draws(lengths: np.ndarray, seed: int) -> np.ndarray:
+    """A seeded number in (0, 1) for every length."""
+    with np.errstate(over="ignore"):
+        x = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed % 2 ** 64) * np.uint64(0xD1342543DE82EF95)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+
+
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, order) -> np.ndarray:
+    """How many documents of each length, at most ``counts``, add up to the
+    largest sum of words not above ``budget``; of equal sums, the one first
+    reached when lengths are tried in ``order``. Bounded knapsack: pieces of 1, 2,
+    4 ... documents of a length; ``via`` keeps the piece that first reached a sum."""
+    via = np.full(budget + 1, -1, dtype=np.int64)
+    reached = np.zeros(budget + 1, dtype=bool)
     reached[0] = True
     pieces = []
     for i in order:
-        left, step, size = int(counts[i] - take[i]), 1, int(lengths[i])
-        while left and size and size * min(step, left) <= rest and not reached[rest]:
+        left, step, size = int(counts[i]), 1, int(lengths[i])
+        left = min(left, budget // size) if size else 0
+        while left and not reached[budget]:
             n = min(step, left)
-            new = np.zeros(rest + 1, dtype=bool)
-            new[n * size:] = reached[:rest + 1 - n * size]
+            new = np.zeros(budget + 1, dtype=bool)
+            new[n * size:] = reached[:budget + 1 - n * size]
             new &= ~reached
             via[new] = len(pieces)
             pieces.append((i, n))
             reached |= new
             left -= n
             step *= 2
+    take = np.zeros(len(lengths), dtype=np.int64)
     at = int(np.flatnonzero(reached)[-1])
     while at:
         i, n = pieces[via[at]]
@@ -107,7 +96,54 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int,
     return take
 
 
-def _fit(most: int, knapsack: int):
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 42, tail: int = TAIL) -> np.ndarray:
+    """How many documents of each length to take, at most ``counts``, so that
+    their words come as near to ``budget`` as the programme finds, never above.
+
+    Every length gives its proportional number, rounded down. What the rounding
+    leaves of a length, a part of one document, is drawn for systematically: the
+    parts are laid end to end from the shortest length to the longest, and a
+    length is taken where its part holds one of the marks, a document apart from
+    a seeded start. So each is taken with the chance of its part, and no range of
+    lengths gets more than one document too many. Lengths in the order of a second
+    draw then leave or join until about ``tail`` words are open, which the
+    knapsack fills, trying lengths in the same order.
+    """
+    total = int((lengths * counts).sum())
+    if budget <= 0 or not total:
+        return np.zeros(len(lengths), dtype=np.int64)
+    if budget >= total:
+        return counts.copy()
+    # floats only propose; the integers below decide
+    share = counts * (budget / total)
+    take = np.minimum(counts, np.floor(share).astype(np.int64))
+    rest = budget - int((lengths * take).sum())
+    while rest < 0:  # a float may have proposed one too many
+        i = np.flatnonzero((take > 0) & (lengths > 0))[0]
+        take[i] -= 1
+        rest += int(lengths[i])
+    by_draw = np.argsort(draws(lengths, seed), kind="stable")
+    part = np.where(lengths > 0, share - np.floor(share), 0.0)
+    ends = np.cumsum(part) + draws(np.zeros(1), seed + 1)[0]
+    drawn = (np.floor(ends) > np.floor(ends - part)) & (take < counts) & (lengths > 0)
+    rest -= int(lengths[drawn].sum())
+    for i in by_draw[drawn[by_draw]]:
+        if rest >= 0:
+            break
+        drawn[i] = False
+        rest += int(lengths[i])
+    take += drawn
+    for i in by_draw:
+        if rest <= tail:
+            break
+        if part[i] > 0 and not drawn[i] and take[i] < counts[i] and int(lengths[i]) <= rest - tail // 2:
+            take[i] += 1
+            rest -= int(lengths[i])
+    # Longer rests are left only where every open length is longer still.
+    return take + knapsack(lengths, counts - take, rest, by_draw)
+
+
+def _fit(most: int, seed: int):
     def fit(table: pa.Table) -> pa.Table:
         t = table.sort_by("size")
         lengths = t.column("size").to_numpy().astype(np.int64)
@@ -115,7 +151,7 @@ def _fit(most: int, knapsack: int):
         whole = int(t.column("source_size")[0].as_py())
         want = int(round(t.column("target")[0].as_py()))
         passes = min(most, want // whole) if whole else 0
-        extra = fit_lengths(lengths, counts, want - passes * whole, knapsack) if passes < most \
+        extra = fit_lengths(lengths, counts, want - passes * whole, seed) if passes < most \
             else np.zeros(len(lengths), np.int64)
         return pa.table({"source": t.column("source"), "size": t.column("size"), "n": t.column("n"),
                          "source_size": t.column("source_size"), "target": t.column("target"),
@@ -125,7 +161,7 @@ def _fit(most: int, knapsack: int):
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, most: int = MOST_REPEATS, seed: int = 42, knapsack: int = KNAPSACK_BUDGET) -> DataFrame:
+        weights=WEIGHTS, most: int = MOST_REPEATS, seed: int = 42) -> DataFrame:
     """One row per row of ``df``: ``id_col``, ``source``, ``size`` (words),
     ``source_size``, ``target``, ``taken``.
 
@@ -136,10 +172,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     an empty result; other columns are ignored. Equal tables read in equal
     files give equal mixes.
     """
-    return _mix(df, id_col, text_col, source_col, weights, most, seed, knapsack, [])
+    return _mix(df, id_col, text_col, source_col, weights, most, seed, [])
 
 
-def _mix(df, id_col, text_col, source_col, weights, most, seed, knapsack, more: list[Column]) -> DataFrame:
+def _mix(df, id_col, text_col, source_col, weights, most, seed, more: list[Column]) -> DataFrame:
     """:func:`mix`, with ``more`` columns of ``df`` in its rows."""
     ship_package(df.sparkSession)
     names = df.select(*more).columns
@@ -153,7 +189,7 @@ def _mix(df, id_col, text_col, source_col, weights, most, seed, knapsack, more:
     joined = counts.join(wanted.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     kind = docs.schema["source"].dataType.simpleString()
     plan = joined.groupBy("source").applyInArrow(
-        _fit(most, knapsack), f"source {kind}, size long, n long, source_size long, target double, "
+        _fit(most, seed), f"source {kind}, size long, n long, source_size long, target double, "
         "passes int, extra long")
     plan = stored(plan.withColumn("parts", F.ceil(F.col("n") / F.lit(RANKED_TOGETHER)).cast("long")), "mix-plan")
     rows = salted_join(docs, plan, ["source", "size"], "inner")
@@ -200,7 +236,7 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def _mixed_unclear(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     keys = ["_taken_id", "_taken_source", "_taken_sha"]
-    taken = _mix(df, id_col, text_col, source_col, WEIGHTS, MOST_REPEATS, 42, KNAPSACK_BUDGET,
+    taken = _mix(df, id_col, text_col, source_col, WEIGHTS, MOST_REPEATS, 42,
                  [text_sha(text_col).alias("_taken_sha")]).where("size > 0")
     taken = taken.select(col(id_col).alias("_taken_id"), F.col("source").alias("_taken_source"), "_taken_sha",
                          F.expr("taken div size").alias("_times"))

@@ -4,7 +4,7 @@ import math
 import random
 import re
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -13,7 +13,7 @@ from quire.llm import passage_dedup as passages
 from quire.llm.common import id_text
 from quire.llm.components import components
 from quire.llm.embedding_dedup import embedding_dedup
-from quire.llm.mixing import fit_lengths, mix, mixed_rows
+from quire.llm.mixing import fit_lengths, knapsack, mix, mixed_rows
 from quire.llm.ngram_join import keep_one_of_group, ngram_join
 from quire.llm.passage_dedup import bands_for, passage_dedup
 from quire.llm.warc import (ArchiveWriter, WarcError, build_record, parse_record, read_archive,
@@ -79,17 +79,37 @@ def test_ngram_join_against_all_pairs(frame, empty):
     assert ngram_join(empty).collect() == [] and keep_one_of_group(empty).collect() == []
 
 
-def test_fit_lengths_reaches_the_budget():
+def test_knapsack_finds_the_best_sum():
     rng = np.random.default_rng(4)
-    for _ in range(60):
-        lengths = np.sort(rng.choice(np.arange(1, 60), rng.integers(1, 12), replace=False))
-        counts = rng.integers(1, 9, len(lengths))
-        budget = int(rng.integers(0, (lengths * counts).sum() + 1))
-        take = fit_lengths(lengths, counts, budget)
-        assert (take >= 0).all() and (take <= counts).all() and (lengths * take).sum() <= budget
-        if 1 in lengths and counts[0] >= 60 or (lengths * counts).sum() == budget:
-            assert (lengths * take).sum() == budget
-    assert fit_lengths(np.array([7]), np.array([10**6]), 7 * 999_999, 1000).tolist() == [999_999]
+    for _ in range(80):
+        lengths = np.sort(rng.choice(np.arange(0, 60), rng.integers(1, 6), replace=False))
+        counts = rng.integers(0, 4, len(lengths))
+        budget = int(rng.integers(0, (lengths * counts).sum() + 9))
+        sums = {sum(n * int(x) for n, x in zip(way, lengths)) for way in product(*[range(c + 1) for c in counts])}
+        order = rng.permutation(len(lengths))
+        take = knapsack(lengths, counts, budget, order)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert (lengths * take).sum() == max(x for x in sums if x <= budget)
+
+
+def test_fit_lengths_takes_all_lengths_alike():
+    rng = np.random.default_rng(7)
+    for share in (0.1, 0.36, 0.8):
+        for lengths, counts in ((np.arange(1, 20001), np.ones(20000, int)),
+                                (np.unique(rng.lognormal(5.5, 1, 4000).astype(int)), None)):
+            counts = rng.integers(1, 40, len(lengths)) // np.maximum(1, lengths // 50) + 1 if counts is None else counts
+            budget = int(share * (lengths * counts).sum())
+            take = fit_lengths(lengths, counts, budget)
+            assert (take >= 0).all() and (take <= counts).all()
+            assert budget - 1 <= (lengths * take).sum() <= budget
+            words = np.cumsum(lengths * counts) / (lengths * counts).sum()
+            for some in (words <= 0.5, words > 0.5, words > 0.9):
+                near = 2 * lengths[some].max() / (lengths * counts)[some].sum() + 0.05
+                assert abs((lengths * take)[some].sum() / (lengths * counts)[some].sum() - share) < near
+            again = fit_lengths(lengths, counts, budget, seed=43)
+            assert (again != take).any() and (fit_lengths(lengths, counts, budget) == take).all()
+    assert fit_lengths(np.array([7]), np.array([10**6]), 7 * 999_999).tolist() == [999_999]
+    assert fit_lengths(np.array([0, 5]), np.array([3, 2]), 4)[1] == 0
 
 
 def test_mix(frame, empty):
