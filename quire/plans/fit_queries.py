@@ -7,6 +7,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from quire.functions import analyzers as AZ
 from quire.operators import fold_search as FS
 from quire.operators import models as MD
 from quire.operators import pipeline as PL
@@ -14,13 +15,10 @@ from quire.operators import scoring as SC
 from quire.operators import tfidf as TF
 from quire.operators.search import staged_scores
 from quire.operators.splits import fold_of
-from quire.plans.common import one_text, papers, round4, tokenized
-from quire.plans.runs import fit_predict, run_default, run_grid
+from quire.plans.common import one_text, round4, tokenized
+from quire.plans.runs import run_default, run_grid
 from quire.session import durable, scratch_path
-from quire.sources.papers import load_table
-
-#: Above the number of distinct years and citation counts, so that no column is binned.
-MAX_BINS = 128
+from quire.sources.papers import load_table, paper_numbers
 
 
 def q_lr_tfidf(spark, sf):
@@ -38,12 +36,28 @@ def q_pipeline_predict(spark, sf):
     return pred.select("paper_id", round4("prediction").alias("prediction"))
 
 
+NUMERIC = ["year", "n_citation", "n_kw", "n_title", "n_abstract", "n_venue"]
+
+
+def numeric_rows(spark, sf):
+    """Year, citations and the term counts of the four texts of every paper, as a
+    vector, and the bins that a tree needs to see every distinct value."""
+    tok = tokenized(spark, sf, split=False)
+    counts = [F.size(AZ.analyze(c, False)).alias(n) for c, n in zip(FS.TEXTS, NUMERIC[2:])]
+    numbers, n_train = paper_numbers(spark, sf)
+    # Texts stay where they are: only numbers meet the row numbers.
+    rows = tok.select("paper_id", "label", "year", "n_citation", *counts).join(numbers, "paper_id") \
+        .withColumn("split", F.when(F.col("rn") < n_train, "train").otherwise("test"))
+    rows = durable(VectorAssembler(inputCols=NUMERIC, outputCol="features").transform(rows))
+    distinct = rows.agg(*[F.countDistinct(c) for c in NUMERIC]).first()
+    return rows, max(2, max(distinct) + 1)
+
+
 def _numeric_predictions(spark, sf, estimator):
-    """Fit on year and citations of all train papers; predictions of all test papers."""
-    rows = papers(spark, sf, split=True, labels=True).select("paper_id", "split", "label", "year", "n_citation")
-    rows = durable(VectorAssembler(inputCols=["year", "n_citation"], outputCol="features").transform(rows))
-    pred = fit_predict(estimator.setMaxBins(MAX_BINS), rows.where("split = 'train'"), rows.where("split = 'test'"))
-    return pred.select("paper_id", round4("prediction").alias("prediction"))
+    """Fit on the numbers of all train papers; predictions of all test papers."""
+    rows, bins = numeric_rows(spark, sf)
+    model = estimator.setMaxBins(bins).fit(rows.where("split = 'train'"))
+    return model.transform(rows.where("split = 'test'")).select("paper_id", round4("prediction").alias("prediction"))
 
 
 def q_rf_fit(spark, sf):
@@ -59,15 +73,15 @@ def q_gbt_eta_fit(spark, sf):
 
 
 def q_gb_staged_cv(spark, sf):
-    """G2 over the number of boosted trees on year and citations: one fit a fold
-    scores all of them."""
-    rows = papers(spark, sf, split=True, rn=True, labels=True).where("split = 'train'")
-    rows = rows.withColumn("fold", fold_of("rn", rows.count(), 4)).select("fold", "label", "year", "n_citation")
-    rows = durable(VectorAssembler(inputCols=["year", "n_citation"], outputCol="features").transform(rows))
+    """G2 over the number of boosted trees on the numbers: one fit a fold scores
+    all of them."""
+    rows, bins = numeric_rows(spark, sf)
+    rows = rows.where("split = 'train'")
+    rows = rows.withColumn("fold", fold_of("rn", rows.count(), 4))
     settings = [{"n_estimators": n, "max_depth": 1} for n in (1, 2, 3)]
     scored = []
     for fold in range(4):
-        one = staged_scores(lambda **p: MD.gradient_boosting(**p).setMaxBins(MAX_BINS), settings,
+        one = staged_scores(lambda **p: MD.gradient_boosting(**p).setMaxBins(bins), settings,
                             rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold))
         scored += [(r["candidate"], fold, r["r2"]) for r in one]
     return spark.createDataFrame(scored, "candidate int, fold int, r2 double").select("candidate", "fold", round4("r2").alias("r2"))

@@ -403,37 +403,38 @@ SQL["dense_score"] = W(
 
 
 def _stumps_ctes(rates: list[float], fitted: str, pre: str = "") -> list[str]:
-    """Boosted trees of depth 1 on year and citations, fitted on the rows of
-    ``r0`` where ``fitted``: the first fits the label, each later one twice what
+    """Boosted trees of depth 1 on six numbers, fitted on the rows of ``r0``
+    where ``fitted``: the first fits the label, each later one twice what
     is left (the squared loss's gradient)."""
     ctes = []
     for i, rate in enumerate(rates):
         left, rows = "y" if i == 0 else "2 * (y - f)", "r0" if i == 0 else f"{pre}r{i}"
         v, c, b = f"{pre}v{i}", f"{pre}c{i}", f"{pre}b{i}"
         ctes += [
-            f"{v} AS (SELECT c, x, count(*) AS n, sum(t) AS s FROM (SELECT unnest([0, 1]) AS c, unnest([x0, x1]) AS x, "
+            f"{v} AS (SELECT c, x, count(*) AS n, sum(t) AS s FROM (SELECT unnest(range(6)) AS c, unnest(xs) AS x, "
             f"{left} AS t FROM {rows} WHERE {fitted}) GROUP BY c, x)",
             f"{c} AS (SELECT c, x, (x + lead(x) OVER w) / 2 AS cut, sum(n) OVER w AS nl, sum(s) OVER w AS sl, "
             f"sum(n) OVER (PARTITION BY c) AS n, sum(s) OVER (PARTITION BY c) AS s FROM {v} "
             f"WINDOW w AS (PARTITION BY c ORDER BY x))",
             f"{b} AS (SELECT c, cut, sl / nl AS lo, (s - sl) / (n - nl) AS hi FROM {c} WHERE cut IS NOT NULL "
             f"ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, c, cut LIMIT 1)",
-            f"{pre}r{i + 1} AS (SELECT {rows}.* REPLACE (f + {rate}e0 * CASE WHEN (CASE WHEN c = 0 THEN x0 ELSE x1 END) "
+            f"{pre}r{i + 1} AS (SELECT {rows}.* REPLACE (f + {rate}e0 * CASE WHEN xs[c + 1] "
             f"<= cut THEN lo ELSE hi END AS f) FROM {rows}, {b})"]
     return ctes
 
 
-NUMERIC_ROWS = ("r0 AS (SELECT paper_id, split, rn, CAST(year AS DOUBLE) AS x0, CAST(n_citation AS DOUBLE) AS x1, "
-                "label AS y, 0.0e0 AS f FROM papers)")
+_COUNTS = ", ".join(f"CAST(len({analyzer_sql(c, lowercase=False)[0]}) AS DOUBLE)" for c in ("kw", "title_t", "abstract_t", "venue"))
+NUMERIC_ROWS = (f"r0 AS (SELECT paper_id, split, rn, [CAST(year AS DOUBLE), CAST(n_citation AS DOUBLE), {_COUNTS}] AS xs, "
+                "label AS y, 0.0e0 AS f FROM tok)")
 
 
 def _stumps_sql(rates: list[float]) -> str:
-    return W(NUMERIC_ROWS, *_stumps_ctes(rates, "split = 'train'")) + (
+    return W(TOK, NUMERIC_ROWS, *_stumps_ctes(rates, "split = 'train'")) + (
         f"SELECT paper_id, round(f, 4) AS prediction FROM r{len(rates)} WHERE split = 'test'")
 
 
 def _staged_cv_sql(rates: list[float], k: int = 4) -> str:
-    ctes = [NUMERIC_ROWS.replace("r0 AS", "ra AS"), "nt AS (SELECT count(*) AS n FROM ra WHERE split = 'train')",
+    ctes = [TOK, NUMERIC_ROWS.replace("r0 AS", "ra AS"), "nt AS (SELECT count(*) AS n FROM ra WHERE split = 'train')",
             f"r0 AS (SELECT ra.*, CASE WHEN rn < (n % {k}) * (n // {k} + 1) THEN rn // (n // {k} + 1) "
             f"ELSE n % {k} + (rn - (n % {k}) * (n // {k} + 1)) // (n // {k}) END AS fold FROM ra, nt WHERE split = 'train')"]
     parts = []
