@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import shingles as S
 from quire.llm.common import col, released, small, text_sha, unclear_ids
+from quire.operators.least_squares import sum_matrices
 from quire.session import ship_package, stored
 from quire.sources.papers import load_table
 
@@ -107,12 +108,6 @@ def _normal_sums(frames, kernel: Kernel):
         yield pd.DataFrame({"fold": int(fold), "i": np.arange(len(m)), "sums": list(m)})
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    total = np.sum([np.asarray(x) for x in table.column("sums").to_pylist()], axis=0)
-    return pa.table({"fold": table.column("fold")[:1].combine_chunks(), "i": table.column("i")[:1].combine_chunks(),
-                     "sums": pa.array([total], pa.list_(pa.float64()))})
-
-
 def _solve(m: np.ndarray, ridge: float) -> np.ndarray:
     a, b = m[:, :-1], m[:, -1]
     rows = max(a[-1, -1], 1.0)  # the last feature is constant
@@ -171,8 +166,9 @@ def _scores(df, labels, id_col="doc_id", text_col="text", label_col="quality", t
         .where("quality is not null"), "_id"), "quality-labelled")
 
     size = features + len(STATISTICS) + 1
-    sums = (known.mapInPandas(lambda it: _normal_sums(it, kernel), "fold int, i int, sums array<double>")
-            .groupBy("fold", "i").applyInArrow(_add_up, "fold int, i int, sums array<double>").collect())
+    parts = known.mapInPandas(lambda it: _normal_sums(it, kernel), "fold int, i int, sums array<double>")
+    # partitions' sums are added up in the JVM, map-side first
+    sums = sum_matrices(parts, ["fold", "i"], "sums").collect()
     per = {k: np.zeros((size, size + 1)) for k in range(1, FOLDS + 1)}
     for r in sums:
         per[r["fold"]][r["i"]] = r["sums"]
