@@ -27,7 +27,7 @@ from quire.sources.papers import load_table
 SAMPLE, PER_PIVOT, MOST_PIVOTS = 2048, 4096, 256
 #: Vectors of a block; a task joins two blocks.
 BLOCK = 2048
-SLACK = 1e-9
+SLACK = 1e-7
 
 
 def _prepare(batches):
