@@ -102,9 +102,9 @@ SQL["union_splits"] = W() + (
     "SELECT split, paper_id, rn FROM papers WHERE split = 'train' "
     "UNION ALL SELECT split, paper_id, rn FROM papers WHERE split = 'test'")
 SQL["split_counts"] = W() + "SELECT split, count(*) AS n FROM papers GROUP BY split"
-SQL["positional_split"] = W() + (
-    "SELECT paper_id, rn, CASE WHEN rn < 4000 THEN 'train' ELSE 'test' END AS part "
-    "FROM papers WHERE rn < 5000")
+SQL["positional_split"] = W("nt AS (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS n FROM papers)") + (
+    "SELECT paper_id, rn, CASE WHEN rn < n THEN 'train' ELSE 'test' END AS part "
+    "FROM papers, nt WHERE rn < n + n // 8")
 SQL["contiguous_folds"] = W(
     "tr AS (SELECT paper_id, rn FROM papers WHERE split = 'train')",
     "k AS (SELECT count(*) // 4 AS q, count(*) % 4 AS m FROM tr)") + (

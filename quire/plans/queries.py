@@ -17,7 +17,7 @@ from quire.operators.hashing import DEFAULT_WIDTH, hash_features
 from quire.operators.splits import contiguous_folds, positional_split
 from quire.plans.common import one_text, papers, round4, tokenized
 from quire.session import scratch_path
-from quire.sources.papers import load_table, read_papers_with_rejects, whole_number
+from quire.sources.papers import load_table, paper_numbers, read_papers_with_rejects, whole_number
 
 # ---------------------------------------------------------------------------
 # sources, rows, splits
@@ -76,7 +76,10 @@ def q_paper_rejects(spark, sf):
 
 
 def q_positional_split(spark, sf):
-    return positional_split(papers(spark, sf, rn=True), "rn", 4000, 1000).select("paper_id", "rn", "part")
+    """D3 with 80 % of the papers for training and the next 10 % for testing."""
+    numbers, n_train = paper_numbers(spark, sf)
+    split = positional_split(numbers, "rn", n_train, n_train // 8)
+    return split.select("paper_id", "rn", "part")
 
 
 def q_contiguous_folds(spark, sf):
