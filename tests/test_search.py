@@ -154,6 +154,29 @@ def test_least_squares_over_folds_equals_numpy(spark):
             assert got[c, f]["mse"] == pytest.approx((e @ e) / 20, abs=1e-7) and got[c, f]["n"] == 20
 
 
+@pytest.mark.parametrize("vectorizer", ["tfidf", "count", "hash", "union"])
+def test_set_1_equals_numpy_where_the_solution_is_unique(spark, vectorizer):
+    draw = random.Random(11)
+    words = ["graph", "plan", "mesh", "data", "model"]
+    rows = [(i, "train" if i < 60 else "test", " ".join(draw.choice(words) for _ in range(draw.randint(1, 9)))) for i in range(80)]
+    rows = [(i, s, 3.0 + 2 * t.count("graph") - t.count("mesh") + draw.random(), t) for i, s, t in rows]
+    docs = spark.createDataFrame(rows, "paper_id long, split string, label double, text string")
+    got = run_default(spark, None, vectorizer, docs=docs).first()
+    counts = np.array([[t.split().count(w) for w in words] for *_, t in rows], float)
+    train = np.array([s == "train" for _, s, *_ in rows])
+    df = (counts[train] > 0).sum(axis=0)
+    weighed = counts * (np.log(61 / (df + 1)) + 1)
+    signs = np.array([1.0 if hashed(w) >= 0 else -1.0 for w in words])
+    blocks = {"tfidf": weighed / np.linalg.norm(weighed, axis=1, keepdims=True), "count": counts,
+              "hash": counts * signs / np.linalg.norm(counts, axis=1, keepdims=True)}
+    x = np.hstack([np.ones((80, 1)), *(blocks.values() if vectorizer == "union" else [blocks[vectorizer]])])
+    y = np.array([r[2] for r in rows])
+    w = np.linalg.lstsq(x[train], y[train], rcond=None)[0]
+    e = y[~train] - x[~train] @ w
+    assert (got.n_train, got.n_val, got.n_test) == (60, 0, 20)
+    assert got.mse == pytest.approx((e @ e) / 20, abs=0.02) and got.mae == pytest.approx(np.abs(e).mean(), abs=0.02)
+
+
 def test_unknown_choices(spark):
     with pytest.raises(ValueError):
         run_grid(spark, None, "knn")
