@@ -32,7 +32,8 @@ def vectors_from_table(embeddings: DataFrame, word_index: DataFrame) -> DataFram
 def embedding_matrix(word_index: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """(idx, term, cnt, known, vec) for every indexed word."""
     v = vectors.select(F.col("word").alias("term"), F.col("vec").alias("_v"))
-    return (word_index.select("term", "idx", "cnt").join(v, "term", "left")
+    cnt = F.col("cnt") if "cnt" in word_index.columns else F.lit(1).cast("long")
+    return (word_index.select("term", "idx", cnt.alias("cnt")).join(v, "term", "left")
             .select("idx", "term", "cnt", F.col("_v").isNotNull().alias("known"),
                     F.coalesce(F.col("_v"), zeros(dim)).alias("vec")))
 
