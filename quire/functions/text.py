@@ -60,6 +60,19 @@ TOKEN_RULES = [
     ("TWICE", (r"(?i) ('t)(is|was)([^" + WORD + r"]|\z)", " {1} {2} {3}")),
 ]
 
+# What the last rules of the list come to in one engine with look-around: a
+# match starts at a rare letter instead of at every character, adjacent
+# occurrences need no second run, and the contractions of two words share one.
+# Texts are the same but for blanks next to blanks, which the token split drops.
+_LOOK_AROUND = {
+    r"([^' ])('[sS]|'[mM]|'[dD]|') ": (r"'(?<=[^' ]')([sSmMdD]?) ", " '{1} "),
+    r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ": (
+        r"(?=['nN])('(?:ll|LL|re|RE|ve|VE)|n't|N'T)(?<=[^' ](?:'(?:ll|LL|re|RE|ve|VE)|n't|N'T)) ", " {1} "),
+}
+_TWO_WORDS = (r"(?i)(?=[cgwl])(?<![" + WORD + r"])(can(?=not)|gon(?=na)|wan(?=na)|got(?=ta)|gim(?=me)|lem(?=me))"
+              r"(not|na|ta|me)(?![" + WORD + r"])", " {1} {2} ")
+FAST_RULES = [_LOOK_AROUND.get(p, (p, r)) for p, r in TOKEN_RULES if p != "TWICE"] + [_TWO_WORDS, TOKEN_RULES[-1]]
+
 # A token whose inner periods are split (T5): two or more non-period
 # characters then a period at the token start, or a period then two or more.
 PERIOD_TOKEN = r"^([^." + WS + r"]{2,}[.]|[.][^." + WS + r"]{2,})"
@@ -136,7 +149,7 @@ def symbol_split(col) -> Column:
 
 def treebank_text(col) -> Column:
     """T3+T4 rewrite chain, before splitting into tokens."""
-    return _apply_rules(_c(col), TOKEN_RULES)
+    return _apply_rules(_c(col), FAST_RULES)
 
 
 def treebank_tokens(col) -> Column:
@@ -159,9 +172,9 @@ def join_collapse(tokens: Column) -> Column:
 
 
 def normalize_ws(col) -> Column:
-    """Split on white space, drop empty tokens, join by one blank -- as two
-    regex passes instead of an array round trip."""
-    return F.regexp_replace(strip_ws(col), "[" + WS + "]+", " ")
+    """Split on white space, drop empty tokens, join by one blank. A single blank
+    is left as it is, so a regex match is made only where something changes."""
+    return F.trim(F.regexp_replace(_c(col), "[" + WS + "]{2,}|[" + WS + "&&[^ ]]", " "))
 
 
 def core_tokenize(col) -> Column:

@@ -58,3 +58,16 @@ def test_lower_ascii_is_ascii_and_idempotent(spark, s):
         TX.lower_ascii("t").alias("a"), TX.lower_ascii(TX.lower_ascii("t")).alias("b")).first()
     assert all(ord(c) < 128 for c in a)
     assert a == b
+
+
+def test_fast_rules_give_the_tokens_of_the_rule_list(spark):
+    import random
+    draw = random.Random(12)
+    parts = ["cannot", "Cannot", "gonna", "WANNA", "gotta", "lemme", "gimme", "'tis", "'Twas", "can", "not", "a", "'s", "n't", "N'T", "'ll", "'",
+             "''", '"', " ", " ", " ", "  ", "\t", "\u00a0", ".", "..", ",", "-", "é", "_", "don't", "x's", "it'll", "(", "]", "?", "n", "t", "was"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 14))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    slow = F.filter(F.split(TX._apply_rules(F.col("text"), TX.TOKEN_RULES), "[" + TX.WS + "]+", -1), lambda t: F.length(t) > 0)
+    wrong = df.select("text", slow.alias("a"), TX.treebank_tokens("text").alias("b"), TX.core_tokenize("text").alias("c"),
+                      TX.lower_ascii(TX.join_collapse(TX.split_periods(slow))).alias("d")).where("a <> b or c <> d")
+    assert wrong.collect() == []
