@@ -29,14 +29,6 @@ def q_lr_count(spark, sf):
     return run_default(spark, sf, "count", "lr")
 
 
-def q_lr_hash(spark, sf):
-    return run_default(spark, sf, "hash", "lr")
-
-
-def q_lr_union(spark, sf):
-    return run_default(spark, sf, "union", "lr")
-
-
 def q_pipeline_predict(spark, sf):
     """The set-3 pipeline (per-column TF-IDF in signed buckets, numbers, least
     squares) fitted on the train papers, saved, loaded, applied to the test papers."""
@@ -127,8 +119,6 @@ QUERIES = {
     "gb_staged_cv": q_gb_staged_cv,
     "lr_tfidf": q_lr_tfidf,
     "lr_count": q_lr_count,
-    "lr_hash": q_lr_hash,
-    "lr_union": q_lr_union,
     "pipeline_predict": q_pipeline_predict,
     "rf_fit": q_rf_fit,
     "gbt_fit": q_gbt_fit,
