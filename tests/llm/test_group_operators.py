@@ -279,7 +279,7 @@ def test_passage_links_lose_no_colliding_pair(frame):
             rows.append((len(rows), " ".join(line), "s"))
     docs = id_text(frame(rows), "doc_id", "text").repartition(7)
     units = docs.mapInArrow(lambda it: passages._paragraphs(it, bands_for(0.75)),
-                            "_id long, kind int, start int, end int, words int, cls long, bands array<long>").where("kind = 1").cache()
+                            "_id long, kind int, start int, end int, words int, cls long, n int, bands array<long>").where("kind = 1").cache()
     held = {r["cls"]: (r["_id"], set(enumerate(r["bands"]))) for r in units.collect()}
     assert len(held) == len(rows)
     sets = {c: shingles(texts[i]) for c, (i, _) in held.items()}
