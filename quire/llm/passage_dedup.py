@@ -82,6 +82,24 @@ def picks(s: np.ndarray, own: np.ndarray, width: int) -> np.ndarray:
     return at[~inner]
 
 
+def _once(s: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct hashes, in their order: one sort of plain numbers
+    finds the few that come again."""
+    x = S.mix(s ^ S.mix(own.astype(np.uint64)))
+    y = np.sort(x)
+    twice = np.unique(y[1:][y[1:] == y[:-1]])
+    if not len(twice):
+        return s, own
+    low, near = np.uint64(0xFFFF), np.zeros(1 << 16, dtype=bool)
+    near[twice & low] = True
+    again = np.flatnonzero(near[x & low])
+    again = again[twice[np.minimum(np.searchsorted(twice, x[again]), len(twice) - 1)] == x[again]]
+    again = again[np.argsort(x[again], kind="stable")]
+    keep = np.ones(len(s), dtype=bool)
+    keep[again[1:][x[again[1:]] == x[again[:-1]]]] = False
+    return s[keep], own[keep]
+
+
 def _minhash(s: np.ndarray, begin: np.ndarray, hashes: int) -> np.ndarray:
     return np.stack([np.minimum.reduceat(S.mix(s * _SEEDS[i]), begin) for i in range(hashes)], axis=1)
 
@@ -114,7 +132,7 @@ def _units(data, bounds, bands: int, least_words: int, k: int = 5):
         f, c = (np.cumsum(count) - count)[keep], count[keep]
         use = keep[unit]
         s, own, _ = S.shingle_hashes(h[use], (np.cumsum(keep) - 1)[unit[use]], len(f), k)
-        s, own = S.distinct(s, own)
+        s, own = _once(s, own)
         size, keys = S.set_keys(s, own, len(f))
         begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         m = _minhash(s, begin, bands * ROWS_PER_BAND)
@@ -161,7 +179,7 @@ def _sets(batches, bits: bool):
         for lo, hi in S.slices(bounds):
             h, row, _, _ = S.words(data[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo])
             s, own, _ = S.shingle_hashes(h, row, hi - lo)
-            s, own = S.distinct(s, own)
+            s, own = _once(s, own)
             size, keys = S.set_keys(s, own, hi - lo)
             if bits:
                 held = np.zeros((hi - lo, CELLS), dtype=bool)
@@ -254,7 +272,7 @@ def _near(units: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     links between members of a bucket connect: over the buckets' hubs, a few
     turns, then between what is still apart. Sizes and cells tell, without an
     error, most pairs below the threshold before any set is moved."""
-    long = units.where("kind = 1")
+    long = stored(units.where("kind = 1").select("cls", "n", "_id", "start", "end", "bands"), "passage-long")
     buckets = long.select("cls", "n", F.explode("bands").alias("h"))
     shared = stored(buckets.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
                     .where("lo <> hi").select("h"), "passage-buckets")

@@ -7,7 +7,9 @@ from collections import Counter
 from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import passage_dedup as passages
 from quire.llm.common import id_text
@@ -265,6 +267,56 @@ def test_picks_of_ties_are_few_and_leave_no_gap():
         assert {s[i:i + 25].min() for i in range(len(s) - 24)} == set(s[at])
 
 
+def test_hashes_of_a_row_once():
+    rng = np.random.default_rng(9)
+    for most in (1, 3, 50, 10**6):
+        own = np.sort(rng.integers(0, 40, 600))
+        s = rng.integers(0, most, 600).astype(np.uint64)
+        kept, rows = passages._once(s, own)
+        assert list(zip(rows, kept)) == list(dict.fromkeys(zip(own, s)))
+    assert len(passages._once(s[:0], own[:0])[0]) == 0
+
+
+def test_cells_bound_what_sets_share(spark):
+    """The bound from sizes and cells never falls below the true overlap, and
+    full cells or equal sets still pass."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        n, shared = rng.choice((1, 21, 300, 3000)), rng.random()
+        a = [f"a{i}w{j}" for j in range(n + 4)]
+        b = [w if rng.random() < shared else f"b{w}" for w in a]
+        rows.append((i, " ".join(a), " ".join(b)))
+    grams = [(i, shingles(a), shingles(b)) for i, a, b in rows]
+    docs = [(2 * i, a) for i, a, _ in rows] + [(2 * i + 1, b) for i, _, b in rows]
+    data, bounds = passages.S.buffer_of(pa.array([t for _, t in docs]))
+    h, row, _, _ = passages.S.words(data, bounds)
+    s, own, _ = passages.S.shingle_hashes(h, row, len(docs))
+    s, own = passages._once(s, own)
+    cls = passages.S.set_keys(s, own, len(docs))[1][:, 0].tolist()
+    key = {i: c for (i, _), c in zip(docs, cls)}
+    spans = [[{"start": 0, "end": len(t), "cls": key[i]}] for i, t in docs]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in docs]), pa.array(spans)], ["_text", "spans"])
+    bits = {c: g for out in passages._sets([batch], True) for c, g in zip(out[0].to_pylist(), out[1].to_pylist())}
+    assert set(bits) == set(cls)
+    pairs = spark.createDataFrame([(i, len(a), bits[key[2 * i]], len(b), bits[key[2 * i + 1]]) for i, a, b in grams],
+                                  "i int, na int, ca array<long>, nb int, cb array<long>")
+    most = {r["i"]: r["o"] for r in pairs.select("i", passages._most_shared(*[F.col(c) for c in ("na", "ca", "nb", "cb")])
+                                                 .alias("o")).collect()}
+    assert all(len(a & b) <= most[i] <= min(len(a), len(b)) for i, a, b in grams)
+
+
+def test_passage_documents_are_counted_exactly(frame):
+    """A passage of 3000 documents, some of which hold it twice or changed."""
+    words = [f"p{i}" for i in range(60)]
+    changed = words[:30] + ["other"] + words[31:]
+    rows = [(i, f"d{i}\n" + " ".join(words) + f"\ne{i}" + ("\n" + " ".join(changed) if i % 3 == 0 else "")
+             + ("\n" + " ".join(words) if i % 5 == 0 else ""), "s") for i in range(3000)]
+    out = passage_dedup(frame(rows)).collect()
+    assert {r["doc_id"] for r in out} == set(range(3000))
+    assert {(r["keep_id"], r["n_docs"], r["removed"]) for r in out if r["n_words"] >= 60} == {(0, 3000, False), (0, 3000, True)}
+
+
 def test_passage_links_lose_no_colliding_pair(frame):
     """Lines that drift word by word: bucket mates link although their hubs do not."""
     rng = random.Random(5)
