@@ -71,3 +71,12 @@ def test_fast_rules_give_the_tokens_of_the_rule_list(spark):
     wrong = df.select("text", slow.alias("a"), TX.treebank_tokens("text").alias("b"), TX.core_tokenize("text").alias("c"),
                       TX.lower_ascii(TX.join_collapse(TX.split_periods(slow))).alias("d")).where("a <> b or c <> d")
     assert wrong.collect() == []
+
+
+def test_plain_replacements_and_shared_passes(spark):
+    assert len(TX.FAST_RULES) < len([r for r in TX.TOKEN_RULES if r[0] != "TWICE"]) + 2
+    assert [r[0] for r in TX.FAST_RULES].count("PLAIN") == 2
+    rows = [('a --b"c" ;x?!  d\x1ce',), ("  .net  fig. ",), ("　",)]
+    assert one(spark, TX.core_tokenize("t"), rows) == ["a -- b '' c '' ; x ? ! d e", " . net fig .", ""]
+    slow = one(spark, TX.lower_ascii(TX.join_collapse(TX.split_periods(TX.treebank_tokens("t")))), rows)
+    assert slow == one(spark, TX.core_tokenize("t"), rows)
