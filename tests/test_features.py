@@ -103,3 +103,11 @@ def test_embedding_lookup_known_unknown(spark):
     vec = spark.createDataFrame([("a", [1.0, 2.0])], "word string, vec array<float>")
     m = {r.term: (r.known, list(r.vec)) for r in EM.embedding_matrix(wi, vec, 2).collect()}
     assert m == {"a": (True, [1.0, 2.0]), "b": (False, [0.0, 0.0])}
+
+
+def test_stop_words_are_looked_up_in_a_set(spark):
+    from quire.functions import analyzers as AZ
+    df = spark.createDataFrame([("the cat and the don dog and", 1), (None, 2)], "text string, id long") \
+        .select(AZ.remove_stop_words(AZ.analyze("text"), AZ.ENGLISH_STOP_WORDS).alias("t"))
+    assert "INSET" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.t for r in df.collect()] == [["cat", "dog"], None]
