@@ -150,3 +150,17 @@ def test_write_appends_and_reads_back(spark):
     write_papers(df, out)
     write_papers(df, out)
     assert sorted(r.title for r in read_papers(spark, out).collect()) == ["a", "a", "b", "b"]
+
+
+def test_parsed_vectors_hold_the_indexed_words(spark, tmp_path):
+    from quire.plans.sequence_queries import QUERIES
+    docs = [(i, f"alpha beta w{i} alpha", "en", "s", 20) for i in range(5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, [float(i)] * 64) for i in range(1, 7)], "vec_id long, embedding array<float>") \
+        .write.parquet(f"{tmp_path}/embeddings.parquet")
+    last = {r.word: r.vsum / 64 for r in QUERIES["embedding_parse"](spark, str(tmp_path)).collect()}
+    first = {r.word: r.vsum / 64 for r in QUERIES["embedding_parse_w2v"](spark, str(tmp_path)).collect()}
+    # words by count: alpha, beta, then w0 to w4 (3 to 7); lines by rule: w2 of 4, w3 of 6 are good
+    assert last == {"alpha": 1, "beta": 2, "w0": 3, "w1": 4, "w2": 5, "w3": 6}
+    assert first == {"alpha": 1, "beta": 2, "w0": 3, "w1": 4, "w2": 4, "w3": 6}
