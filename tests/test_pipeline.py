@@ -64,3 +64,18 @@ def test_a_row_without_terms_and_a_wrong_norm(papers):
     assert {tuple(r.x) for r in model.transform(empty).select(vector_to_array("features").alias("x")).collect()} == {(0.0, 0.0, 0.0)}
     with pytest.raises(ValueError):
         PL.TextBlocks(inputCols=["title_t"], norm="max").fit(papers)
+
+
+@pytest.mark.parametrize("norm", ["l2", "l1", "none"])
+def test_rare_terms_give_the_same_blocks(spark, monkeypatch, norm):
+    from quire.operators import hot_join as HJ
+    rows = [(i, f"the w{i % 3} w{i}", f"x{i % 2} the the") for i in range(12)] + [(12, "unseen", "")]
+    df = spark.createDataFrame(rows, "paper_id long, a string, b string")
+    model = PL.TextBlocks(inputCols=["a", "b"], width=4, norm=norm, lowercase=True).fit(df.where("paper_id < 12"))
+    want = {r.paper_id: r.features.toArray().tolist() for r in model.transform(df).collect()}
+    monkeypatch.setattr(PL, "BUDGET", 1)
+    monkeypatch.setattr(HJ, "BUDGET", 1)
+    out = model.transform(df)
+    got = {r.paper_id: r.features.toArray().tolist() for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
