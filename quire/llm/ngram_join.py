@@ -28,7 +28,7 @@ from quire.llm.components import components
 from quire.session import ship_package, stored
 from quire.sources.papers import load_table
 
-#: Bytes of text that one map-side block gathers before it ships its n-grams.
+#: Bytes of hashes after which a map-side block ships its n-grams.
 BLOCK_BYTES = 8 << 20
 #: Hub rounds go on while the comparisons that are left exceed this multiple of
 #: the rows of their buckets, and at most so often; then all that are left follow.
@@ -51,36 +51,37 @@ def _sets(ids: pa.Array, texts: pa.Array, k: int):
 
 
 def _blocks(batches, k: int):
-    """Sets of about ``BLOCK_BYTES`` of text: ids, sizes, keys, hashes, rows."""
+    """Parts of sets with about ``BLOCK_BYTES`` of hashes: ids, sizes, keys, hashes
+    and rows of the n-grams of the probed half of the order; the others are not held."""
     parts, taken = [], 0
     for batch in batches:
-        for part in _sets(batch.column(0), batch.column(1), k):
-            parts.append(part)
-            taken += 8 * len(part[3])
+        for ids, size, keys, s, row in _sets(batch.column(0), batch.column(1), k):
+            taken += s.nbytes
+            probed = s < np.uint64(1 << 63)
+            parts.append((ids, size, keys, s[probed], row[probed].astype(np.int32)))
             if taken >= BLOCK_BYTES:
-                yield _joined(parts)
+                yield parts
                 parts, taken = [], 0
     if parts:
-        yield _joined(parts)
+        yield parts
 
 
 def _joined(parts):
-    step = np.cumsum([0] + [len(p[1]) for p in parts])
-    return (pa.concat_arrays([p[0] for p in parts]),
-            np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]),
-            np.concatenate([p[3] for p in parts]),
-            np.concatenate([p[4] + step[i] for i, p in enumerate(parts)]))
+    """The block of ``parts``, which are let go before it is worked on."""
+    step = np.cumsum([0] + [len(p[1]) for p in parts]).astype(np.int32)
+    ids, size, keys, s, row = zip(*parts)
+    parts.clear()
+    return (pa.concat_arrays(ids), np.concatenate(size), np.concatenate(keys), np.concatenate(s),
+            np.concatenate([r + step[i] for i, r in enumerate(row)]))
 
 
 def _probe(size, keys, s, row):
-    """The n-grams of the probed half of the order, one copy of each set:
-    (hash, row, whether another set of the block holds it)."""
+    """One copy of each set: (hash, row, whether another set of the block holds it)."""
     _, first = np.unique(keys[:, 0], return_index=True)
     one = np.zeros(len(size), dtype=bool)
     one[first] = True
-    take = one[row] & (s < np.uint64(1 << 63))
-    s, row = s[take], row[take]
     order = np.argsort(s, kind="stable")
+    order = order[one[row[order]]]
     s, row = s[order], row[order]
     same = s[1:] == s[:-1]
     several = np.zeros(len(s), dtype=bool)
@@ -104,35 +105,40 @@ def _ship(batches, k: int, bits: int):
     however many of its sets hold it. ``owners`` are pairs (set key, id of the
     row that speaks for the set here); key 0 stands for several sets. What the
     block alone shows to be shared travels as a count."""
-    for ids, size, keys, s, row in _blocks(batches, k):
-        s, row, several = _probe(size, keys, s, row)
-        ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
-        seen = np.bincount(row[several], minlength=len(size))
-        known = np.flatnonzero(seen)
-        first = np.ones(len(s), dtype=bool)
-        first[1:] = s[1:] != s[:-1]
-        s, row, several = s[first], row[first], several[first]
-        owner = np.where(several, len(size), row)
-        key = np.append(keys[:, 0] | 1, 0)
-        who = np.append(ids, -1)
-        frag = (s >> np.uint64(63 - bits)).astype(np.int64)
-        low = ((s << np.uint64(1 + bits)) >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((owner, frag))
-        frag, low, owner = frag[order], low[order], owner[order]
-        edges = np.searchsorted(frag, np.arange((1 << bits) + 1))
-        out = ([], [], [], [], [], [])
-        spread = np.array_split(known, 1 << bits)
-        for f in range(1 << bits):
-            lo, hi = edges[f], edges[f + 1]
-            own, count = np.unique(owner[lo:hi], return_counts=True)
-            for values, x in zip(out, (f, low[lo:hi].tobytes(),
-                                       np.stack([key[own], who[own]], axis=1).tobytes(),
-                                       count.astype(np.uint32).tobytes(),
-                                       ids[spread[f]].tobytes(), seen[spread[f]].astype(np.int64).tobytes())):
-                values.append(x)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])],
-            ["frag", "grams", "owners", "counts", "known", "seen"])
+    for parts in _blocks(batches, k):
+        yield _shipped(parts, bits)
+
+
+def _shipped(parts, bits: int) -> pa.RecordBatch:
+    ids, size, keys, s, row = _joined(parts)
+    s, row, several = _probe(size, keys, s, row)
+    ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+    seen = np.bincount(row[several], minlength=len(size))
+    known = np.flatnonzero(seen)
+    first = np.ones(len(s), dtype=bool)
+    first[1:] = s[1:] != s[:-1]
+    s, row, several = s[first], row[first], several[first]
+    owner = np.where(several, len(size), row)
+    key = np.append(keys[:, 0] | 1, 0)
+    who = np.append(ids, -1)
+    frag = (s >> np.uint64(63 - bits)).astype(np.int64)
+    low = ((s << np.uint64(1 + bits)) >> np.uint64(32)).astype(np.uint32)
+    order = np.lexsort((owner, frag))
+    frag, low, owner = frag[order], low[order], owner[order]
+    edges = np.searchsorted(frag, np.arange((1 << bits) + 1))
+    out = ([], [], [], [], [], [])
+    spread = np.array_split(known, 1 << bits)
+    for f in range(1 << bits):
+        lo, hi = edges[f], edges[f + 1]
+        own, count = np.unique(owner[lo:hi], return_counts=True)
+        for values, x in zip(out, (f, low[lo:hi].tobytes(),
+                                   np.stack([key[own], who[own]], axis=1).tobytes(),
+                                   count.astype(np.uint32).tobytes(),
+                                   ids[spread[f]].tobytes(), seen[spread[f]].astype(np.int64).tobytes())):
+            values.append(x)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])],
+        ["frag", "grams", "owners", "counts", "known", "seen"])
 
 
 def _count_fragment(table: pa.Table) -> pa.Table:

@@ -166,7 +166,7 @@ def _scores(df, labels, id_col="doc_id", text_col="text", label_col="quality", t
         .where("quality is not null"), "_id"), "quality-labelled")
 
     size = features + len(STATISTICS) + 1
-    parts = known.mapInPandas(lambda it: _normal_sums(it, kernel), "fold int, i int, sums array<double>")
+    parts = known.mapInPandas(lambda it: released(_normal_sums(it, kernel)), "fold int, i int, sums array<double>")
     # partitions' sums are added up in the JVM, map-side first
     sums = sum_matrices(parts, ["fold", "i"], "sums").collect()
     per = {k: np.zeros((size, size + 1)) for k in range(1, FOLDS + 1)}
@@ -181,7 +181,7 @@ def _scores(df, labels, id_col="doc_id", text_col="text", label_col="quality", t
             f = kernel(pdf[list(STATISTICS)].to_numpy())
             raw = np.einsum("ij,ij->i", f, np.array([others[k] for k in pdf["fold"]]).reshape(len(f), size))
             yield pd.DataFrame({"bin": _bin(raw), "quality": pdf["quality"]})
-    grid = (known.mapInPandas(unseen, "bin long, quality double").groupBy("bin")
+    grid = (known.mapInPandas(lambda it: released(unseen(it)), "bin long, quality double").groupBy("bin")
             .agg(F.avg("quality").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect())
     if grid:
         place, value = isotonic(*(np.array([r[c] for r in grid], dtype=float) for c in ("bin", "y", "n")))
@@ -195,7 +195,7 @@ def _scores(df, labels, id_col="doc_id", text_col="text", label_col="quality", t
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), b.column("fold"), pa.array(np.clip(np.interp(raw, place, value), 0, 1)), b.column("_sha")],
                 ["_id", "fold", "score", "_sha"])
-    out = stats.mapInArrow(score, f"_id {kind}, fold int, score double, _sha binary")
+    out = stats.mapInArrow(lambda it: released(score(it)), f"_id {kind}, fold int, score double, _sha binary")
     return out.select(F.col("_id").alias(id_col), (F.col("fold") == 0).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"), "_sha")
 

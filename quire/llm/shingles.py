@@ -54,8 +54,10 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-def slices(bounds: np.ndarray, most: int = 1 << 20):
-    """Ranges of rows of at most ``most`` bytes together; a longer row alone."""
+def slices(bounds: np.ndarray, most: int = 1 << 18):
+    """Ranges of rows of at most ``most`` bytes together; a longer row alone.
+
+    A slice's arrays take up to 40 times its bytes."""
     lo, n = 0, len(bounds) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + most, "right")) - 1)
