@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quire.llm import passage_dedup as passages
 from quire.llm.common import id_text
 from quire.llm.components import components
+from quire.llm import embedding_dedup as embeddings
 from quire.llm.embedding_dedup import embedding_dedup
 from quire.llm.mixing import fit_lengths, knapsack, mix, mixed_rows
 from quire.llm.ngram_join import keep_one_of_group, ngram_join
@@ -174,6 +175,41 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_dedup(df.where("vec_id < 0")).collect() == []
 
 
+def test_unrelated_vectors_are_written_once(spark, monkeypatch):
+    """However many pivots there are, no table has a vector more than once."""
+    rng = np.random.default_rng(16)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(16)], 0) for i in range(300)],
+                               "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(embeddings, "PER_PIVOT", 10)
+    rows, write = {}, embeddings.stored
+
+    def counted(table, name):
+        out = write(table, name)
+        rows[name] = out.count() if "v" in out.columns else 0
+        return out
+    monkeypatch.setattr(embeddings, "stored", counted)
+    assert embedding_dedup(df, block=60).count() == 300
+    assert max(rows.values()) == 300
+
+
+def test_tiles_of_two_blocks_against_all_pairs():
+    rng = np.random.default_rng(17)
+    base = rng.standard_normal((300, 8))
+    x = base[rng.integers(0, 300, 2600)] + rng.standard_normal((2600, 8)) * rng.choice([0.02, 0.2, 1.0], (2600, 1))
+    pivots = {8: embeddings.choose_pivots(embeddings._unit(x[:500]), 40)}
+    cell = embeddings._distances(x, pivots[8]).argmin(axis=1)
+    w = rng.integers(1, 4, len(x))
+    cosine = (x @ x.T) / np.sqrt((x * x).sum(1))[:, None] / np.sqrt((x * x).sum(1))[None, :]
+    for sides in (np.zeros(len(x), int), (np.arange(len(x)) >= 1400).astype(int)):
+        table = pa.table({"cls": 7 * np.arange(len(x)) - 3, "w": w, "cell": pa.array(cell, pa.int32()), "side": pa.array(sides, pa.int32()),
+                          "v": pa.array(list(x), pa.list_(pa.float64()))})
+        got = {r["cls"]: r for r in embeddings._join_blocks(0.93, pivots)(table).to_pylist()}
+        linked = (cosine >= 0.93) & ~np.eye(len(x), dtype=bool) & ((sides[:, None] != sides[None, :]) | (sides.max() == 0))
+        want = union_find(range(len(x)), np.argwhere(linked).tolist())
+        assert {c: r["n"] for c, r in got.items()} == {7 * i - 3: n for i, n in enumerate((linked @ w).tolist()) if n}
+        assert all(r["root"] == 7 * want[(c + 3) // 7] - 3 for c, r in got.items())
+
+
 def test_passages(frame, empty):
     rng = np.random.default_rng(7)
 
