@@ -6,6 +6,7 @@ from quire.operators import conv as CV
 from quire.operators import embeddings as EM
 from quire.operators import in_place
 from quire.operators import sequences as SQ
+from quire.plans import sequence_queries
 from quire.session import stored
 
 
@@ -32,6 +33,28 @@ def test_flattened_rows_with_rare_words(words, monkeypatch, budget):
     assert got == want
 
 
+def test_flattened_rows_are_summed_where_they_are_made(words):
+    matrix, rows, seqs = words
+    of = {"fsum": sequence_queries._sums, "wsum": sequence_queries._position_sums}
+    flat = EM.embed_flatten(seqs, matrix, "id", 2, 9, of_rows=of)
+    for r in flat.collect():
+        assert len(r.flat) == 18
+        total = weighted = 0.0
+        for i, x in enumerate(r.flat):
+            total, weighted = total + x, weighted + x * (i % 5 + 1)
+        assert (r.fsum, r.wsum) == (total, weighted)
+
+
+def test_no_lambda_over_flattened_rows(spark, monkeypatch):
+    """The registered query makes whole rows and folds none of their numbers in SQL."""
+    made = {}
+    flatten = EM.embed_flatten
+    monkeypatch.setattr(EM, "embed_flatten", lambda *a, **b: made.setdefault("flat", flatten(*a, **b)))
+    out = plan(sequence_queries.q_embed_flatten(spark, "/root/testdata/sf0.001"))
+    assert "lambda" not in out and "aggregate(flat" not in out
+    assert {len(r.flat) for r in made["flat"].select("flat").limit(5).collect()} == {400 * 64}
+
+
 @pytest.mark.parametrize("budget", [1, 10 ** 6])
 def test_pooled_windows_with_rare_words(words, monkeypatch, budget):
     matrix, rows, seqs = words
