@@ -19,3 +19,17 @@ def test_partitions_grow_with_the_scan(spark):
     df = spark.range(100, numPartitions=9)
     assert RW.deal_by(df, "id").rdd.getNumPartitions() == 36
     assert RW.deal_by(spark.range(4, numPartitions=1), "id").rdd.getNumPartitions() == 4
+
+
+def test_a_search_cell_is_moved_as_few_numbers(spark, monkeypatch):
+    """Two folds' frequencies lie in one number, bucket and sign with block and count; odd numbers of folds too."""
+    rows = [(i, i % 3, 1.0, "k", "A plan", f"word w{i} mesh mesh", "v", 2000, 3) for i in range(9)]
+    tok = spark.createDataFrame(rows, "paper_id long, fold int, label double, kw string, title_t string, abstract_t string, venue string, "
+                                      "year int, n_citation int")
+    moved, deal = [], FS.deal_by
+    monkeypatch.setattr(FS, "deal_by", lambda df, *a, **b: moved.append(df) or deal(df, *a, **b))
+    FS.fold_text(tok, [], 3)
+    cells = moved[-1]
+    assert cells.columns == ["paper_id", "cell", "tf", "d0", "d1"]
+    counts = [(r.d0 & 0xFFFFFFFF, r.d0 >> 32, r.d1) for r in cells.where("abs(tf) = 2").collect()]
+    assert set(counts) == {(3, 3, 3)} and len(counts) == 9
