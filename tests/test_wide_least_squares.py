@@ -44,6 +44,18 @@ def test_labels_that_are_all_the_same_and_rows_without_features(spark):
     assert {round(r.prediction, 9) for r in none.predict(rows, cells, "id").collect()} == {round(mean, 9)}
 
 
+def test_repeated_and_null_ids_and_cells_of_other_ids(spark):
+    rows, cells, width = table(spark)
+    rows = rows.unionByName(rows.where("id < 9").selectExpr("id", "label + 2 as label")).unionByName(spark.sql("select cast(null as long) as id, 6.0D as label"))
+    other = cells.unionByName(cells.where("id < 5").selectExpr("id + 1000 as id", "idx", "value"))
+    vectors = assemble(rows, cells, width, "id")
+    spark_ml = linear_regression().setSolver("l-bfgs").fit(vectors)
+    model = W.fit_wide(rows, other, "id")
+    w = {r.idx: r.w for r in model.weights.collect()}
+    assert [w.get(i, 0.0) for i in range(width)] == pytest.approx(list(spark_ml.coefficients), abs=1e-6)
+    assert model.intercept == pytest.approx(spark_ml.intercept, abs=1e-6)
+
+
 @pytest.mark.parametrize("vectorizer", ["tfidf", "count"])
 def test_wide_vocabularies_are_not_fitted_on_the_driver(spark, monkeypatch, vectorizer):
     """More terms than the normal equations take: no vector of that width is made."""
